@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rans
+from . import rans, tiff
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.payload_digests(tiff.tiff_pages(tiff.texts_to_tiff(_documents(spark, sf_dir))))
+
+
 def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_index(rans.write_token_files(_documents(spark, sf_dir), tokenizer_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tiff_pages": op1_tiff_pages,
     "op7_rans_tokens": op7_rans_tokens,
 }
 ORACLES: dict[str, str] = {}
