@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rans, tiff
+from . import licenses, rans, tiff, wfq
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,22 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.payload_digests(tiff.tiff_pages(tiff.texts_to_tiff(_documents(spark, sf_dir))))
 
 
+def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfq.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "weight")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_index(rans.write_token_files(_documents(spark, sf_dir), tokenizer_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
+    "op2_fair_mix": op2_fair_mix,
+    "op5_license_scan": op5_license_scan,
     "op7_rans_tokens": op7_rans_tokens,
 }
 ORACLES: dict[str, str] = {}
