@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, rans, tiff, wfq
+from . import bm25, langid, licenses, maglev, rans, tiff, wfq
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +27,46 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfq.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "weight")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(langid.training_rows(docs)))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_index(rans.write_token_files(_documents(spark, sf_dir), tokenizer_path()))
 
 
+#: Shards of production size, some heavier.
+SHARDS = {f"shard-{k:03d}": 2 if k % 8 == 0 else 1 for k in range(96)}
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maglev.assign_shards(_documents(spark, sf_dir).select("doc_id", "source"), SHARDS)
+
+
+def _op9_sql() -> str:
+    table = ",".join(f"'{s}'" for s in maglev.lookup_table(SHARDS))
+    return f"""
+        WITH placed AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {maglev.SLOTS} AS INTEGER) AS slot FROM documents),
+             filled AS (SELECT [{table}] AS owners)
+        SELECT doc_id, source, slot, owners[slot + 1] AS shard FROM placed, filled"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_fair_mix": op2_fair_mix,
+    "op3_language": op3_language,
     "op5_license_scan": op5_license_scan,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_rans_tokens": op7_rans_tokens,
+    "op9_shards": op9_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_shards": _op9_sql()}
