@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, langid, licenses, maglev, rans, tiff, wfq
+from . import bm25, langid, licenses, lm, maglev, rans, tiff, wfq
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(langid.training_rows(docs)))
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    return lm.score(docs, lm.fit(docs, good), good)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_fair_mix": op2_fair_mix,
     "op3_language": op3_language,
+    "op4_cross_entropy": op4_cross_entropy,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_rans_tokens": op7_rans_tokens,
