@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, langid, licenses, lm, maglev, rans, tiff, wfq
+from . import bm25, jaccard, langid, licenses, lm, maglev, rans, tiff, wfq
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_index(rans.write_token_files(_documents(spark, sf_dir), tokenizer_path()))
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_documents(spark, sf_dir))
+
+
 #: Shards of production size, some heavier.
 SHARDS = {f"shard-{k:03d}": 2 if k % 8 == 0 else 1 for k in range(96)}
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_rans_tokens": op7_rans_tokens,
+    "op8_jaccard_components": op8_jaccard_components,
     "op9_shards": op9_shards,
 }
 ORACLES: dict[str, str] = {"op9_shards": _op9_sql()}
