@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, jaccard, langid, licenses, lm, maglev, rans, tiff, wfq
+from . import bm25, jaccard, langid, licenses, lm, maglev, paragraphs, rans, tiff, wfq
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(_documents(spark, sf_dir).select("doc_id", "source"), SHARDS)
 
 
+def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_documents(spark, sf_dir))
+
+
 def _op9_sql() -> str:
     table = ",".join(f"'{s}'" for s in maglev.lookup_table(SHARDS))
     return f"""
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rans_tokens": op7_rans_tokens,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_shards": op9_shards,
+    "op10_repeated_paragraphs": op10_repeated_paragraphs,
 }
 ORACLES: dict[str, str] = {"op9_shards": _op9_sql()}
