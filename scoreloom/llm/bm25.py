@@ -175,35 +175,38 @@ class BlockMaxIndex:
         return [best[d] for d in sorted(best)]
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+def indexes(items: DataFrame, *, item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> Iterator[BlockMaxIndex]:
+    """Indexes of all items, each of INDEX_CHARS characters at most (or one item); one empty index if there are none."""
+    given = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
+    group: list[tuple[int, str]] = []
+    size = 0
+    for r in given.toLocalIterator():
+        if group and size + len(r["t"]) > INDEX_CHARS:
+            yield BlockMaxIndex(group, threshold)
+            group, size = [], 0
+        group.append((r["i"], r["t"]))
+        size += len(r["t"])
+    yield BlockMaxIndex(group, threshold)
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, score, passage, overlap, question_overlap,
     answer_overlap. A map over the documents, without a shuffle; the index is broadcast, its size bounded by INDEX_CHARS.
 
     Null or wordless texts on either side match nothing; repeated documents each give their rows, repeated items too;
     empty tables give no rows; further columns are not read.
     """
-    spark = docs.sparkSession
-    given = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    groups: list[list[tuple[int, str]]] = []
-    size = INDEX_CHARS + 1
-    for r in given.toLocalIterator():
-        if size + len(r["t"]) > INDEX_CHARS:
-            groups.append([])
-            size = 0
-        groups[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, score double, passage int, overlap double, question_overlap double, answer_overlap double"
     out = None
-    for group in groups or [[]]:
-        shared = spark.sparkContext.broadcast(BlockMaxIndex(group, threshold))
+    for index in indexes(items, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
             names = ["doc_id", "item_id", "score", "passage", "overlap", "question_overlap", "answer_overlap"]
             for batch in batches:
-                found = [(name, *m) for name, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for m in index.matches(t)]
+                found = [(name, *m) for name, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for m in shared.value.matches(t)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), types, strict=True)], names)
 
@@ -212,7 +215,14 @@ def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item. Only the few hits are matched against the documents; null keys stay."""
-    hit = leaks(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[options.get("key", "doc_id")] == F.col("_hit"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """docs, all columns, without the rows that hold a benchmark item; a filter in place, nothing is moved or joined."""
+    for index in indexes(items, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.matches(t) for t in texts_of(batch, text)], pa.bool_()))
+
+        docs = arrow_map(docs, keep, docs.schema)
+    return docs

@@ -126,3 +126,17 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     twins = named.where("cls is not null").groupBy("cls").agg((F.count("*") - 1).alias("twins")).where("twins > 0").withColumnRenamed("cls", "k")
     out = named.join(least, F.col("group") == F.col("g"), "left").join(twins, F.col("cls") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("twins", F.lit(0))).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs, all columns, with one document of each component: that of the least key. Singles stay, whatever their text.
+
+    Of rows that repeat a kept key, each different text stays once."""
+    found = jaccard_components(docs, text=text, key=key, **options)
+    kept = materialize(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).withColumnRenamed("doc_id", "_key"), "jaccard_kept")
+    out = docs.join(kept.select("_key"), F.col(key).cast("long").eqNullSafe(F.col("_key")), "left_semi")
+    repeated = kept.where("c > 1").select("_key")
+    if repeated.isEmpty():
+        return out
+    same = F.col(key).cast("long").eqNullSafe(F.col("_key"))
+    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([key, text]))

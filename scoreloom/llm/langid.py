@@ -174,3 +174,23 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
     """What may be learned from: text and lang of rows that are not held out, in an order that the key's hash gives."""
     turn = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 32) - 1))
     return docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), turn.alias("turn"))
+
+
+def keep_identified(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose language is rejected; a filter in place, nothing is moved or joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
+                lettered = np.array(batch.column("_letters").to_pylist(), bool)
+                good = lettered & (m is not None)
+                if good.any():
+                    texts = batch.column(text).filter(pa.array(good)).to_pylist()
+                    good[good] = ~m.predict(texts)[2]
+                yield batch.filter(pa.array(good)).drop_columns(["_letters"])
+
+    return arrow_map(marked, keep, docs.schema)
