@@ -1,6 +1,616 @@
-"""All queries of the library's own operators by name, with their SQL twins."""
+"""All queries of the library's own operators by name, with their SQL twins where SQL can say the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import concepts as C
+from ..functions import fixed_values as V
+from ..functions import text as T
+from ..operators import bank as B
+from ..operators import entail as E
+from ..operators import metrics as M
+from ..operators import models as L
+from ..operators import rank as R
+from ..operators import search as S
+from ..operators import select as X
+from ..sources import cases as SRC
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# --- captions: each document against the next one of its language ------------------------------------------------------
+
+PAT = T.TOKEN
+Q_PAIRS = "pairs AS (SELECT a.doc_id AS case_id, a.lang AS lang, a.text AS prediction, b.text AS reference FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang)"
+Q_TOK = f"{Q_PAIRS}, tok AS (SELECT case_id, lang, regexp_extract_all(lower(prediction), '{PAT}') AS p, regexp_extract_all(lower(reference), '{PAT}') AS r FROM pairs)"
+Q_GRAMS = f"""{Q_TOK}, orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
+ grams AS (SELECT case_id, lang, n, 1 AS h, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], chr(1)))) AS gram FROM tok, orders
+   UNION ALL SELECT case_id, lang, n, 0, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], chr(1)))) FROM tok, orders),
+ counted AS (SELECT case_id, lang, n, gram, sum(h) AS h, sum(1 - h) AS t FROM grams GROUP BY ALL),
+ found AS (SELECT case_id, lang, n, sum(least(h, t)) AS matches, sum(h) AS total FROM counted GROUP BY ALL)"""
+
+
+def _q_bleu(by: str) -> str:
+    k, g, eq = (f"{by}, ", f"GROUP BY {by}", f"USING ({by})") if by else ("", "", "ON true")
+    num = ", ".join(f"sum(CASE WHEN n = {n} THEN matches ELSE 0 END) AS n{n}" for n in M.ORDERS)
+    den = ", ".join(f"sum(greatest(1, len(p) - {n - 1})) AS d{n}" for n in M.ORDERS)
+    logs = " + ".join(f"ln(CASE WHEN n{n} = 0 THEN 0.1 / d{n} ELSE n{n} / d{n}::DOUBLE END)" for n in M.ORDERS)
+    return f"""{Q_GRAMS}, num AS (SELECT {k}{num} FROM found {g}), den AS (SELECT {k}{den}, sum(len(p)) AS hl, sum(len(r)) AS rl, count(*) AS cases FROM tok {g}),
+ bleu AS (SELECT {k}cases, hl, rl, CASE WHEN n1 = 0 THEN 0.0 ELSE (CASE WHEN hl > rl THEN 1.0 ELSE exp(1.0 - rl / hl::DOUBLE) END) * exp(({logs}) / 4.0) END AS bleu_4 FROM den JOIN num {eq})"""
+
+
+Q_METEOR = """pp AS (SELECT case_id, lang, unnest(p) AS token, generate_subscripts(p, 1) - 1 AS pos FROM tok), rr AS (SELECT case_id, unnest(r) AS token, generate_subscripts(r, 1) - 1 AS pos FROM tok),
+ pk AS (SELECT *, row_number() OVER (PARTITION BY case_id, token ORDER BY pos) AS k FROM pp), rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, token ORDER BY pos) AS k FROM rr),
+ met AS (SELECT pk.case_id, pk.pos AS pi, rk.pos AS ri FROM pk JOIN rk ON pk.case_id = rk.case_id AND pk.token = rk.token AND pk.k = rk.k),
+ brk AS (SELECT case_id, CASE WHEN lag(ri) OVER (PARTITION BY case_id ORDER BY pi) + 1 = ri THEN 0 ELSE 1 END AS new FROM met),
+ runs AS (SELECT case_id, count(*) AS matches, sum(new) AS chunks FROM brk GROUP BY case_id),
+ base AS (SELECT case_id, lang, len(p) AS np, len(r) AS nr, coalesce(matches, 0) AS m, coalesce(chunks, 0) AS c FROM tok LEFT JOIN runs USING (case_id)),
+ met2 AS (SELECT *, CASE WHEN np = 0 AND nr = 0 THEN 1.0 WHEN m = 0 THEN 0.0 ELSE 10 * (m / np::DOUBLE) * (m / nr::DOUBLE) / ((m / nr::DOUBLE) + 9 * (m / np::DOUBLE)) * (1 - 0.5 * pow(c / m::DOUBLE, 3)) END AS meteor FROM base)"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("text").alias("reference"))
+    return d.select("doc_id", "lang", F.col("text").alias("prediction")).join(nxt, ["doc_id", "lang"]).withColumnRenamed("doc_id", "case_id")
+
+
+@query(f"WITH {_q_bleu('')} SELECT cases, hl AS prediction_tokens, rl AS reference_tokens, round(bleu_4, 6) AS bleu_4 FROM bleu")
+def corpus_bleu4(spark, sf):
+    return M.corpus_bleu(pairs(spark, sf)).withColumn("bleu_4", r6("bleu_4"))
+
+
+@query(f"WITH {Q_TOK}, {Q_METEOR} SELECT case_id, m AS matches, c::BIGINT AS chunks, round(meteor, 6) AS meteor FROM met2")
+def meteor_pairs(spark, sf):
+    return M.meteor(pairs(spark, sf)).select("case_id", "matches", "chunks", r6("meteor").alias("meteor"))
+
+
+@query(f"WITH {Q_TOK}, {Q_METEOR} SELECT count(*) AS cases, round(avg(meteor), 6) AS meteor FROM met2")
+def meteor_mean(spark, sf):
+    return M.meteor(pairs(spark, sf)).agg(F.count("*").alias("cases"), r6(F.avg("meteor")).alias("meteor"))
+
+
+@query(
+    f"""WITH {Q_GRAMS}, s AS (SELECT n, sum(matches) AS m, sum(total) AS t FROM found GROUP BY n), z AS (SELECT sum(len(p)) AS hl, sum(len(r)) AS rl, count(*) AS cases FROM tok)
+ SELECT any_value(cases) AS cases, round((CASE WHEN any_value(hl) > any_value(rl) THEN 1.0 ELSE exp(1.0 - any_value(rl) / any_value(hl)::DOUBLE) END) * exp(sum(ln((m + 1) / (t + 1)::DOUBLE)) / 4), 6) AS bleu_4_proxy FROM s, z"""
+)
+def legacy_bleu_addone(spark, sf):
+    return M.legacy_bleu(pairs(spark, sf)).withColumn("bleu_4_proxy", r6("bleu_4_proxy"))
+
+
+def _q_rollup(tail: str) -> str:
+    return f"WITH {_q_bleu('lang')}, {Q_METEOR}, mm AS (SELECT lang, avg(meteor) AS meteor FROM met2 GROUP BY lang), x AS (SELECT * FROM bleu JOIN mm USING (lang)) {tail}"
+
+
+@query(_q_rollup("SELECT lang, cases, round(bleu_4, 6) AS bleu_4, round(meteor, 6) AS meteor, round((bleu_4 + meteor) / 2, 6) AS captioning FROM x"))
+def metric_rollup_by_lang(spark, sf):
+    s = M.caption_scores(pairs(spark, sf), ["lang"])
+    return s.select("lang", "cases", *[r6(c).alias(c) for c in ("bleu_4", "meteor", "captioning")])
+
+
+@query(_q_rollup("SELECT 'mean' AS how, count(*) AS groups, round(avg(bleu_4), 6) AS bleu_4, round(avg(meteor), 6) AS meteor FROM x UNION ALL SELECT 'worst', count(*), round(min(bleu_4), 6), round(min(meteor), 6) FROM x"))
+def group_balanced_scores(spark, sf):
+    s = M.caption_scores(pairs(spark, sf), ["lang"])
+    both = [M.across_groups(s, how).withColumn("how", F.lit(how)) for how in ("mean", "worst")]
+    return both[0].unionByName(both[1]).select("how", "groups", r6("bleu_4").alias("bleu_4"), r6("meteor").alias("meteor"))
+
+
+@query(
+    f"""WITH {_q_bleu('')}, {Q_METEOR} SELECT cases, round(bleu_4, 6) AS bleu_4, round((SELECT avg(meteor) FROM met2), 6) AS meteor,
+ round(0.8 * 0.5 + 0.2 * (bleu_4 + (SELECT avg(meteor) FROM met2)) / 2, 6) AS final FROM bleu"""
+)
+def final_score(spark, sf):
+    s = M.caption_scores(pairs(spark, sf))
+    return s.select("cases", r6("bleu_4").alias("bleu_4"), r6("meteor").alias("meteor"), r6(M.final_score(F.lit(0.5), F.col("bleu_4"), F.col("meteor"))).alias("final"))
+
+
+# --- text --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT lang, count(*) AS docs, sum(len(t))::BIGINT AS tokens, round(quantile_cont(len(t), 0.5), 6) AS median FROM (SELECT lang, regexp_extract_all(lower(text), '{PAT}') AS t FROM documents) GROUP BY lang")
+def tokens_profile(spark, sf):
+    d = table(spark, sf, "documents").select("lang", F.size(T.tokens(F.col("text"))).alias("n"))
+    return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), r6(F.percentile("n", 0.5)).alias("median"))
+
+
+Q_NORM = r"""trim(regexp_replace(translate(text, '‘’“”–— ', '''''""-- '), '\s+', ' ', 'g'))"""
+#: Abbreviation periods and decimals are guarded as in the library; both sides of a boundary get a mark, as RE2 looks around nothing.
+Q_SENT = rf"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({Q_NORM},
+ '(?i)(^|[^\p{{L}}\p{{N}}_])(approx|cf|dr|e\.g|et al|fig|i\.e|n|no|nr|prof|sig|vs)\.', '\1\2' || chr(1), 'g'), '(\d)[.,](\d)', '\1' || chr(2) || '\2', 'g'), '(\d)[.,](\d)', '\1' || chr(2) || '\2', 'g'), '\s*;\s+', chr(3), 'g'), '([.!?])\s+([A-Z0-9"''(\[])', '\1' || chr(3) || '\2', 'g'), chr(3)),
+ lambda s: trim(regexp_replace(replace(replace(s, chr(1), '.'), chr(2), '.'), '^\s*(?:[-*•–—]|\(?\d{{1,2}}[.)])\s+', ''))), lambda s: len(s) > 0) AS s FROM documents)"""
+
+
+@query(f"WITH {Q_SENT} SELECT doc_id, len(s)::BIGINT AS sentences, md5(array_to_string(s, '|')) AS digest FROM sent")
+def sentence_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
+
+
+_VERB = V.CLAUSE_VERB.removeprefix(r"\b").removesuffix(r"\b")
+Q_PHRASE = rf"""ph AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ord FROM sent),
+ cut AS (SELECT doc_id, ord, sentence, list_transform(string_split(regexp_replace(sentence, '(?i),\s+(?:and|while|whereas)\s+((?:the|a|an|there|no|both|bilateral|left|right)(?:$|[^\p{{L}}\p{{N}}_]))', chr(4) || '\1', 'g'), chr(4)), lambda x: trim(x)) AS parts FROM ph),
+ whole AS (SELECT doc_id, ord, CASE WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_]){_VERB}($|[^\p{{L}}\p{{N}}_])'))) = len(parts) THEN parts ELSE [sentence] END AS parts FROM cut),
+ each AS (SELECT doc_id, ord * 1000 + generate_subscripts(parts, 1) AS ord, trim(unnest(parts), ' ;,') AS c FROM whole),
+ phrase AS (SELECT doc_id, ord, CASE WHEN right(c, 1) IN ('.', '!', '?') THEN c ELSE c || '.' END AS phrase FROM each WHERE len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) >= 2)"""
+
+
+@query(f"WITH {Q_SENT}, {Q_PHRASE} SELECT doc_id, count(*) AS phrases, sum(len(phrase))::BIGINT AS characters FROM phrase GROUP BY doc_id")
+def phrase_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.explode(T.phrases(F.col("text"))).alias("phrase"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("phrases"), F.sum(F.length("phrase")).alias("characters"))
+
+
+def _q_canonical(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '\d+(?:\.\d+)?', '#', 'g'), '[^a-z0-9#\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_q_canonical(Q_NORM)}) AS canonical FROM documents")
+def canonical_masked(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.canonical(F.col("text")).cast("binary")).alias("canonical"))
+
+
+def _doc_phrases(spark, sf) -> DataFrame:
+    """Cases are documents; a phrase's order is its place in the document."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source", F.posexplode(T.phrases(F.col("text"))).alias("seq", "phrase"))
+    kept = d.where(T.is_verifiable(F.col("phrase")) & T.space_words(F.col("phrase")).between(2, 40))
+    return kept.withColumn("canonical", T.canonical(F.col("phrase"))).where("canonical <> ''")
+
+
+Q_CASE_PHRASES = rf"""{Q_SENT}, {Q_PHRASE}, cp AS (SELECT doc_id AS case_id, ord, phrase, {_q_canonical('phrase')} AS canonical FROM phrase WHERE len(list_filter(string_split_regex(phrase, '\s+'), lambda w: w <> '')) <= 40
+ AND NOT regexp_matches(phrase, '(?i){V.NON_VERIFIABLE}')), cq AS (SELECT * FROM cp WHERE canonical <> '')"""
+
+
+@query(f"WITH {Q_CASE_PHRASES} SELECT canonical, count(DISTINCT case_id) AS support, count(*) AS places, round(count(DISTINCT case_id) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS prevalence FROM cq GROUP BY canonical HAVING count(DISTINCT case_id) >= 2")
+def phrase_support_prevalence(spark, sf):
+    n = table(spark, sf, "documents").agg(F.count("*").alias("n"))
+    s = B.support(_doc_phrases(spark, sf)).where("support >= 2").join(F.broadcast(n))
+    return s.select("canonical", "support", "places", r6(F.col("support") / F.col("n")).alias("prevalence"))
+
+
+@query(f"WITH {Q_CASE_PHRASES}, f AS (SELECT canonical, phrase, count(*) AS n, min((case_id, ord)) AS seen FROM cq GROUP BY ALL) SELECT canonical, arg_min(phrase, (-n, seen)) AS phrase FROM f GROUP BY canonical")
+def canonical_modal_form(spark, sf):
+    return B.modal_form(_doc_phrases(spark, sf))
+
+
+@query(f"WITH {Q_CASE_PHRASES}, s AS (SELECT canonical, count(DISTINCT case_id) AS support FROM cq GROUP BY canonical) SELECT canonical, support FROM s ORDER BY support DESC, canonical LIMIT 20")
+def top_statements(spark, sf):
+    return B.support(_doc_phrases(spark, sf)).select("canonical", "support").orderBy(F.desc("support"), "canonical").limit(20)
+
+
+# --- statements: benchmark items as the bank, documents as cases -------------------------------------------------------
+
+_STOP = "['" + "','".join(V.STOPWORDS_STATEMENT) + "']"
+Q_WORDS = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda w: NOT list_contains(" + _STOP + ", w)))"
+Q_JACCARD = f"""a AS (SELECT doc_id, {Q_WORDS.format(_q_canonical(Q_NORM))} AS w FROM documents), b AS (SELECT item_id, {Q_WORDS.format(_q_canonical(Q_NORM))} AS w FROM benchmark),
+ met AS (SELECT doc_id, item_id, count(*) AS c FROM (SELECT doc_id, unnest(w) AS t FROM a) JOIN (SELECT item_id, unnest(w) AS t FROM b) USING (t) GROUP BY ALL),
+ sim AS (SELECT doc_id, item_id, c / (len(a.w) + len(b.w) - c)::DOUBLE AS s FROM met JOIN a USING (doc_id) JOIN b USING (item_id))"""
+
+
+def _described(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.content_tokens(T.canonical(F.col("text")), V.STOPWORDS_STATEMENT).alias("words"), F.array().cast("array<string>").alias("concepts"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("proto"), T.content_tokens(T.canonical(F.col("text")), V.STOPWORDS_STATEMENT).alias("words"), F.array().cast("array<string>").alias("concepts"))
+    return docs, items
+
+
+@query(f"WITH {Q_JACCARD}, m AS (SELECT doc_id, max((s, item_id)) AS m FROM sim WHERE s >= 0.1 GROUP BY doc_id) SELECT d.doc_id, m.m[2] AS item_id, round(m.m[1], 6) AS similarity FROM documents d LEFT JOIN m USING (doc_id)")
+def content_jaccard_best(spark, sf):
+    docs, items = _described(spark, sf)
+    return B.assign(docs, items, 0.1).select(F.col("id").alias("doc_id"), F.col("proto").alias("item_id"), r6("similarity").alias("similarity"))
+
+
+@query(f"WITH {Q_JACCARD}, m AS (SELECT doc_id, max((s, item_id)) AS m FROM sim WHERE s >= 0.1 GROUP BY doc_id) SELECT d.source AS case_id, m.m[2] AS proto FROM documents d JOIN m USING (doc_id) GROUP BY ALL")
+def label_matrix(spark, sf):
+    docs, items = _described(spark, sf)
+    got = B.assign(docs, items, 0.1).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("case_id")), "id")
+    return B.labels(got)
+
+
+@query(f"WITH {Q_JACCARD}, m AS (SELECT DISTINCT doc_id, 1 AS hit FROM sim WHERE s >= 0.1), c AS (SELECT source, avg(coalesce(hit, 0)) AS share FROM documents LEFT JOIN m USING (doc_id) GROUP BY source) SELECT round(avg(share), 6) AS coverage, count(*) AS cases FROM c")
+def label_coverage(spark, sf):
+    docs, items = _described(spark, sf)
+    d = table(spark, sf, "documents")
+    got = B.assign(docs, items, 0.1).join(d.select(F.col("doc_id").alias("id"), F.col("source").alias("case_id")), "id")
+    return B.coverage(d.select(F.col("source").alias("case_id")).distinct(), got).withColumn("coverage", r6("coverage"))
+
+
+# --- inline statements -------------------------------------------------------------------------------------------------
+
+STATEMENTS = [
+    "The right maxillary sinus shows mucosal thickening of 1.2 cm.",
+    "No periapical lesion is seen at tooth 36.",
+    "Absence from the arch of teeth 35, 36 and 37.",
+    "Left and right mandibular canals are regular, with a predominantly lingual course.",
+    "Impacted tooth 48 in contact with the mandibular canal.",
+    "The maxilla is partially included in the scan and is not assessable.",
+    "Composite fillings on teeth 36 and 46.",
+    "Complete edentulism of the mandible.",
+    "Possible cyst measuring 4,5 mm near element 22.",
+    "The condyles are not included in the acquired volume.",
+    "No significant abnormality.",
+    "The patient was scanned twice.",
+    "Tooth 36 has an endodontic treatment.",
+    "Canal course is predominantly buccal.",
+]
+
+
+def statements(spark: SparkSession) -> DataFrame:
+    rows = [(k, k // 5, t) for k, t in enumerate(STATEMENTS)]
+    return C.with_mentions(spark.createDataFrame(rows, "id int, case_id int, text string"))
+
+
+@query()
+def mentions_inline(spark, sf):
+    return statements(spark).select("id", F.explode("mentions").alias("m")).select("id", "m.concept", "m.polarity", "m.laterality", F.array_join(F.transform("m.teeth", lambda t: t.cast("string")), ",").alias("teeth"), F.array_join(F.transform("m.measurements", lambda t: t.cast("string")), ",").alias("mm"))
+
+
+_Q_STATEMENTS = "st AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(STATEMENTS)) + ") AS v(id, text))"
+
+
+@query(
+    rf"""WITH {_Q_STATEMENTS} SELECT id, CASE WHEN regexp_matches(text, '(?i){V.BILATERAL}') OR (regexp_matches(text, '(?i){V.LEFT}') AND regexp_matches(text, '(?i){V.RIGHT}')) THEN 'bilateral'
+ WHEN regexp_matches(text, '(?i){V.LEFT}') THEN 'left' WHEN regexp_matches(text, '(?i){V.RIGHT}') THEN 'right' ELSE 'unspecified' END AS side,
+ array_to_string(list_sort(list_distinct(CASE WHEN len(regexp_extract_all(text, '{V.TOOTH_NUMBER}', 1)) > 0 THEN regexp_extract_all(array_to_string(regexp_extract_all(text, '{V.TOOTH_NUMBER}', 1), ' '), '\d{{2}}') ELSE regexp_extract_all(text, '{V.BARE_TOOTH}', 1) END)), ',') AS teeth,
+ NOT regexp_matches(text, '(?i){V.NON_VERIFIABLE}') AS verifiable FROM st"""
+)
+def qualifiers_inline(spark, sf):
+    s = statements(spark)
+    return s.select("id", C.laterality(F.col("text")).alias("side"), F.array_join(F.transform(C.teeth(F.col("text")), lambda t: t.cast("string")), ",").alias("teeth"), T.is_verifiable(F.col("text")).alias("verifiable"))
+
+
+@query()
+def sections_inline(spark, sf):
+    return statements(spark).select("id", C.section(F.col("text")).alias("section"), C.section_rank(C.section(F.col("text"))).alias("rank"), T.is_well_formed(F.col("text")).alias("well_formed"), T.is_generic(F.col("text")).alias("generic"))
+
+
+@query()
+def concept_profile_inline(spark, sf):
+    return C.profile(statements(spark))
+
+
+@query()
+def faithfulness_diff(spark, sf):
+    s = statements(spark)
+    before, after = s.where("case_id = 0").withColumn("case_id", F.lit(0)), s.where("case_id = 1").withColumn("case_id", F.lit(0))
+    return C.profile_changes(C.profile(before), C.profile(after)).select("case_id", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "flipped")])
+
+
+@query()
+def entailment_inline(spark, sf):
+    s = E.signed(spark.createDataFrame([(t,) for t in STATEMENTS], "phrase string"))
+    a, b = s.select(F.col("phrase").alias("a"), F.col("sig").alias("sa")), s.select(F.col("phrase").alias("b"), F.col("sig").alias("sb"))
+    # a fixed list of statements against itself
+    return a.crossJoin(F.broadcast(b)).select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("a <> b and score > 0")
+
+
+@query()
+def entailment_pr_f1(spark, sf):
+    c = table(spark, sf, "conversations")
+    turns = lambda n, name: c.where(F.col("turn") == n).select(F.col("conv_id").alias("case_id"), F.col("text").alias(name))
+    s = E.clinical_scores(turns(0, "prediction").join(turns(1, "reference"), "case_id"))
+    return s.select("case_id", "candidate_count", "reference_count", *[r6(x).alias(x) for x in ("logical_precision", "logical_recall", "logical_f1")])
+
+
+@query()
+def conflict_pairs(spark, sf):
+    return X.conflict_pairs(statements(spark))
+
+
+@query()
+def contradiction_pairs(spark, sf):
+    return X.contradictions(statements(spark).withColumnRenamed("id", "proto"))
+
+
+@query()
+def consistent_subset(spark, sf):
+    s = statements(spark)
+    keyed = s.select(F.lit(0).alias("case_id"), F.col("id").alias("position"), F.to_json(C.assertion_key(F.col("mentions"))).alias("key"), "text")
+    return X.consistent_subset(keyed, X.conflict_pairs(s).withColumn("case_id", F.lit(0)))
+
+
+# --- selection ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT canonical AS key, array_to_string(list_sort(list(conv_id * 1000 + turn)), ',') AS positions FROM (SELECT conv_id, turn, {_q_canonical(Q_NORM)} AS canonical FROM conversations) WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1")
+def redundancy_groups(spark, sf):
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.nullif(T.canonical(F.col("text")), F.lit("")).alias("key"))
+    return X.redundant_groups(c).select("key", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY {_q_canonical(Q_NORM)} ORDER BY len(text) DESC, conv_id * 1000 + turn) AS r FROM conversations) WHERE r = 1")
+def dedup_best(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("position", F.col("conv_id") * 1000 + F.col("turn")).withColumn("key", T.canonical(F.col("text"))).withColumn("n", F.length("text"))
+    return X.deduplicate(c, score="n").select("conv_id", "turn")
+
+
+def _scores(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.posexplode("embedding").alias("proto", "x"))
+    return e.select("case_id", "proto", F.round(1 / (1 + F.exp(-F.col("x").cast("double"))), 5).alias("p"))
+
+
+Q_SCORES = "sc AS (SELECT vec_id AS case_id, generate_subscripts(embedding, 1) - 1 AS proto, unnest(embedding) AS x FROM embeddings), pr AS (SELECT case_id, proto, round(1 / (1 + exp(-x::DOUBLE)), 5) AS p FROM sc)"
+
+
+@query(f"WITH {Q_SCORES}, m AS (SELECT case_id, proto, p::FLOAT - 0.6::FLOAT AS margin FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY margin DESC, proto) AS rn, sum((margin >= 0)::INT) OVER (PARTITION BY case_id) AS n FROM m) SELECT case_id, proto FROM r WHERE (margin >= 0 AND rn <= 6) OR (n < 2 AND rn <= 2)")
+def threshold_select(spark, sf):
+    s = _scores(spark, sf)
+    t = spark.range(64).select(F.col("id").cast("int").alias("proto"), F.lit(0.6).alias("thr"))
+    return X.threshold_select(s, t, 2, 6).where("chosen").select("case_id", "proto")
+
+
+@query()
+def resolve_conflicts(spark, sf):
+    chosen = threshold_select(spark, sf).join(_scores(spark, sf), ["case_id", "proto"])
+    foes = spark.range(0, 63).select(F.col("id").cast("int").alias("i"), (F.col("id") + 1).cast("int").alias("j"))
+    return X.resolve(chosen.select("case_id", "proto", "p"), foes)
+
+
+_GATE = [(k - 4) / 4.0 for k in range(8)]
+
+
+@query("SELECT vec_id AS case_id, round(1 / (1 + exp(-(" + " + ".join(f"({w}) * embedding[{k + 1}]::DOUBLE / 2.0" for k, w in enumerate(_GATE)) + " + 0.1))), 6) AS p FROM embeddings")
+def logistic_gate(spark, sf):
+    e = table(spark, sf, "embeddings")
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    f = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    return e.select(F.col("vec_id").alias("case_id"), r6(X.gate_probability(f, lit(_GATE), lit([0] * 8), lit([2] * 8), F.lit(0.1))).alias("p"))
+
+
+@query()
+def gated_reports(spark, sf):
+    cases = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"))
+    rows = [(k, t, k, k < 3, [0.5 * (k % 3 - 1)] * 8, [0.0] * 8, [1.0] * 8, 0.0, 0.5) for k, t in enumerate(STATEMENTS[:8])]
+    bank = spark.createDataFrame(rows, "proto int, text string, position int, core boolean, weights array<double>, mean array<double>, scale array<double>, intercept double, threshold double")
+    return X.gated_reports(cases, bank).select("case_id", "report")
+
+
+# --- cases, joins, records ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 'complete' WHEN l.doc_id IS NULL THEN 'volume_only' ELSE 'report_only' END AS status, count(*) AS cases, array_to_string(list_sort(list(coalesce(d.doc_id, l.doc_id)))[1:20], ',') AS examples FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def integrity_profile(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.col("source").alias("volume"))
+    r = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.array(F.lit("report")).alias("report_paths"))
+    p = SRC.integrity_profile(d.join(r, "case_id", "full_outer"))
+    return p.select("status", "cases", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query("SELECT source || '-' || doc_id AS case_id, upper(regexp_extract(source, '^([A-Za-z]+)', 1)) AS center, n_chars AS report_count FROM documents")
+def manifest_projection(spark, sf):
+    d = table(spark, sf, "documents")
+    case = F.concat_ws("-", "source", "doc_id")
+    return d.select(case.alias("case_id"), T.group_of(case).alias("center"), F.col("n_chars").alias("report_count"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")
+def json_records(spark, sf):
+    return table(spark, sf, "events").withColumn("r", SRC.nested_record(F.col("props"), "k bigint")).select("event_id", "r.k", "event_type")
+
+
+@query("SELECT 'documents' AS variant, doc_id, n_chars, NULL::INTEGER AS quality FROM documents UNION ALL SELECT 'labels', doc_id, NULL, quality FROM labels")
+def union_variants(spark, sf):
+    d, l = table(spark, sf, "documents").select("doc_id", "n_chars"), table(spark, sf, "labels").select("doc_id", "quality")  # noqa: E741
+    return SRC.results_table({"documents": d, "labels": l}).select("variant", "doc_id", "n_chars", "quality")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def stale_cases(spark, sf):
+    requested = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.lit(1).alias("version"))
+    return SRC.stale_caches(requested, table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").alias("version")), ["version"]).select(F.col("case_id").alias("doc_id"))
+
+
+# --- consensus: conversations as cases, turns as reports ----------------------------------------------------------------
+
+
+def _turn_pairs(spark, sf) -> DataFrame:
+    """All ordered pairs of one conversation's turns (2 to 8 turns each)."""
+    c = table(spark, sf, "conversations")
+    a, b = c.select("conv_id", F.col("turn").alias("i"), F.col("text").alias("prediction")), c.select("conv_id", F.col("turn").alias("j"), F.col("text").alias("reference"))
+    return a.join(b, "conv_id").where("i <> j").withColumn("case_id", (F.col("conv_id") * 100 + F.col("i")) * 100 + F.col("j"))
+
+
+Q_TURNS = f"c AS (SELECT conv_id, turn, text, len(text) AS n FROM conversations), pairs AS (SELECT (a.conv_id * 100 + a.turn) * 100 + b.turn AS case_id, 'x' AS lang, a.text AS prediction, b.text AS reference FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn), tok AS (SELECT case_id, lang, regexp_extract_all(lower(prediction), '{PAT}') AS p, regexp_extract_all(lower(reference), '{PAT}') AS r FROM pairs)"
+
+
+@query(f"WITH {Q_TURNS}, {Q_METEOR}, s AS (SELECT case_id // 10000 AS conv_id, (case_id // 100) % 100 AS i, round(avg(meteor), 9) AS m, any_value(np) AS n FROM met2 GROUP BY 1, 2) SELECT conv_id, arg_max(i, (m, n, -i)) AS chosen FROM s GROUP BY conv_id")
+def medoid_reference(spark, sf):
+    p = _turn_pairs(spark, sf)
+    m = M.meteor(p, ["conv_id", "i", "j", "case_id"]).groupBy("conv_id", "i").agg(F.round(F.avg("meteor"), 9).alias("m"), F.max("np").alias("n"))
+    return m.groupBy("conv_id").agg(F.max_by("i", F.struct("m", "n", -F.col("i"))).alias("chosen"))
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')) AS w FROM conversations),
+ s AS (SELECT a.conv_id, a.turn AS i, any_value(len(a.text)) AS n, round(avg(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END), 9) AS s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY 1, 2)
+ SELECT conv_id, arg_max(i, (s, n, -i)) AS chosen FROM s GROUP BY conv_id"""
+)
+def consensus_jaccard(spark, sf):
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"), words("text").alias("w"))
+    both = c.select("conv_id", F.col("turn").alias("i"), "n", "w").join(c.select("conv_id", F.col("turn").alias("j"), F.col("w").alias("v")), "conv_id").where("i <> j")
+    s = both.groupBy("conv_id", "i").agg(F.round(F.avg(T.jaccard(F.col("w"), F.col("v"))), 9).alias("s"), F.max("n").alias("n"))
+    return s.groupBy("conv_id").agg(F.max_by("i", F.struct("s", "n", -F.col("i"))).alias("chosen"))
+
+
+@query()
+def mbr_consensus(spark, sf):
+    p = _turn_pairs(spark, sf)
+    keys = ["conv_id", "i", "j"]
+    u = M.caption_scores(p, keys).select(*keys, F.col("captioning").alias("u"), F.lit(1.0).alias("weight"))
+    return R.weighted_consensus(u, ["conv_id"]).withColumn("score", r6("score"))
+
+
+# --- splits and models ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS case_id, source, ((row_number() OVER (PARTITION BY source ORDER BY md5('2026:' || doc_id), doc_id) - 1 + CAST('0x' || substr(md5('2026:' || source), 1, 8) AS BIGINT)) % 5)::INTEGER AS fold FROM documents")
+def fold_round_robin(spark, sf):
+    return L.stratified_folds(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source"), "source")
+
+
+@query("WITH g AS (SELECT source AS held, row_number() OVER (ORDER BY source) - 1 AS split FROM (SELECT DISTINCT source FROM documents)) SELECT split::INTEGER AS split, CASE WHEN source = held THEN 'validation' ELSE 'train' END AS role, count(*) AS cases FROM documents, g GROUP BY ALL")
+def leave_one_group_out(spark, sf):
+    s = L.leave_one_group_out(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source"), "source")
+    return s.groupBy("split", "role").agg(F.count("*").alias("cases"))
+
+
+@query("WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query, e.vec_id AS item, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) / 64.0 AS d FROM q, embeddings e WHERE q.vec_id <> e.vec_id) SELECT query, arg_min(item, (d, item)) AS match, round(min(d), 6) AS distance FROM d GROUP BY query")
+def nearest_neighbour(spark, sf):
+    e = table(spark, sf, "embeddings")
+    # the stated query set: every fiftieth vector, against all others
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x) / 64.0
+    both = F.broadcast(q).join(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w")), F.col("query") != F.col("item"))
+    return both.withColumn("d", d).groupBy("query").agg(F.min(F.struct("d", "item")).alias("m")).select("query", F.col("m.item").alias("match"), r6("m.d").alias("distance"))
+
+
+@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS i FROM orders) SELECT 'o_totalprice' AS \"column\", round(m, 6) AS median, round(CASE WHEN i > 1e-6 THEN i ELSE 1.0 END, 6) AS scale FROM q")
+def robust_standardize(spark, sf):
+    return L.robust_stats(table(spark, sf, "orders"), ["o_totalprice"]).select("column", r6("median").alias("median"), r6("scale").alias("scale"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) AS z FROM orders")
+def standardized_prices(spark, sf):
+    return L.standardize(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]).select("o_orderkey", r6("o_totalprice").alias("z"))
+
+
+@query("SELECT least(floor(o_totalprice / 500000 * 16), 15)::INTEGER AS bin, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 500000 GROUP BY 1")
+def histogram_fixed_bins(spark, sf):
+    return L.histogram(table(spark, sf, "orders"), "o_totalprice", 16, 0.0, 500000.0)
+
+
+@query("SELECT vec_id, round(list_avg(list_transform(embedding[1:22], lambda x: x::DOUBLE)), 6) AS a, round(list_avg(list_transform(embedding[23:43], lambda x: x::DOUBLE)), 6) AS b, round(list_avg(list_transform(embedding[44:64], lambda x: x::DOUBLE)), 6) AS c FROM embeddings")
+def pooled_profile(spark, sf):
+    p = table(spark, sf, "embeddings").select("vec_id", L.pooled(F.col("embedding"), 3).alias("p"))
+    return p.select("vec_id", *[r6(F.element_at("p", k + 1)).alias(n) for k, n in enumerate("abc")])
+
+
+@query()
+def kmeans_routing(spark, sf):
+    f = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    return L.kmeans(f, k=4)[0].groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def ovr_logistic(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "label", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("f"))
+    bank = e.groupBy(F.col("label").alias("proto")).agg(F.count("*").alias("n"))
+    folds = L.stratified_folds(e, "label").select("case_id", "fold")
+    p = L.out_of_fold(e.select("case_id", "f"), e.select("case_id", F.col("label").alias("proto")), folds, bank)
+    return R.auc(p, "p", "y", ["proto"]).withColumn("auc", F.round("auc", 4))
+
+
+# --- ranks ---------------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+
+
+Q_AUC = "j AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)), k AS (SELECT {0} quality, rank() OVER ({1} ORDER BY n_chars) + (count(*) OVER (PARTITION BY {0} n_chars) - 1) / 2.0 AS r FROM j), a AS (SELECT {0} sum(quality) AS p, count(*) - sum(quality) AS n, sum(r * quality) AS s FROM k {2})"
+
+
+@query("WITH " + Q_AUC.format("", "", "") + " SELECT p::BIGINT AS positives, n::BIGINT AS negatives, round((s - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM a")
+def auc_ties(spark, sf):
+    return R.auc(_labelled(spark, sf), "n_chars", "quality").withColumn("auc", r6("auc"))
+
+
+@query("WITH " + Q_AUC.format("lang,", "PARTITION BY lang", "GROUP BY lang") + ", b AS (SELECT p, (s - p * (p + 1) / 2.0) / nullif(p * n, 0) AS auc, CASE WHEN p BETWEEN 1 AND 60 THEN '1-60' WHEN p >= 61 THEN '61-' END AS band FROM a) SELECT band, count(*) AS columns, round(avg(auc), 6) AS mean_auc, round(sum(auc * p) / sum(p), 6) AS weighted_auc FROM b WHERE auc IS NOT NULL AND band IS NOT NULL GROUP BY band")
+def auc_by_support_band(spark, sf):
+    s = R.auc_by_support(R.auc(_labelled(spark, sf), "n_chars", "quality", ["lang"]), [(1, 60), (61, None)])
+    return s.select("band", "columns", r6("mean_auc").alias("mean_auc"), r6("weighted_auc").alias("weighted_auc"))
+
+
+@query("WITH j AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)), h AS (SELECT lang, quality, sum(quality) OVER w AS hits, row_number() OVER w AS spot FROM j WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT lang, round(sum(CAST(hits AS DOUBLE) / spot * quality) / sum(quality), 6) AS average_precision FROM h GROUP BY lang HAVING sum(quality) > 0 AND sum(quality) < count(*)")
+def average_precision(spark, sf):
+    return R.average_precision(_labelled(spark, sf), "n_chars", "quality", ["lang"], ["doc_id"]).withColumn("average_precision", r6("average_precision"))
+
+
+@query("SELECT s_suppkey, rank() OVER (ORDER BY s_acctbal DESC) AS s_acctbal_rank, rank() OVER (ORDER BY s_nationkey DESC) AS s_nationkey_rank, round((rank() OVER (ORDER BY s_acctbal DESC) + rank() OVER (ORDER BY s_nationkey DESC)) / 2.0, 6) AS mean_position FROM supplier")
+def board_rank_mean(spark, sf):
+    b = R.positions(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_acctbal", "s_nationkey"])
+    return b.select("s_suppkey", F.col("s_acctbal_rank").cast("long"), F.col("s_nationkey_rank").cast("long"), r6("mean_position").alias("mean_position"))
+
+
+_BOARD = [("a", 0, 0.16, 0.35), ("b", 1, 0.14, 0.35), ("c", 2, 0.12, 0.34), ("d", 3, 0.12, 0.30), ("e", 4, 0.10, 0.36)]
+_TRIALS = [("x", 10, 0.15, 0.36), ("y", 11, 0.12, 0.34)]
+
+
+@query(
+    "WITH b(entry, o, bleu, meteor) AS (VALUES " + ", ".join(map(str, _BOARD)) + "), t(entry, o, bleu, meteor) AS (VALUES " + ", ".join(map(str, _TRIALS)) + """),
+ g AS (SELECT t.entry AS trial, b.* FROM b, t UNION ALL SELECT entry, * FROM t), r AS (SELECT trial, entry, (row_number() OVER (PARTITION BY trial ORDER BY bleu DESC, o) + row_number() OVER (PARTITION BY trial ORDER BY meteor DESC, o)) / 2.0 AS mean_place FROM g)
+ SELECT trial, entry, mean_place, mean_place = min(mean_place) OVER (PARTITION BY trial) AS wins FROM r"""
+)
+def board_insert_simulation(spark, sf):
+    schema = "entry string, input_order int, bleu double, meteor double"
+    r = R.insert_entry(spark.createDataFrame(_BOARD, schema), spark.createDataFrame(_TRIALS, schema), ["bleu", "meteor"])
+    return r.select("trial", "entry", "mean_place", "wins")
+
+
+@query("WITH c AS (SELECT o_orderstatus, o_orderpriority AS n, sum(o_totalprice) AS v FROM orders GROUP BY ALL), s AS (SELECT o_orderstatus, n, sum(v) OVER (PARTITION BY o_orderstatus ORDER BY n) AS v FROM c), g AS (SELECT *, v - coalesce(lag(v) OVER w, 0) AS gain, lag(n) OVER w AS before FROM s WINDOW w AS (PARTITION BY o_orderstatus ORDER BY n)) SELECT o_orderstatus, coalesce((min((n, before)) FILTER (gain < 2.5e7 AND before IS NOT NULL))[2], max(n)) AS knee FROM g GROUP BY o_orderstatus")
+def knee_point(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_orderstatus", F.col("o_orderpriority").alias("n")).agg(F.sum("o_totalprice").alias("v"))
+    curve = o.withColumn("v", F.sum("v").over(W.partitionBy("o_orderstatus").orderBy("n")))
+    return R.knee(curve, "n", "v", 2.5e7, ["o_orderstatus"])
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS folds, round(avg(l_quantity), 6) AS mean_l_quantity, min(l_quantity) AS worst_l_quantity, round(avg(l_discount), 6) AS mean_l_discount, min(l_discount) AS worst_l_discount FROM lineitem GROUP BY ALL")
+def grid_rollup(spark, sf):
+    g = R.grid_rollup(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_discount"])
+    return g.withColumns({c: r6(c) for c in ("mean_l_quantity", "mean_l_discount")})
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
+def quota_sample(spark, sf):
+    return R.quota(table(spark, sf, "documents").select("source", "doc_id"), "source", ["doc_id"], 5)
+
+
+@query("WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM orders) SELECT round(corr(a, b), 6) AS spearman, (SELECT arg_max(o_totalprice, (o_custkey, o_totalprice)) = max(o_totalprice) FROM orders) AS same_winner FROM r")
+def spearman(spark, sf):
+    return R.spearman(table(spark, sf, "orders"), "o_totalprice", "o_custkey").withColumn("spearman", r6("spearman"))
+
+
+# --- searches ------------------------------------------------------------------------------------------------------------
+
+
+def _small_bank(spark, sf) -> tuple[DataFrame, DataFrame]:
+    bank = table(spark, sf, "benchmark").orderBy("item_id").limit(6).select(F.col("item_id").cast("int").alias("proto"), "text", F.col("item_id").cast("int").alias("position"))
+    return bank, table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("reference"))
+
+
+@query()
+def greedy_report_search(spark, sf):
+    bank, refs = _small_bank(spark, sf)
+    t = S.greedy(bank, refs, [r["proto"] for r in bank.select("proto").collect()], most=2, refine=0)
+    return spark.createDataFrame([(s["n"], s["added"], round(s["value"], 6)) for s in t.steps], "n int, added int, value double")
+
+
+@query()
+def statement_bank(spark, sf):
+    """Statement types of the conversations: clusters of phrases that two or more conversations have."""
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("reports"))
+    return B.build(c, least_support=2, max_words=12).select("proto", "text", "section", "support", r6("prevalence").alias("prevalence"))
