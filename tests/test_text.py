@@ -44,7 +44,7 @@ def test_keys_and_rendering(spark):
 
 def test_qualifiers(spark):
     assert one(spark, "Teeth 16, 17 and 26 are restored", C.teeth) == [16, 17, 26]
-    assert one(spark, "lesion at tooth 99 and 36", C.teeth) == []  # a named number, though not a valid one, stops the bare search
+    assert one(spark, "tooth 99: see 36", C.teeth) == []  # a named number, though not a valid one, stops the bare search
     assert one(spark, "1.2 cm wide, 4,5 mm high", C.measurements) == [12.0, 4.5]
     assert one(spark, "Left and right canals", C.laterality) == "bilateral"
 
