@@ -99,19 +99,20 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     through with its first words only (and chars, its length, set anew). Documents that are not taken are left out."""
     served = fair_queue(docs, key=key, source=source, text=text, **options).where("part > 0")
     served = materialize(served.select("doc_id", "source", "size", "place", "epoch", "part"), "mix_served")
-    rows = docs.withColumn("_size", word_count(F.col(text)))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_k")) & F.col(source).cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    rows = docs.withColumn("_mix_words", word_count(F.col(text)))
     # rows alike in key, source and size are told apart by number; only then are they numbered
     alike = ["doc_id", "source", "size", "epoch"]
-    if not served.groupBy(*alike).agg(F.count("*").alias("c")).where("c > 1").isEmpty():
-        served = served.withColumn("_n", F.row_number().over(W.partitionBy(*alike).orderBy("place")))
-        rows = rows.withColumn("_m", F.row_number().over(W.partitionBy(key, source, "_size").orderBy(text)))
-        same = same & (F.col("_n") == F.col("_m"))
-    taken = rows.join(served.withColumnsRenamed({"doc_id": "_k", "source": "_s", "size": "_z", "part": "_part"}), same)
+    numbered = not served.groupBy(*alike).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if numbered:
+        served = served.withColumn("nth", F.row_number().over(W.partitionBy(*alike).orderBy("place")))
+        rows = rows.withColumn("_mix_n", F.row_number().over(W.partitionBy(key, source, "_mix_words").orderBy(text)))
+    served = served.select(*[F.col(c).alias(f"_mix_{c}") for c in served.columns])
+    same = F.col(key).cast("long").eqNullSafe(F.col("_mix_doc_id")) & F.col(source).cast("string").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
+    taken = rows.join(served, same & (F.col("_mix_n") == F.col("_mix_nth")) if numbered else same)
     # cut after each word, each piece with the white space before it
     pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    first_words = F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")
-    cut = F.col("_part") < F.col("_z")
+    first_words = F.array_join(F.slice(pieces, F.lit(1), F.col("_mix_part").cast("int")), "")
+    cut = F.col("_mix_part") < F.col("_mix_size")
     out = taken.withColumn(text, F.when(cut, first_words).otherwise(F.col(text)))
     if chars and chars in docs.columns:
         out = out.withColumn(chars, F.when(cut, F.length(text)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType))
