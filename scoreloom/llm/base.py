@@ -77,7 +77,7 @@ def bitmap_of(df: DataFrame, place: str, bits: int) -> np.ndarray:
         df.select(F.expr(f"({place}) & {(1 << bits) - 1}L").alias("p"))
         .groupBy(F.shiftrightunsigned("p", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
-        .toPandas()
+        .toArrow().to_pandas()
     )
     out = np.zeros(1 << max(bits - 6, 0), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)

@@ -112,7 +112,7 @@ def fit(training: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENT
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("turn"), pa.array([w.astype("<u2").tobytes() for w, _ in got], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in got], pa.binary())], ["lang", "turn", "where", "counts"])
 
     # at most DIMENSIONS + 1 rows, summed where they are made and again on the way
-    counted = arrow_map(training.select("text"), frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counted = arrow_map(training.select("text"), frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if counted.empty or not (n := int(counted.loc[counted["place"] == -1, "n"].sum())):
         return None
     idf = np.zeros(DIMENSIONS, np.float32)
