@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialize, mix64, texts_of
+from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, texts_of
 
 #: Words that the models tell apart: the most frequent of all documents (ties by word). A model parameter, not a cut of data.
 VOCABULARY = 60_000
 PAIRS = 1 << 19
+#: Bits of the pre-filter for the target's keys (4 MB), whatever the input.
+KEY_BITS = 25
 #: Words a task counts before it passes its sums on; bounds a task's memory.
 HELD_WORDS = 400_000
 #: Weight of the unigram model in a bigram's probability, as so many further words after each word.
@@ -100,11 +102,27 @@ def fit(docs: DataFrame, wanted: DataFrame, *, text: str = "text", key: str = "d
     bounded by the vocabulary and by PAIRS. The target's texts are moved once, by a semi-join, and written."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    target = materialize(own.join(wanted.select(F.col(key).alias("k")), "k", "left_semi").select("text"), "lm_target")
+    keys = wanted.select(F.col(key).alias("k"))
+    marks = spark.sparkContext.broadcast(bitmap_of(keys, "xxhash64(k)", KEY_BITS))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(marks.value, np.asarray(batch.column("place"))))).drop_columns(["place"])
+
+    # only texts that are likely of the target are moved to the exact semi-join
+    likely = arrow_map(own.withColumn("place", F.xxhash64("k")), near, own.schema)
+    target = materialize(likely.join(keys, "k", "left_semi").select("text"), "lm_target")
     rows = own.select("text", F.lit(False).alias("target")).union(target.select("text", F.lit(True).alias("target")))
     counted = materialize(word_counts(rows), "lm_words")
     total = counted.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
+    # the sixteenth of an octave of counts in which the vocabulary ends, so that no task sends more than is needed
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    at, held = 0, 0
+    for r in sorted(counted.groupBy(octave.alias("o")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["o"]):
+        at, held = r["o"], held + r["c"]
+        if held >= vocabulary:
+            break
+    top = counted.where(octave >= at).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow().to_pandas()
     number = {w: k + 2 for k, w in enumerate(top["word"])}
     size = len(number) + 2
     unigram = np.zeros((2, size))
@@ -129,7 +147,7 @@ def fit(docs: DataFrame, wanted: DataFrame, *, text: str = "text", key: str = "d
             n, t = np.concatenate([every[at], firsts[1][first]])[own], np.concatenate([wanted[at], firsts[0][first]])[own]
             yield pa.RecordBatch.from_arrays([pa.array(places[own], pa.int32()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["place", "n", "t"])
 
-    summed = arrow_map(rows, count, "place int, n long, t long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
+    summed = arrow_map(rows, count, "place int, n long, t long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow().to_pandas()
     pairs, context = np.zeros((2, PAIRS), np.float32), np.zeros((2, size), np.float32)
     place, n, t = (summed[c].to_numpy(np.int64) for c in ("place", "n", "t"))
     for table, own, at in ((pairs, place >= 0, place), (context, place < 0, -1 - place)):
