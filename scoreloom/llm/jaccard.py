@@ -22,8 +22,8 @@ from .families import link_families
 from .shingles import digest, shingle_sets
 
 PER_CENT = 75
-#: Bits of the pre-filters that are broadcast (16 MB and 4 MB), whatever the input; past their capacity they let more through.
-TOKEN_BITS, ID_BITS = 27, 25
+#: Bits of the pre-filters that are broadcast (8 MB and 4 MB), whatever the input; past their capacity they let more through.
+TOKEN_BITS, ID_BITS = 26, 25
 
 
 def extension(n: np.ndarray | int):
@@ -59,9 +59,20 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "cls", "n", "prefix"])
 
     known = materialize(arrow_map(rows, first, "doc_id long, cls long, n int, prefix array<long>"), f"{tag}_prefixes")
-    owned = known.where("n > 0").select("cls", F.explode("prefix").alias("token"))
-    live = owned.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(live, "token", TOKEN_BITS))
+    classes = known.where("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    classes = materialize(classes, f"{tag}_classes")
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    # one document of each class speaks for it (and hardly any other); what is counted twice only lets more through
+    speakers = broadcast(bitmap_of(classes, "xxhash64(doc_id)", ID_BITS))
+
+    def prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.filter(pa.array(in_bitmap(speakers.value, np.asarray(batch.column("place"))))).column("prefix")
+            yield pa.RecordBatch.from_arrays([lists.flatten()], ["token"])
+
+    owned = arrow_map(known.where("n > 0").select(F.xxhash64("doc_id").alias("place"), "prefix"), prefix_tokens, "token long")
+    live = owned.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = broadcast(bitmap_of(live, "token", TOKEN_BITS))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,19 +95,32 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     held = left.select("cls", "need", F.explode("tokens").alias("token"))
     twice = held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     alive = held.join(twice, "token").groupBy("cls").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("cls")
-    classes = known.where("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     alive = materialize(alive.join(classes, "cls"), f"{tag}_alive")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(alive, "xxhash64(doc_id)", ID_BITS))
+    wanted = broadcast(bitmap_of(alive, "xxhash64(doc_id)", ID_BITS))
+    placed = rows.select("text", F.xxhash64("doc_id").alias("place"))
+
+    def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        some = batch.filter(pa.array(in_bitmap(wanted.value, np.asarray(batch.column("place")))))
+        return (h for _, h in shingle_sets([t.encode() for t in texts_of(some)]) if len(h))
+
+    def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(sets_of(batch))
+            flat = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
+            for k in range(0, len(flat), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + 100_000])], ["token"])
+
+    # of whole sets, the overlap that a link asks for must be tokens that some other class has too
+    again = arrow_map(placed, all_tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    others = broadcast(bitmap_of(again, "token", TOKEN_BITS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(in_bitmap(wanted.value, np.asarray(batch.column("place")))))
-            got = [h for _, h in shingle_sets([t.encode() for t in texts_of(some)]) if len(h)]
+            got = [h for h in sets_of(batch) if in_bitmap(others.value, h).sum() >= -(-per_cent * len(h) // 100)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in got], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in got], pa.binary())], ["cls", "tokens"])
 
-    sets = arrow_map(rows.select("text", F.xxhash64("doc_id").alias("place")), whole, "cls long, tokens binary")
-    sets = sets.join(alive.select("cls", "copies"), "cls").groupBy("cls").agg(F.first("copies").alias("copies"), F.first("tokens").alias("tokens"))
-    sets = materialize(sets, f"{tag}_sets")
+    sets = arrow_map(placed, whole, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    sets = materialize(sets.join(alive.select("cls", "copies"), "cls"), f"{tag}_sets")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +128,14 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
             sizes = np.array([len(g) for g in got], np.int64)
             if not len(got):
                 continue
-            cls, n, flat = np.repeat(np.asarray(batch.column("cls")), sizes), np.repeat(sizes, sizes), np.concatenate(got)
+            cls, flat = np.repeat(np.asarray(batch.column("cls")), sizes), np.concatenate(got)
             for k in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 100_000], pa.int64()) for v in (cls, n, flat)], ["cls", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 100_000], pa.int64()) for v in (cls, flat)], ["cls", "token"])
 
-    tokens = arrow_map(sets.select("cls", "tokens"), explode, "cls long, n long, token long")
+    tokens = arrow_map(sets.select("cls", "tokens"), explode, "cls long, token long")
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(common, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ranked = tokens.join(common, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ranked = ranked.join(sets.select("cls", F.expr("cast(length(tokens) div 8 as long)").alias("n")), "cls")
     # tokens of one class alone come first in the order and take up the prefix
     length = F.expr(f"cast(n - ceil({per_cent} * n / 100) + 1 - (n - size(shared)) as int)")
     second = ranked.withColumn("length", length).where("length > 0").select("cls", F.explode(F.expr("slice(shared, 1, length).token")).alias("token"))
@@ -131,12 +156,24 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs, all columns, with one document of each component: that of the least key. Singles stay, whatever their text.
 
-    Of rows that repeat a kept key, each different text stays once."""
-    found = jaccard_components(docs, text=text, key=key, **options)
-    kept = materialize(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).withColumnRenamed("doc_id", "_key"), "jaccard_kept")
-    out = docs.join(kept.select("_key"), F.col(key).cast("long").eqNullSafe(F.col("_key")), "left_semi")
+    Of rows that repeat a kept key, each different text stays once. Texts are not moved, but for those whose key a
+    pre-filter takes for a removed one: they are joined exactly."""
+    found = materialize(jaccard_components(docs, text=text, key=key, **options).select("doc_id", "component_id"), "jaccard_found")
+    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).withColumnRenamed("doc_id", "_key")
     repeated = kept.where("c > 1").select("_key")
-    if repeated.isEmpty():
-        return out
+    gone = found.where("not doc_id <=> component_id").select("doc_id").union(repeated.select("_key"))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone, "xxhash64(doc_id)", ID_BITS))
+    placed = docs.withColumn("_place", F.xxhash64(F.col(key).cast("long")))
+
+    def part(doubtful: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(marks.value, np.asarray(batch.column("_place"))) == doubtful)).drop_columns(["_place"])
+
+        return arrow_map(placed, keep, docs.schema)
+
     same = F.col(key).cast("long").eqNullSafe(F.col("_key"))
-    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([key, text]))
+    checked = part(True).join(kept.select("_key"), same, "left_semi")
+    if not repeated.isEmpty():
+        checked = checked.join(repeated, same, "left_anti").unionByName(checked.join(repeated, same, "left_semi").dropDuplicates([key, text]))
+    return part(False).unionByName(checked)
