@@ -65,7 +65,11 @@ def report_statements(reports: DataFrame, text: str, case: str = "case_id") -> D
 
 def clinical_scores(pairs: DataFrame, threshold: float = V.ENTAILED_FROM) -> DataFrame:
     """Per case precision (statements of the prediction that the reference supports), recall (the reverse), F1, counts."""
-    p, r = report_statements(pairs, "prediction"), report_statements(pairs, "reference")
+    # both sides' statements are parsed in one go
+    sides = pairs.select("case_id", F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("prediction").alias("text")), F.struct(F.lit("r").alias("side"), F.col("reference").alias("text")))).alias("s")).select("case_id", "s.*")
+    found = sides.select("case_id", "side", F.posexplode(T.phrases(F.col("text"))).alias("position", "phrase")).where(T.is_verifiable(F.col("phrase")))
+    both_sides = signed(found)
+    p, r = (both_sides.where(F.col("side") == x).drop("side") for x in "pr")
     count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(f"{name}_count"), F.sum(F.col("entailed").cast("int")).alias(f"entailed_{name}_count"))
     both = pairs.select("case_id").join(count(supported(p, r, threshold=threshold), "candidate"), "case_id", "left").join(count(supported(r, p, threshold=threshold), "reference"), "case_id", "left").fillna(0)
     share = lambda n: F.coalesce(F.try_divide(F.col(f"entailed_{n}_count"), F.col(f"{n}_count")), F.lit(0.0))
