@@ -30,16 +30,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/scoreloom/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place.getParent(), True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing to be computed reads any more."""
+    _WRITTEN.remove(table.written_to)
+    _delete(table.sparkSession, table.written_to)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete what `materialize` has written so far. Only for a caller whose earlier results are all stored elsewhere."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path.getParent(), True)
+        _delete(spark, _WRITTEN.pop())
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, bitmap_of, in_bitmap, materialize, texts_of
+from .base import arrow_map, bitmap_of, discard, in_bitmap, materialize, texts_of
 from .families import link_families
 from .shingles import digest, shingle_sets
 
@@ -59,7 +59,8 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "cls", "n", "prefix"])
 
     known = materialize(arrow_map(rows, first, "doc_id long, cls long, n int, prefix array<long>"), f"{tag}_prefixes")
-    classes = known.where("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    sizes = materialize(known.select("doc_id", "cls", "n"), f"{tag}_sizes")
+    classes = sizes.where("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     classes = materialize(classes, f"{tag}_classes")
     broadcast = docs.sparkSession.sparkContext.broadcast
     # one document of each class speaks for it (and hardly any other); what is counted twice only lets more through
@@ -91,6 +92,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     left = arrow_map(known.where("n > 0").select("cls", "n", "prefix"), screen, "cls long, need long, tokens array<long>")
     left = materialize(left.groupBy("cls").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens")), f"{tag}_screened")
+    discard(known)
     # the same once more and exactly, among the classes left
     held = left.select("cls", "need", F.explode("tokens").alias("token"))
     twice = held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -145,7 +147,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     linked = link_families(sets, edges, per_cent, tag, **({"family_tokens": family_tokens} if family_tokens else {}))
 
     labels = linked.select(F.col("cls").alias("c"), "root", "links")
-    named = known.select("doc_id", "cls", "n").join(labels, F.col("cls") == F.col("c"), "left").withColumn("group", F.coalesce("root", "cls"))
+    named = sizes.select("doc_id", "cls", "n").join(labels, F.col("cls") == F.col("c"), "left").withColumn("group", F.coalesce("root", "cls"))
     named = materialize(named.select("doc_id", "n", "cls", "group", "links"), f"{tag}_named")
     least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g")
     twins = named.where("cls is not null").groupBy("cls").agg((F.count("*") - 1).alias("twins")).where("twins > 0").withColumnRenamed("cls", "k")
