@@ -192,6 +192,54 @@ def test_cross_entropy(spark):
     assert lm.score(docs.where("false"), models, wanted).count() == 0
 
 
+def plain_losses(rows, wanted):
+    """Exact counts of all words and pairs, in plain Python."""
+    texts = [(k, (t or "").lower().split()) for k, t in rows]
+    outcomes = len({w for _, t in texts for w in t}) + 1
+    models = []
+    for of in (lambda k: k in wanted, lambda k: True):
+        words, pairs, firsts = Counter(), Counter(), Counter()
+        for k, t in texts:
+            if of(k):
+                words.update(t)
+                pairs.update(zip(["<s>", *t], t))
+                firsts.update(["<s>", *t][: len(t)])
+        models.append((words, pairs, firsts))
+    out = {}
+    for k, t in texts:
+        got = []
+        for (words, pairs, firsts), less in zip(models, (k in wanted, True)):
+            own, own_pairs, own_firsts = Counter(t), Counter(zip(["<s>", *t], t)), Counter(["<s>", *t][: len(t)])
+            loss = 0.0
+            for a, b in zip(["<s>", *t], t):
+                p1 = (words[b] - less * own[b] + 1) / (sum(words.values()) - less * len(t) + outcomes)
+                loss -= np.log((pairs[a, b] - less * own_pairs[a, b] + lm.PRIOR * p1) / (firsts[a] - less * own_firsts[a] + lm.PRIOR))
+            got.append(loss / max(len(t), 1))
+        out[k] = (k in wanted, len(t), *got)
+    return out
+
+
+def test_cross_entropy_is_exact(spark, monkeypatch):
+    """Each word and pair has its own count however many there are, over several chunks and ranges of keys."""
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 3000)
+    monkeypatch.setattr(lm, "RANGE_WORDS", 20_000)
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{int(rng.expovariate(1) * 40_000)}" for _ in range(600))) for k in range(150)] + [(200, None), (201, "É é a"), (202, " ")]
+    wanted_keys = set(range(0, 150, 3)) | {201}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = spark.createDataFrame([(k,) for k in sorted(wanted_keys)] * 2, "doc_id long")
+    models = lm.fit(docs, wanted)
+    want = plain_losses(rows, wanted_keys)
+    # the second table is no longer that of fit: its chunks only ask
+    for asked in (docs, docs.where("doc_id < 90")):
+        got = lm.score(asked, models, wanted).collect()
+        assert len(got) == asked.count()
+        for r in got:
+            inside, n, target, background = want[r["doc_id"]]
+            assert (r["in_target"], r["n_words"]) == (inside, n)
+            assert abs(r["loss_target"] - target) < 1e-9 and abs(r["loss_background"] - background) < 1e-9
+
+
 # --- op5 ---------------------------------------------------------------------------------------------------------------
 
 
