@@ -1,5 +1,8 @@
 """Substring dedup by paragraphs: MinHash banding finds candidates, exact Jaccard verifies, components are removed but one.
 
+Passages of at least MIN_WORDS words that do not keep to lines are found by winnowed windows of half as many words: a run
+that stands in two places has a window in common, whatever stands around it (see `repeated_passages`).
+
 A paragraph is a line of at least MIN_WORDS words; its set is its five-word shingles. Paragraphs of equal sets are one
 class. BANDS bands of ROWS rows are tuned for recall: a pair of similarity 0.75 shares a band with probability
 1 - (1 - 0.75**4)**16 = 0.998, one of 0.8 with 0.9998; what shares a band is verified exactly.
@@ -12,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, texts_of
 from .families import link_families
-from .shingles import digest, shingle_sets
+from .shingles import _SPACE, WORDS, digest, shingle_sets, word_hashes
 
 MIN_WORDS = 50
 PER_CENT = 75
@@ -61,8 +65,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
-    """One row per place of a paragraph that stands, exactly or nearly, in more than one place: doc_id, begin and end
+def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
+    """One row per place of a line of min_words words that stands, exactly or nearly, in more than one place: doc_id, begin and end
     (characters), n_words, cluster (names the component), places (of the cluster), keep (true for its first place by
     doc_id and begin, which stays; the others are to be removed).
 
@@ -122,12 +126,135 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     return out.select("doc_id", "begin", "end", "n_words", "cluster", "places", keep.alias("keep"))
 
 
+def _windows(text: str, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, first and last character of each word (after it), and of the winnowed windows of `size` words (the least
+    of every `width` neighbours): place of the first word, hash. No windows if the text has fewer words than a run needs."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    edge = np.diff(np.concatenate([[False], ~_SPACE[raw], [False]]).astype(np.int8))
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    words = word_hashes(np.frombuffer(text.encode().lower(), np.uint8))[0]
+    begins, ends = chars[np.flatnonzero(edge == 1)], chars[np.flatnonzero(edge == -1)]
+    n = len(words) - size + 1
+    if n < width:
+        return words, begins, ends, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = np.zeros(n, np.uint64)
+    for k, factor in enumerate(mix64(np.arange(7000, 7000 + size, dtype=np.uint64)) | np.uint64(1)):
+        hashes += words[k : k + n] * factor
+    hashes = mix64(hashes)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(1) + np.arange(n - width + 1))
+    return words, begins, ends, at, hashes[at].view(np.int64)
+
+
+def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, tag: str = "passages") -> DataFrame:
+    """Runs of min_words words or more that stand elsewhere too, word for word but for white space and A-Z: the columns of
+    `repeated_paragraphs`. A run is made of windows that repeat, each at most a word from the next, and goes on at both ends
+    as far as any other place of its outer window agrees. It is cut where the first places of its windows change, so that a
+    cluster is a stretch of the text that has it first (kept) and its copies; parts of a long run may be short."""
+    size = min_words // 2
+    width = min_words - size + 1
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(*_windows(t, size, width)[1:],) for t in texts_of(batch)]
+            counts = np.array([len(g[2]) for g in got], np.int64)
+            if not counts.sum():
+                continue
+            owner = pa.array(np.repeat(np.arange(len(got)), counts))
+            columns = [np.concatenate(c) for c in zip(*((at, b[at], e[at + size - 1], h) for b, e, at, h in got if len(at)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(owner), batch.column("doc_id").take(owner), *(pa.array(c.astype(np.int32)) for c in columns[:3]), pa.array(columns[3])], ["uid", "doc_id", "pos", "cb", "ce", "hash"])
+
+    windows = materialize(arrow_map(rows, find, "uid long, doc_id long, pos int, cb int, ce int, hash long"), f"{tag}_windows")
+    place = F.struct("doc_id", "uid", "pos")
+    first = windows.groupBy("hash").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("hash", F.col("f.uid").alias("fuid"), F.col("f.pos").alias("fpos"))
+    text_order = Window.partitionBy("uid").orderBy("pos")
+    found = windows.join(first, "hash").dropDuplicates(["uid", "pos"])
+    step, after = F.col("pos") - F.lag("pos").over(text_order), F.lead("pos").over(text_order) - F.col("pos")
+    found = found.withColumn("left", F.coalesce(step > width, F.lit(True))).withColumn("right", F.coalesce(after > width, F.lit(True)))
+    turns = F.col("left") | (F.lag("fuid").over(text_order) != F.col("fuid")) | (F.col("fpos") - F.lag("fpos").over(text_order) != step)
+    found = found.withColumn("turn", turns).withColumn("run", F.sum(F.col("left").cast("int")).over(text_order)).withColumn("piece", F.sum(F.col("turn").cast("int")).over(text_order)).drop("turn")
+    found = materialize(found, f"{tag}_found")
+    marks = docs.sparkSession.sparkContext.broadcast([bitmap_of(found.where(side), "hash", CLASS_BITS) for side in ("left", "right")])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for uid, t in zip(batch.column("uid").to_pylist(), texts_of(batch), strict=True):
+                words, begins, ends, at, hashes = _windows(t, size, width)
+                low = words.astype("<u4")
+                for side in (0, 1) if len(at) else ():
+                    for k in np.flatnonzero(in_bitmap(marks.value[side], hashes)).tolist():
+                        a, b = int(at[k]), int(at[k]) + size
+                        own = slice(max(a - width, 0), a) if side == 0 else slice(b, b + width)
+                        near = low[own][::-1] if side == 0 else low[own]
+                        far = begins[a] - begins[own][::-1] if side == 0 else ends[own] - ends[b - 1]
+                        for column, v in zip(out, (int(hashes[k]), side, uid, a, near.tobytes(), far.astype("<i4").tobytes()), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["hash", "side", "uid", "pos", "near", "far"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of texts in order, the neighbours agree furthest; equal places (of equal rows) are one."""
+        held, most = None, 0
+
+        def common(a: bytes, b: bytes) -> int:
+            n = min(len(a), len(b)) // 4
+            differ = np.flatnonzero(np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n))
+            return int(differ[0]) if len(differ) else n
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "side", "uid", "pos", "near", "far")), strict=True):
+                if held and row[:4] == held[:4]:
+                    continue
+                n = common(held[4], row[4]) if held and row[:2] == held[:2] else 0
+                if held:
+                    out.append((held, max(most, n)))
+                held, most = row, n
+            yield packed(out)
+        if held:
+            yield packed([(held, most)])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        got = [(r[2], r[3], r[1], n, int.from_bytes(r[5][4 * n - 4 : 4 * n], "little")) for r, n in out if n]
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*got, strict=True)) or [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["uid", "pos", "side", "more", "chars"])
+
+    sent = arrow_map(rows.select("uid", "text"), around, "hash long, side int, uid long, pos int, near binary, far binary")
+    streams = sent.repartition("hash", "side").sortWithinPartitions("hash", "side", "near", "uid", "pos")
+    more = arrow_map(streams, agree, "uid long, pos int, side int, more int, chars int")
+    both = more.groupBy("uid", "pos").agg(*(F.max(F.expr(f"if(side = {k}, {c}, 0)")).alias(f"{c[0]}{k}") for k in (0, 1) for c in ("more", "chars")))
+    told = found.join(both, ["uid", "pos"], "left").fillna(0, ["m0", "c0", "m1", "c1"])
+    told = told.withColumn("a", F.expr("pos - if(left, m0, 0)")).withColumn("b", F.expr(f"pos + {size} + if(right, m1, 0)"))
+    told = told.withColumn("begin", F.expr("cb - if(left, c0, 0)")).withColumn("end", F.expr("ce + if(right, c1, 0)"))
+    pieces = told.groupBy("uid", "run", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.struct("pos", "fuid", "fpos")).alias("f"))
+    pieces = materialize(pieces, f"{tag}_pieces")
+    whole = pieces.groupBy("uid", "run").agg((F.max("b") - F.min("a") >= min_words).alias("long"))
+    source = found.select(F.col("uid").alias("fuid"), F.col("pos").alias("fpos"), F.xxhash64("uid", "piece").alias("cluster"))
+    keep = (F.col("uid") == F.col("f.fuid")) & (F.col("f.pos") == F.col("f.fpos"))
+    named = pieces.join(whole, ["uid", "run"]).withColumn("keep", keep).withColumn("fuid", F.col("f.fuid")).withColumn("fpos", F.col("f.fpos")).join(source, ["fuid", "fpos"])
+    clusters = named.groupBy("cluster").agg(F.count("*").alias("places"), F.max("long").alias("long")).where("long and places > 1").drop("long")
+    return named.drop("long").join(clusters, "cluster").select("doc_id", "begin", "end", (F.col("b") - F.col("a")).alias("n_words"), "cluster", "places", "keep")
+
+
+def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
+    """The rows of `repeated_lines`, and those of `repeated_passages` of which WORDS words or more stand outside them. Rows of
+    one text may overlap."""
+    lines = materialize(repeated_lines(docs, text=text, key=key, min_words=min_words, per_cent=per_cent, tag=tag, family_tokens=family_tokens), f"{tag}_lines")
+    passages = materialize(repeated_passages(docs, text=text, key=key, min_words=min_words), f"{tag}_passages")
+    held = lines.select(F.col("doc_id").alias("k"), F.col("begin").alias("lb"), F.col("end").alias("le")).distinct()
+    meet = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("lb") < F.col("end")) & (F.col("le") > F.col("begin"))
+    inside = F.when(F.col("le").isNull(), 0).otherwise(F.least("end", "le") - F.greatest("begin", "lb"))
+    own = passages.join(held, meet, "left").withColumn("inside", inside).groupBy(*passages.columns).agg(F.sum("inside").alias("inside"))
+    rest = own.where((F.col("end") - F.col("begin") - F.col("inside")) * F.col("n_words") >= WORDS * (F.col("end") - F.col("begin")))
+    return lines.unionByName(rest.select(*lines.columns))
+
+
 def without_repeats(docs: DataFrame, repeats: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every paragraph that is not kept cut out of its text, and the line break after it."""
     spans = repeats.where("not keep").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_key")
     joined = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left")
     # character places from 0; what stands between the spans is put together again
-    ends = F.expr("concat(array(0), transform(_spans, s -> s.end + 1))")
+    # (spans may overlap: a text goes on after the furthest end so far)
+    ends = F.expr("concat(array(0), transform(_spans, (s, i) -> array_max(transform(slice(_spans, 1, i + 1), x -> x.end)) + 1))")
     begins = F.expr(f"concat(transform(_spans, s -> s.begin), array(length({text}) + 1))")
     left = F.expr("aggregate(zip_with(_ends, _begins, (e, b) -> substring(_text, e + 1, greatest(b - e, 0))), '', (x, y) -> concat(x, y))")
     cut = joined.withColumn("_text", F.col(text)).withColumn("_ends", ends).withColumn("_begins", begins)

@@ -489,6 +489,26 @@ def test_paragraphs(spark, family_tokens):
     assert paragraphs.repeated_paragraphs(docs.where("false")).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    """A passage of 55 words is found where it begins mid-line, spans a line break or lies in a longer line, to the word."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(55)
+    w = passage.split()
+    broken = " ".join(w[:20]) + "\n" + " ".join(w[20:])
+    rows = [(1, words(100) + " " + passage + " " + words(90)), (2, words(7) + "\né " + broken + " " + words(30)), (3, words(30) + "\n" + words(30) + " " + passage.upper()), (4, words(300)), (5, words(40) + " " + " ".join(w[:40]) + " " + words(40)), (6, None), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.repeated_paragraphs(docs)
+    got = {r["doc_id"]: r for r in found.collect()}
+    text = dict(rows)
+    assert {1, 2, 3, 7} <= set(got) and not {4, 6} & set(got)
+    for k in (1, 2, 3, 7):
+        assert text[k][got[k]["begin"] : got[k]["end"]].lower().split() == w and got[k]["n_words"] == 55
+    assert [got[k]["keep"] for k in (1, 2, 3, 7)] == [True, False, False, False]
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(docs, found).collect()}
+    assert w[30] in cut[1] and w[30] not in cut[2] and cut[4] == text[4]
+
+
 def test_shingles_match_plain():
     rng = random.Random(10)
     texts = ["", " ", "a", "A b", "a b c d e", "a b c d e a b c d e", "É x y z q w e", "\x0b\x0ca\x0db", prose(rng, 3000), "w" * 400 + " b c d e f"]
