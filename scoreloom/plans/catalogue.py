@@ -613,4 +613,4 @@ def greedy_report_search(spark, sf):
 def statement_bank(spark, sf):
     """Statement types of the conversations: clusters of phrases that two or more conversations have."""
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("reports"))
-    return B.build(c, least_support=2, max_words=12).select("proto", "text", "section", "support", r6("prevalence").alias("prevalence"))
+    return B.build(c, least_support=2).select("proto", "text", "section", "support", r6("prevalence").alias("prevalence"))

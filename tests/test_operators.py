@@ -171,6 +171,16 @@ def test_average_linkage_matches_naive():
     assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())}
 
 
+def test_statement_bank_has_long_phrases(spark, tmp_path):
+    from scoreloom.plans import catalogue
+
+    text = "The quick survey of all the northern rooms shows that seventeen wooden tables were painted green before the winter festival began."
+    rows = [(k, 0, "user", text) for k in range(3)] + [(k, 1, "user", f"A short note about number{k} is here.") for k in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.QUERIES["statement_bank"](spark, str(tmp_path)).collect()
+    assert any("seventeen wooden tables" in r["text"] and r["support"] == 3 for r in got)
+
+
 def test_greedy_search_improves(spark):
     texts = ["No periapical lesion is seen in the scan", "The maxillary sinus is clear on both sides", "Something quite different stands here"]
     b = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "proto int, text string, position int")
