@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialize, texts_of
+from .base import arrow_map, materialize
 
 MAGIC = b"RNS1"
 PRECISION = 20
@@ -185,81 +186,140 @@ def decode_block(data: bytes, block: int, checkpoint: int = 0) -> np.ndarray:
     return symbols[out[: max(0, left)]]
 
 
-#: Per worker and tokenizer file: the tokenizer, ids of pieces at a text's begin, ids of pieces after a space.
+#: Per worker and tokenizer file: the tokenizer, its special strings, ids of pieces.
 _TOKENIZERS: dict[str, tuple] = {}
 #: Pieces whose ids a worker keeps; past this the store starts anew. Bounds memory, never results.
 KEPT_PIECES = 900_000
-_INNER = re.compile(r"\s (?!\S)")
+#: Bytes of text (one text at least) that are cut and looked up in one go.
+SLICE_BYTES = 4_000_000
+#: Begins a piece that no space stands before; texts that hold it are cut another way.
+BARE = "\x02"
+#: White space of any script, as an RE2 class.
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Texts in which a space or a line break is no cut by itself, for the white space around it.
+_ODD = rf"{BARE}|^\n|\n(?:{_SPACES}|$)|{_SPACES}\n|{_SPACES} (?:{_SPACES}|$)"
 _CUT = re.compile(r" (?=\S)")
+_WHITE = re.compile(r"\s")
 
 
-def _parts(text: str) -> list[str]:
-    """The text cut at spaces before which a byte-level pre-tokenizer always cuts; the space itself is left out.
-
-    It cuts before a space that a non-space follows, and before any space that a non-space precedes.
-    """
-    odd = "  " in text or "\n " in text or "\t " in text or "\r " in text or not text.isascii()
-    return _CUT.split(text) if odd and _INNER.search(text) else text.split(" ")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet (public rule): printable Latin-1 bytes stand for themselves, the others follow from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each whole text as little-endian u32, without special tokens added.
-
-    No merge crosses a cut of the pre-tokenizer, so the ids of a text are those of its pieces between cuts; the
-    tokenizers library is asked once for each new piece. Texts with the string of a special token go to it whole.
-    """
+def _tokenizer(path: str) -> tuple:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
         tokenizer = Tokenizer.from_file(path)
-        byte_level = json.loads(tokenizer.to_str())["pre_tokenizer"]
+        parts = json.loads(tokenizer.to_str())
+        byte_level = parts["pre_tokenizer"] or {}
         if byte_level.get("type") != "ByteLevel" or not byte_level.get("use_regex", True) or byte_level.get("add_prefix_space"):
             raise ValueError("a byte-level tokenizer with its own pattern and no added space is needed")
-        _TOKENIZERS[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {}, {}, _byte_letters()
-    tokenizer, specials, first, later, letters = _TOKENIZERS[path]
-    whole = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-    model = tokenizer.model
-
-    def word(letters_only: str) -> bytes:
-        """Of a space and letters: one piece of the pattern, so the model is asked without the pattern."""
-        if (got := later.get(letters_only)) is None:
-            got = later[letters_only] = np.array([x.id for x in model.tokenize((" " + letters_only).encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-        return got
+        if parts.get("normalizer"):
+            raise ValueError("a tokenizer without a normalizer is needed, as texts are cut before it would see them")
+        _TOKENIZERS[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {}
+    return _TOKENIZERS[path]
+
+
+class _Pieces:
+    """Ids of pieces between the cuts that a byte-level pre-tokenizer always makes; new ones are asked for together.
+
+    A piece stands after a space, or if it begins with BARE, right after the one before (or at the text's begin)."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.specials, self.known = _tokenizer(path)
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        (self.line,) = self.whole(["\n"])
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _as_lines(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each piece (as it stands, without line breaks): they go as one text, a line each, and a line break
+        between is a piece of its own there, so that the ids part at its id."""
+        for k in range(0, len(pieces), 4096):
+            some = pieces[k : k + 4096]
+            raw = self.whole(["\n".join(some)])[0]
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.line, "<u4")[0]) * 4 if len(self.line) == 4 else []
+            if len(cuts) == len(some) - 1:
+                ends = [*cuts.tolist(), len(raw)]
+                yield from (raw[a:b] for a, b in zip([0, *(c + 4 for c in ends[:-1])], ends, strict=True))
+            else:  # a vocabulary in which a line break is not told apart so
+                yield from self.whole(some)
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. What has white space in it is encoded by itself and not kept."""
+        # set.difference looks members up in the store; an operator would walk the whole store
+        new = set(pieces).difference(self.known)
+        if not new:
+            return [self.known[p] for p in pieces]
+        as_is = {p: p[1:] if p[:1] == BARE else f" {p}" for p in new}
+        hard = [p for p, t in as_is.items() if len(t) < 2 or _WHITE.search(t, 1)]
+        lined = [p for p in new.difference(hard)]
+        self.known.update(zip(lined, self._as_lines([as_is[p] for p in lined]), strict=True))
+        made = dict(zip(hard, self.whole([as_is[p] for p in hard]), strict=True)) if hard else {}
+        known = self.known
+        return [made[p] if p in made else known[p] for p in pieces] if made else [known[p] for p in pieces]
+
+    def of_parts(self, lists: pa.ListArray) -> list[bytes]:
+        """The ids of texts in pieces; the first of each stands at the text's begin."""
+        ends = np.asarray(lists.offsets)
+        flat = lists.flatten()
+        heads = self.ids([BARE + h for h in flat.take(pa.array(ends[:-1])).to_pylist()])
+        coded = flat.dictionary_encode()
+        values = pa.array(self.ids(coded.dictionary.to_pylist()), pa.large_binary())
+        # the ids of all pieces in their order are one buffer
+        laid = values.take(coded.indices)
+        at = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)
+        data = memoryview(laid.buffers()[2] or b"")
+        return [h + bytes(data[at[a + 1] : at[b]]) for h, a, b in zip(heads, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def encode_texts(texts: list[str] | pa.StringArray, path: str) -> list[bytes]:
+    """The ids of each whole text (null: empty) as little-endian u32, without special tokens added.
+
+    No merge crosses a cut of the pre-tokenizer, so the ids of a text are those of its pieces between cuts: it cuts before
+    a space that a non-space follows, and before any space that a non-space precedes. The tokenizers library is asked for
+    each new piece only. Texts with the string of a special token go to it whole.
+    """
+    column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    column = pc.fill_null(column, "")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    out: list[bytes] = []
+    at = 0
+    while at < len(column):
+        done = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        out += _encode_slice(column.slice(at, end - at), _Pieces(path))
+        at = end
+    return out
+
 
-    out = []
-    for text in texts:
-        if any(s in text for s in specials):
-            out += whole([text])
-            continue
-        parts = _parts(text)
-        if len(later) + len(first) > KEPT_PIECES:
-            later.clear()
-            first.clear()
-        if parts[0] not in first:
-            first[parts[0]] = whole(parts[:1])[0]
-        head, parts[0] = first[parts[0]], ""
-        hard = []
-        if "" not in later:
-            later[""] = whole([" "])[0]
-        for p in {p for p in parts if p not in later}:
-            if p.isalpha():
-                word(p)
-            elif p[-1] in ",." and p[:-1].isalpha():
-                if p[-1] not in first:
-                    first[p[-1]] = whole([p[-1]])[0]
-                later[p] = word(p[:-1]) + first[p[-1]]
-            else:
-                hard.append(p)
-        if hard:
-            later.update(zip(hard, whole([" " + p for p in hard]), strict=True))
-        out.append(head + b"".join(map(later.__getitem__, parts[1:])))
+def _cut_plain(texts: pa.StringArray) -> pa.ListArray:
+    """The pieces of texts without anything of _ODD: cut at spaces, around line breaks, and before a stop that follows a
+    letter or a digit and has a space after it."""
+    lined = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
+    return pc.split_pattern(pc.replace_substring_regex(lined, r"([\p{L}\p{N}])([,.]) ", rf"\1 {BARE}\2 "), " ")
+
+
+def _cut_odd(texts: pa.StringArray) -> pa.ListArray:
+    """The pieces of any texts: cut at spaces that a non-space follows; what begins with BARE itself is kept whole."""
+    return pa.array([_CUT.split(t) if BARE not in t else [t] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def _encode_slice(column: pa.StringArray, pieces: _Pieces) -> list[bytes]:
+    flag = lambda found: np.asarray(found.to_numpy(zero_copy_only=False), bool)
+    special = np.zeros(len(column), bool)
+    for s in pieces.specials:
+        special |= flag(pc.match_substring(column, s))
+    odd = flag(pc.match_substring_regex(column, _ODD)) & ~special
+    out: list[bytes] = [b""] * len(column)
+    for mask, encode in (
+        (special, lambda some: pieces.whole(some.to_pylist())),
+        (odd, lambda some: pieces.of_parts(_cut_odd(some))),
+        (~special & ~odd, lambda some: pieces.of_parts(_cut_plain(some))),
+    ):
+        if mask.any():
+            for k, ids in zip(np.flatnonzero(mask).tolist(), encode(column.filter(pa.array(mask))), strict=True):
+                out[k] = ids
     return out
 
 
@@ -293,14 +353,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "file", "n_docs", "n_ids", "data"])
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
-                for name, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(texts_of(batch), tokenizer_path), strict=True):
-                    names.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= segment_ids:
-                        yield close()
+            for name, ids in zip(whole.column("doc_id").to_pylist(), encode_texts(whole.column("text"), tokenizer_path), strict=True):
+                names.append(name)
+                held.append(ids + end)
+                size += len(ids) // 4 + 1
+                if size >= segment_ids:
+                    yield close()
         if names:
             yield close()
 
