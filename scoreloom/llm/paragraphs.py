@@ -10,17 +10,19 @@ class. BANDS bands of ROWS rows are tuned for recall: a pair of similarity 0.75
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, texts_of
 from .families import link_families
-from .shingles import _SPACE, WORDS, digest, shingle_sets, word_hashes
+from .shingles import CHUNK, WORDS, digest, shingle_sets, word_hashes
 
 MIN_WORDS = 50
 PER_CENT = 75
@@ -44,6 +46,10 @@ def paragraphs_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int,
     return out
 
 
+def _line_hashes(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit key of each set's (not empty) every band, that of the band's number in it."""
     out = np.empty((len(sets), BANDS), np.uint64)
@@ -66,83 +72,195 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
-    """One row per place of a line of min_words words that stands, exactly or nearly, in more than one place: doc_id, begin and end
-    (characters), n_words, cluster (names the component), places (of the cluster), keep (true for its first place by
-    doc_id and begin, which stays; the others are to be removed).
+    """One row per place of a line of min_words words that stands, exactly or nearly, in more than one place: doc_id,
+    text_hash (of the whole text), begin and end (characters), n_words, cluster (names the component), places (of the
+    cluster), keep (true for its first place by doc_id, text_hash and begin, which stays; the others are to be removed).
 
-    Null texts have no paragraphs. Null keys come first among places; of repeated rows with one key one place is kept.
-    An empty table gives no rows, very long paragraphs are compared whole, further columns are not read.
+    Null texts have no paragraphs. Null keys come first among places. Rows that repeat key and text are one document, whose
+    places come once; equal keys with different texts are told apart by text_hash. An empty table gives no rows, very long
+    paragraphs are compared whole, further columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "begin", "end", "n_words", "cls", "bands"]
         for whole in batches:
             for k in range(0, whole.num_rows, 100):
                 batch = whole.slice(k, 100)
-                found = [(name, *p) for name, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for p in paragraphs_of(t, min_words)]
+                found = [(n, *p) for n, t in enumerate(texts_of(batch)) for p in paragraphs_of(t, min_words)]
                 if not found:
                     continue
-                hashed = list(shingle_sets([f[3].encode() for f in found]))
+                owner, begins, ends, lines = zip(*found, strict=True)
+                coded = [x.encode() for x in lines]
+                hashed = list(shingle_sets(coded))
                 keys = band_keys([h for _, h in hashed]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(found) + 1), BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([n for n, _ in hashed], pa.int32()), pa.array([digest(h) for _, h in hashed], pa.int64()), lists], names)
+                numbers = [pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array([n for n, _ in hashed], pa.int32()), pa.array([digest(h) for _, h in hashed], pa.int64()), pa.array(_line_hashes(coded))]
+                at = pa.array(owner, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *numbers, lists], ["doc_id", "text_hash", "begin", "end", "n_words", "cls", "line", "bands"])
 
-    places = materialize(arrow_map(rows, find, "doc_id long, begin int, end int, n_words int, cls long, bands array<long>"), f"{tag}_places")
-    classes = places.groupBy("cls").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    places = materialize(arrow_map(rows, find, "doc_id long, text_hash long, begin int, end int, n_words int, cls long, line long, bands array<long>"), f"{tag}_places")
+    classes = places.groupBy("cls").agg(F.count("*").alias("copies"), F.min("line").alias("line"), F.first("bands").alias("bands"))
     classes = materialize(classes, f"{tag}_classes")
     banded = classes.select("cls", F.explode("bands").alias("band"))
     lead = banded.groupBy("band").agg(F.min("cls").alias("b"), F.max("cls").alias("high")).where("b <> high").select("band", "b")
     edges = materialize(banded.join(lead, "band").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), f"{tag}_edges")
     wanted = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "cls", CLASS_BITS))
+    # of each class one line is fetched, known by the hash of its bytes, so that no other line's shingles are made
+    fetched = classes.join(wanted, "cls", "left_semi").select("cls", "copies", "line")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(fetched, "line", CLASS_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             lines = [p[2].encode() for t in texts_of(batch) for p in paragraphs_of(t, min_words)]
-            got = [(digest(h), h) for _, h in shingle_sets(lines)]
-            held = in_bitmap(shared.value, np.array([d for d, _ in got], np.int64)) if got else []
-            new = {}
-            for (d, h), yes in zip(got, held, strict=True):
-                if yes and d not in seen:
-                    new[d] = h
+            names = _line_hashes(lines)
             # a copy that this task has sent need not go again; the list only spares work, so it may be forgotten
+            new = {n: x for n, x, yes in zip(names.tolist(), lines, in_bitmap(shared.value, names), strict=True) if yes and n not in seen}
             if len(seen) > 500_000:
                 seen.clear()
             seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([h.astype("<u8").tobytes() for h in new.values()], pa.binary())], ["cls", "tokens"])
+            hashes = [h for _, h in shingle_sets(list(new.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in hashes], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())], ["cls", "tokens"])
 
     sets = arrow_map(rows.select("text"), fetch, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    sets = sets.join(wanted, "cls", "left_semi").join(classes.select("cls", "copies"), "cls")
+    sets = sets.join(fetched.select("cls", "copies"), "cls")
     linked = link_families(sets.select("cls", "copies", "tokens"), edges, per_cent, tag, **({"family_tokens": family_tokens} if family_tokens else {}))
     labels = linked.select(F.col("cls").alias("c"), "root")
-    named = places.drop("bands").join(labels, F.col("cls") == F.col("c"), "left").withColumn("cluster", F.coalesce("root", "cls")).drop("c", "root", "cls")
-    named = materialize(named, f"{tag}_named")
+    named = places.drop("bands", "line").join(labels, F.col("cls") == F.col("c"), "left").withColumn("cluster", F.coalesce("root", "cls")).drop("c", "root", "cls")
+    named = materialize(named.dropDuplicates(["doc_id", "text_hash", "begin"]), f"{tag}_named")
     # the first place of a cluster by an aggregate, not a window, so that a cluster of very many places is no one task's
-    first = named.groupBy("cluster").agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "begin")).alias("first")).where("places > 1").withColumnRenamed("cluster", "k")
+    place = F.struct("doc_id", "text_hash", "begin")
+    first = named.groupBy("cluster").agg(F.count("*").alias("places"), F.min(place).alias("first")).where("places > 1").withColumnRenamed("cluster", "k")
     out = named.join(first, F.col("cluster") == F.col("k"))
-    keep = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("begin") == F.col("first.begin"))
-    return out.select("doc_id", "begin", "end", "n_words", "cluster", "places", keep.alias("keep"))
-
-
-def _windows(text: str, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, first and last character of each word (after it), and of the winnowed windows of `size` words (the least
-    of every `width` neighbours): place of the first word, hash. No windows if the text has fewer words than a run needs."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    edge = np.diff(np.concatenate([[False], ~_SPACE[raw], [False]]).astype(np.int8))
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    words = word_hashes(np.frombuffer(text.encode().lower(), np.uint8))[0]
-    begins, ends = chars[np.flatnonzero(edge == 1)], chars[np.flatnonzero(edge == -1)]
-    n = len(words) - size + 1
-    if n < width:
-        return words, begins, ends, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = np.zeros(n, np.uint64)
-    for k, factor in enumerate(mix64(np.arange(7000, 7000 + size, dtype=np.uint64)) | np.uint64(1)):
-        hashes += words[k : k + n] * factor
-    hashes = mix64(hashes)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(1) + np.arange(n - width + 1))
-    return words, begins, ends, at, hashes[at].view(np.int64)
+    return out.select("doc_id", "text_hash", "begin", "end", "n_words", "cluster", "places", place.eqNullSafe(F.col("first")).alias("keep"))
+
+
+#: Base of the rolling hash over words, and its inverse modulo 2**64 (an odd number has one).
+_BASE = int(mix64(np.array([7001], np.uint64))[0]) | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Windows:
+    """Words of some texts laid end to end and their winnowed windows of `size` words, each the least by hash of `width`
+    neighbours that lie in one text. What is chosen in a stretch of text depends on its words alone."""
+
+    def __init__(self, texts: list[str], size: int, width: int) -> None:
+        coded = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(coded), np.uint8)
+        self.size, self.width = size, width
+        self.words, starts, ends = word_hashes(np.frombuffer(raw.tobytes().lower(), np.uint8))
+        # characters before each byte; only differences within a text are asked for
+        chars = np.cumsum((raw & 0xC0) != 0x80)
+        self.begins, self.ends = chars[starts] - 1, chars[ends - 1]
+        offsets = np.cumsum([0, *(len(t) + 1 for t in coded)])
+        self.bounds = np.searchsorted(starts, offsets)
+        self.zero = np.concatenate([chars, [0]])[np.minimum(offsets[:-1], len(raw))] - 1
+        owner = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        self.zero[np.diff(self.bounds) == 0] = 0
+        n = len(self.words)
+        reach = size + width - 1
+        self.at = np.zeros(0, np.int64)
+        if n >= reach:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * _powers(_BASE, n), dtype=np.uint64)])
+            hashes = mix64((sums[size:] - sums[:-size]) * _powers(_INVERSE, n - size + 1))
+            # the window's place in the low bits, so that the least hash names it and of equals the first is taken
+            low = np.uint64(n.bit_length())
+            least = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
+            span = 1
+            while 2 * span <= width:
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            if span < width:
+                least = np.minimum(least[: -(width - span)], least[width - span :])
+            inside = owner[: n - reach + 1] == owner[reach - 1 :]
+            chosen = (least[inside] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+            self.at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
+            self.hashes = hashes[self.at].view(np.int64)
+        else:
+            self.hashes = np.zeros(0, np.int64)
+        self.owner = owner[self.at]
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: its first word in its text, first and last character."""
+        zero = self.zero[self.owner]
+        return self.at - self.bounds[self.owner], self.begins[self.at] - zero, self.ends[self.at + self.size - 1] - zero
+
+    def around(self, chosen: np.ndarray, side: int) -> tuple[pa.Array, pa.Array]:
+        """Of the chosen windows the words next to them, nearest first and as many as `width` in the text, by the low half
+        of their hashes, and how many characters further the text goes with each."""
+        a = self.at[chosen]
+        steps = np.arange(1, self.width + 1)
+        if side == 0:
+            words = a[:, None] - steps
+            held = words >= self.bounds[self.owner[chosen]][:, None]
+            far = self.begins[a][:, None] - self.begins[np.where(held, words, 0)]
+        else:
+            last = a + self.size - 1
+            words = last[:, None] + steps
+            held = words < self.bounds[self.owner[chosen] + 1][:, None]
+            far = self.ends[np.where(held, words, 0)] - self.ends[last][:, None]
+        ends = pa.py_buffer(np.concatenate([[0], np.cumsum(held.sum(1)) * 4]).astype(np.int32))
+        return tuple(pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, ends, pa.py_buffer(np.ascontiguousarray(v[held]))]) for v in (self.words.astype("<u4")[np.where(held, words, 0)], far.astype("<i4")))
+
+
+def _windows_of(batch: pa.RecordBatch, size: int, width: int) -> Iterator[tuple[int, _Windows]]:
+    """The windows of a batch's texts, some CHUNK bytes of text at a time, with the row that they begin at."""
+    texts = texts_of(batch)
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= CHUNK):
+            held += len(texts[end])
+            end += 1
+        yield at, _Windows(texts[at:end], size, width)
+        at = end
+
+
+def _agreement(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, side, uid, pos, near, far) in order of hash, side, near: of each place, how many words the neighbours agree
+    that agree furthest (the next in order do), and how many characters that is. Equal places (of equal rows) are one."""
+    names = ["uid", "pos", "side", "more", "chars"]
+    held: pa.RecordBatch | None = None
+    most = 0
+
+    def out(rows: pa.RecordBatch, more: np.ndarray) -> pa.RecordBatch:
+        found = np.flatnonzero(more)
+        at = np.frombuffer(rows.column("far").buffers()[1], np.int32)[rows.column("far").offset :][found] // 4 + more[found] - 1
+        chars = np.frombuffer(rows.column("far").buffers()[2] or b"", "<i4")[at]
+        some = rows.take(pa.array(found))
+        return pa.RecordBatch.from_arrays([some.column("uid"), some.column("pos"), some.column("side"), pa.array(more[found], pa.int32()), pa.array(chars, pa.int32())], names)
+
+    for batch in batches:
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        h, side, uid, pos = (np.asarray(rows.column(c)) for c in ("hash", "side", "uid", "pos"))
+        group = (h[1:] == h[:-1]) & (side[1:] == side[:-1])
+        twin = group & (uid[1:] == uid[:-1]) & (pos[1:] == pos[:-1])
+        if twin.any():
+            rows = rows.filter(pa.array(np.concatenate([[True], ~twin])))
+            h, side = np.asarray(rows.column("hash")), np.asarray(rows.column("side"))
+            group = (h[1:] == h[:-1]) & (side[1:] == side[:-1])
+        near = rows.column("near")
+        ends = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(rows) + 1] // 4
+        words = np.frombuffer(near.buffers()[2] or b"", "<u4")
+        size = np.diff(ends)
+        inside = np.arange(width) < size[:, None]
+        laid = np.zeros(inside.shape, np.uint32)
+        laid[inside] = words[ends[0] : ends[-1]]
+        same = (laid[1:] == laid[:-1]) & inside[1:] & inside[:-1] & group[:, None]
+        agree = np.logical_and.accumulate(same, 1).sum(1)
+        before = np.concatenate([[most if held is not None else 0], agree])
+        more = np.maximum(before, np.concatenate([agree, [0]]))
+        if len(rows) > 1:
+            yield out(rows.slice(0, len(rows) - 1), more[:-1])
+        held, most = rows.slice(len(rows) - 1), int(before[-1])
+    if held is not None:
+        yield out(held, np.array([most]))
 
 
 def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, tag: str = "passages") -> DataFrame:
@@ -152,19 +270,18 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     cluster is a stretch of the text that has it first (kept) and its copies; parts of a long run may be short."""
     size = min_words // 2
     width = min_words - size + 1
-    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    uid = F.xxhash64(F.col(key), F.col(text))
+    rows = docs.select(uid.alias("uid"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text")).where("text is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(*_windows(t, size, width)[1:],) for t in texts_of(batch)]
-            counts = np.array([len(g[2]) for g in got], np.int64)
-            if not counts.sum():
-                continue
-            owner = pa.array(np.repeat(np.arange(len(got)), counts))
-            columns = [np.concatenate(c) for c in zip(*((at, b[at], e[at + size - 1], h) for b, e, at, h in got if len(at)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("uid").take(owner), batch.column("doc_id").take(owner), *(pa.array(c.astype(np.int32)) for c in columns[:3]), pa.array(columns[3])], ["uid", "doc_id", "pos", "cb", "ce", "hash"])
-
-    windows = materialize(arrow_map(rows, find, "uid long, doc_id long, pos int, cb int, ce int, hash long"), f"{tag}_windows")
+            for at, w in _windows_of(batch, size, width):
+                if len(w.at):
+                    owner = pa.array(w.owner + at)
+                    pos, cb, ce = (pa.array(v.astype(np.int32)) for v in w.places())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in ("uid", "doc_id", "text_hash")), pos, cb, ce, pa.array(w.hashes)], ["uid", "doc_id", "text_hash", "pos", "cb", "ce", "hash"])
+
+    windows = materialize(arrow_map(rows, find, "uid long, doc_id long, text_hash long, pos int, cb int, ce int, hash long"), f"{tag}_windows")
     place = F.struct("doc_id", "uid", "pos")
     first = windows.groupBy("hash").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("hash", F.col("f.uid").alias("fuid"), F.col("f.pos").alias("fpos"))
     text_order = Window.partitionBy("uid").orderBy("pos")
@@ -178,70 +295,43 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for uid, t in zip(batch.column("uid").to_pylist(), texts_of(batch), strict=True):
-                words, begins, ends, at, hashes = _windows(t, size, width)
-                low = words.astype("<u4")
-                for side in (0, 1) if len(at) else ():
-                    for k in np.flatnonzero(in_bitmap(marks.value[side], hashes)).tolist():
-                        a, b = int(at[k]), int(at[k]) + size
-                        own = slice(max(a - width, 0), a) if side == 0 else slice(b, b + width)
-                        near = low[own][::-1] if side == 0 else low[own]
-                        far = begins[a] - begins[own][::-1] if side == 0 else ends[own] - ends[b - 1]
-                        for column, v in zip(out, (int(hashes[k]), side, uid, a, near.tobytes(), far.astype("<i4").tobytes()), strict=True):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["hash", "side", "uid", "pos", "near", "far"])
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of texts in order, the neighbours agree furthest; equal places (of equal rows) are one."""
-        held, most = None, 0
-
-        def common(a: bytes, b: bytes) -> int:
-            n = min(len(a), len(b)) // 4
-            differ = np.flatnonzero(np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n))
-            return int(differ[0]) if len(differ) else n
-
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "side", "uid", "pos", "near", "far")), strict=True):
-                if held and row[:4] == held[:4]:
-                    continue
-                n = common(held[4], row[4]) if held and row[:2] == held[:2] else 0
-                if held:
-                    out.append((held, max(most, n)))
-                held, most = row, n
-            yield packed(out)
-        if held:
-            yield packed([(held, most)])
-
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        got = [(r[2], r[3], r[1], n, int.from_bytes(r[5][4 * n - 4 : 4 * n], "little")) for r, n in out if n]
-        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*got, strict=True)) or [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["uid", "pos", "side", "more", "chars"])
+            for at, w in _windows_of(batch, size, width):
+                for side in (0, 1):
+                    chosen = np.flatnonzero(in_bitmap(marks.value[side], w.hashes))
+                    if len(chosen):
+                        near, far = w.around(chosen, side)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(w.hashes[chosen]), pa.array(np.full(len(chosen), side, np.int32)), batch.column("uid").take(pa.array(w.owner[chosen] + at)), pa.array(w.places()[0][chosen].astype(np.int32)), near, far],
+                            ["hash", "side", "uid", "pos", "near", "far"],
+                        )
 
     sent = arrow_map(rows.select("uid", "text"), around, "hash long, side int, uid long, pos int, near binary, far binary")
     streams = sent.repartition("hash", "side").sortWithinPartitions("hash", "side", "near", "uid", "pos")
-    more = arrow_map(streams, agree, "uid long, pos int, side int, more int, chars int")
+    more = arrow_map(streams, lambda batches: _agreement(batches, width), "uid long, pos int, side int, more int, chars int")
     both = more.groupBy("uid", "pos").agg(*(F.max(F.expr(f"if(side = {k}, {c}, 0)")).alias(f"{c[0]}{k}") for k in (0, 1) for c in ("more", "chars")))
     told = found.join(both, ["uid", "pos"], "left").fillna(0, ["m0", "c0", "m1", "c1"])
     told = told.withColumn("a", F.expr("pos - if(left, m0, 0)")).withColumn("b", F.expr(f"pos + {size} + if(right, m1, 0)"))
     told = told.withColumn("begin", F.expr("cb - if(left, c0, 0)")).withColumn("end", F.expr("ce + if(right, c1, 0)"))
-    pieces = told.groupBy("uid", "run", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.struct("pos", "fuid", "fpos")).alias("f"))
+    pieces = told.groupBy("uid", "run", "piece").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.struct("pos", "fuid", "fpos")).alias("f"))
     pieces = materialize(pieces, f"{tag}_pieces")
     whole = pieces.groupBy("uid", "run").agg((F.max("b") - F.min("a") >= min_words).alias("long"))
     source = found.select(F.col("uid").alias("fuid"), F.col("pos").alias("fpos"), F.xxhash64("uid", "piece").alias("cluster"))
     keep = (F.col("uid") == F.col("f.fuid")) & (F.col("f.pos") == F.col("f.fpos"))
     named = pieces.join(whole, ["uid", "run"]).withColumn("keep", keep).withColumn("fuid", F.col("f.fuid")).withColumn("fpos", F.col("f.fpos")).join(source, ["fuid", "fpos"])
     clusters = named.groupBy("cluster").agg(F.count("*").alias("places"), F.max("long").alias("long")).where("long and places > 1").drop("long")
-    return named.drop("long").join(clusters, "cluster").select("doc_id", "begin", "end", (F.col("b") - F.col("a")).alias("n_words"), "cluster", "places", "keep")
+    return named.drop("long").join(clusters, "cluster").select("doc_id", "text_hash", "begin", "end", (F.col("b") - F.col("a")).alias("n_words"), "cluster", "places", "keep")
 
 
 def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
     """The rows of `repeated_lines`, and those of `repeated_passages` of which WORDS words or more stand outside them. Rows of
-    one text may overlap."""
+    one text may overlap.
+
+    Null texts have no paragraphs, an empty table gives no rows, further columns are not read. Rows that repeat key and text
+    are one document, whose places come once; equal keys with different texts are told apart by text_hash."""
     lines = materialize(repeated_lines(docs, text=text, key=key, min_words=min_words, per_cent=per_cent, tag=tag, family_tokens=family_tokens), f"{tag}_lines")
     passages = materialize(repeated_passages(docs, text=text, key=key, min_words=min_words), f"{tag}_passages")
-    held = lines.select(F.col("doc_id").alias("k"), F.col("begin").alias("lb"), F.col("end").alias("le")).distinct()
-    meet = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("lb") < F.col("end")) & (F.col("le") > F.col("begin"))
+    held = lines.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("begin").alias("lb"), F.col("end").alias("le"))
+    meet = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("lb") < F.col("end")) & (F.col("le") > F.col("begin"))
     inside = F.when(F.col("le").isNull(), 0).otherwise(F.least("end", "le") - F.greatest("begin", "lb"))
     own = passages.join(held, meet, "left").withColumn("inside", inside).groupBy(*passages.columns).agg(F.sum("inside").alias("inside"))
     rest = own.where((F.col("end") - F.col("begin") - F.col("inside")) * F.col("n_words") >= WORDS * (F.col("end") - F.col("begin")))
@@ -249,13 +339,15 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with every paragraph that is not kept cut out of its text, and the line break after it."""
-    spans = repeats.where("not keep").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_key")
-    joined = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left")
+    """docs, all columns, with every paragraph that is not kept cut out of its text, and the line break after it. Rows without
+    such a paragraph, null texts among them, stay as they are; an empty table on either side changes nothing."""
+    made = {n: f"{n}_{uuid.uuid4().hex}" for n in ("key", "hash", "spans", "whole", "ends", "begins")}
+    spans = repeats.where("not keep").groupBy(F.col("doc_id").alias(made["key"]), F.col("text_hash").alias(made["hash"])).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias(made["spans"]))
+    joined = docs.join(spans, F.col(key).cast("long").eqNullSafe(F.col(made["key"])) & (F.xxhash64(F.col(text)) == F.col(made["hash"])), "left")
     # character places from 0; what stands between the spans is put together again
     # (spans may overlap: a text goes on after the furthest end so far)
-    ends = F.expr("concat(array(0), transform(_spans, (s, i) -> array_max(transform(slice(_spans, 1, i + 1), x -> x.end)) + 1))")
-    begins = F.expr(f"concat(transform(_spans, s -> s.begin), array(length({text}) + 1))")
-    left = F.expr("aggregate(zip_with(_ends, _begins, (e, b) -> substring(_text, e + 1, greatest(b - e, 0))), '', (x, y) -> concat(x, y))")
-    cut = joined.withColumn("_text", F.col(text)).withColumn("_ends", ends).withColumn("_begins", begins)
-    return cut.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.rtrim(left))).select(*docs.columns)
+    ends = F.expr("concat(array(0), transform({spans}, (s, i) -> array_max(transform(slice({spans}, 1, i + 1), x -> x.end)) + 1))".format(**made))
+    begins = F.expr(f"concat(transform({made['spans']}, s -> s.begin), array(length(`{text}`) + 1))")
+    left = F.expr("aggregate(zip_with({ends}, {begins}, (e, b) -> substring({whole}, e + 1, greatest(b - e, 0))), '', (x, y) -> concat(x, y))".format(**made))
+    cut = joined.withColumn(made["whole"], F.col(text)).withColumn(made["ends"], ends).withColumn(made["begins"], begins)
+    return cut.withColumn(text, F.when(F.col(made["spans"]).isNull(), F.col(text)).otherwise(F.rtrim(left))).select(*docs.columns)

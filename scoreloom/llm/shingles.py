@@ -30,22 +30,22 @@ def _places(longest: int) -> np.ndarray:
     return _PLACE
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte's place of each word of the bytes."""
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place of the first byte and of that after the last, of each word of the bytes."""
     letter = ~_SPACE[raw]
     edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, ends
     lengths = ends - starts
     inner = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     values = _BYTE[raw[letter]] * _places(int(lengths.max()))[inner]
-    return mix64(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)), starts
+    return mix64(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)), starts, ends
 
 
 def _of_chunk(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
-    words, starts = word_hashes(raw)
+    words, starts, _ = word_hashes(raw)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     bounds = np.searchsorted(starts, offsets).tolist()
     n = max(0, len(words) - WORDS + 1)
