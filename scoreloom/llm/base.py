@@ -6,21 +6,25 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by `materialize` in this process, oldest first.
-_WRITTEN: list[str] = []
+#: For each open `owned` block, innermost last, the folders that `materialize` has written in it.
+_OWNERS: list[list[str]] = []
 #: Rows of an Arrow batch sent to Python; long texts make larger batches needlessly big.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset, as
+    its driver and executors are one process with one temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or os.path.join(tempfile.gettempdir(), f"scoreloom-{os.getuid()}")).rstrip("/")
 
 
@@ -29,7 +33,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoreloom/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -42,14 +47,39 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def discard(table: DataFrame) -> None:
     """Delete a table of `materialize` that nothing to be computed reads any more."""
-    _WRITTEN.remove(table.written_to)
+    for written in _OWNERS:
+        if table.written_to in written:
+            written.remove(table.written_to)
     _delete(table.sparkSession, table.written_to)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete what `materialize` has written so far. Only for a caller whose earlier results are all stored elsewhere."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """Collects the folders that `materialize` writes in the block, for `drop` once nothing reads them any more."""
+    written: list[str] = []
+    _OWNERS.append(written)
+    try:
+        yield written
+    finally:
+        _OWNERS.remove(written)
+
+
+def drop(spark: SparkSession, written: list[str]) -> None:
+    """Delete folders of an `owned` block."""
+    while written:
+        _delete(spark, written.pop())
+
+
+def settled(build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What build returns, written as a table; the tables that build wrote on its way are deleted."""
+    with owned() as written:
+        made = build()
+        with owned() as kept:
+            out = materialize(made, tag)
+    drop(out.sparkSession, written)
+    if _OWNERS:
+        _OWNERS[-1] += kept
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -139,13 +169,12 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
     Alternating large-star and small-star steps (public MapReduce algorithm): a step is one shuffle whose groups are
     only aggregated by minimum and joined, so no node's neighbours are gathered in one place. Each round is written
-    to the shared folder. Rounds grow with the logarithm of the longest path.
+    to the shared folder, the one before deleted. Rounds grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     small_batches(spark)
     pairs = edges.where("a <> b").select("a", "b").mapInArrow(_local_forest, "a long, b long")
     pairs = materialize(pairs, tag)
-    before = None
     while True:
         # large star: every neighbour above the node is tied to the smallest neighbour (or the node itself)
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -155,11 +184,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        pairs = materialize(small, tag)
-        now = pairs.agg(F.count("*"), F.sum(F.col("a") % 1000003), F.sum(F.col("b") % 1000003), F.max("b"), F.countDistinct("a")).first()
-        if now == before or now[0] == 0:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        last, pairs = pairs, materialize(small, tag)
+        discard(last)
         # each node hangs on one root, and no root hangs on another: done
-        if now[0] == now[4] and pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        rows, nodes = pairs.agg(F.count("*"), F.countDistinct("a")).first()
+        if rows == nodes and pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now

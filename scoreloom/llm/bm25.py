@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, texts_of
+from .base import arrow_map, materialize, texts_of
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach to be retrieved.
@@ -45,15 +45,16 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
 class BlockMaxIndex:
     """Postings in item order with impacts (shares of the item's own score), cut into blocks with their maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> None:
-        held = [(i, w) for i, t in sorted(items) if (w := words_of(t))]
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, whole: tuple[int, float, dict[bytes, int]] | None = None) -> None:
+        """whole: number of items with words, their mean length, and in how many each of these items' terms stands, over all
+        items, of which these may be a part; left out, these are all."""
+        held = [(i, w) for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) if (w := words_of(t))]
         self.ids = [i for i, _ in held]
         self.words = [w for _, w in held]
         self.threshold = threshold
         self.window = max([LEAST_WINDOW, *(2 * len(w) for w in self.words)])
-        n, mean = len(held), np.mean([len(w) for w in self.words] or [1])
         counts = [Counter(w) for w in self.words]
-        df = Counter(t for c in counts for t in c)
+        n, mean, df = whole or (len(held), np.mean([len(w) for w in self.words] or [1]), Counter(t for c in counts for t in c))
         postings: dict[bytes, list[tuple[int, float]]] = {}
         #: Term to (item, impact) for a rare part of each item, and what of it a passage above the threshold must hold.
         self.rare: dict[bytes, list[tuple[int, float]]] = {}
@@ -176,17 +177,41 @@ class BlockMaxIndex:
 
 
 def indexes(items: DataFrame, *, item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> Iterator[BlockMaxIndex]:
-    """Indexes of all items, each of INDEX_CHARS characters at most (or one item); one empty index if there are none."""
-    given = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    group: list[tuple[int, str]] = []
+    """Indexes of all items, each of INDEX_CHARS characters at most (or one item); one empty index if there are none.
+
+    Numbers of items, lengths and term frequencies are always those of all items, so scores don't depend on how many indexes
+    there are. Null ids are ids like any other, null texts are no items."""
+    given = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    chars = given.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    whole = _term_counts(given) if chars > INDEX_CHARS else None
+    group: list[tuple[int | None, str]] = []
     size = 0
-    for r in given.toLocalIterator():
+    for r in given.orderBy("i", "t").toLocalIterator():
         if group and size + len(r["t"]) > INDEX_CHARS:
-            yield BlockMaxIndex(group, threshold)
+            yield BlockMaxIndex(group, threshold, whole and whole(group))
             group, size = [], 0
         group.append((r["i"], r["t"]))
         size += len(r["t"])
-    yield BlockMaxIndex(group, threshold)
+    yield BlockMaxIndex(group, threshold, whole and whole(group))
+
+
+def _term_counts(given: DataFrame) -> Callable[[list[tuple[int | None, str]]], tuple[int, float, dict[bytes, int]]]:
+    """Counts over all items, kept in Spark; the function returned brings those of a group's terms, bounded as the group is."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [words_of(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in held], pa.int64()), pa.array([list(set(w)) for w in held], pa.list_(pa.binary()))], ["n", "terms"])
+
+    found = materialize(arrow_map(given.select("t"), terms, "n long, terms array<binary>").where("n > 0"), "bm25_terms")
+    n, mean = found.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+    def of(group: list[tuple[int | None, str]]) -> tuple[int, float, dict[bytes, int]]:
+        asked = given.sparkSession.createDataFrame([(t,) for t in {w for _, x in group for w in words_of(x)}], "term binary")
+        return n, mean, {bytes(r["term"]): r["df"] for r in df.join(asked, "term", "left_semi").collect()}
+
+    return of
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -216,7 +241,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """docs, all columns, without the rows that hold a benchmark item; a filter in place, nothing is moved or joined."""
+    """docs, all columns, without the rows that hold a benchmark item; a filter in place, nothing is moved or joined.
+
+    Null and wordless texts hold none and stay, repeated rows are judged alike; empty tables on either side take nothing out;
+    further columns of any name go along."""
     for index in indexes(items, **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

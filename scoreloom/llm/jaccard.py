@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,24 +159,26 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs, all columns, with one document of each component: that of the least key. Singles stay, whatever their text.
 
-    Of rows that repeat a kept key, each different text stays once. Texts are not moved, but for those whose key a
-    pre-filter takes for a removed one: they are joined exactly."""
+    Of rows that repeat a kept key, each different text stays once; null keys go by the same rule; an empty table stays
+    empty; further columns of any name go along. Texts are not moved, but for those whose key a pre-filter takes for a
+    removed one: they are joined exactly."""
+    name, place = (f"{n}_{uuid.uuid4().hex}" for n in ("key", "place"))
     found = materialize(jaccard_components(docs, text=text, key=key, **options).select("doc_id", "component_id"), "jaccard_found")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).withColumnRenamed("doc_id", "_key")
-    repeated = kept.where("c > 1").select("_key")
-    gone = found.where("not doc_id <=> component_id").select("doc_id").union(repeated.select("_key"))
+    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).withColumnRenamed("doc_id", name)
+    repeated = kept.where("c > 1").select(name)
+    gone = found.where("not doc_id <=> component_id").select("doc_id").union(repeated)
     marks = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone, "xxhash64(doc_id)", ID_BITS))
-    placed = docs.withColumn("_place", F.xxhash64(F.col(key).cast("long")))
+    placed = docs.withColumn(place, F.xxhash64(F.col(key).cast("long")))
 
     def part(doubtful: bool) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(marks.value, np.asarray(batch.column("_place"))) == doubtful)).drop_columns(["_place"])
+                yield batch.filter(pa.array(in_bitmap(marks.value, np.asarray(batch.column(place))) == doubtful)).drop_columns([place])
 
         return arrow_map(placed, keep, docs.schema)
 
-    same = F.col(key).cast("long").eqNullSafe(F.col("_key"))
-    checked = part(True).join(kept.select("_key"), same, "left_semi")
+    same = F.col(key).cast("long").eqNullSafe(F.col(name))
+    checked = part(True).join(kept.select(name), same, "left_semi")
     if not repeated.isEmpty():
         checked = checked.join(repeated, same, "left_anti").unionByName(checked.join(repeated, same, "left_semi").dropDuplicates([key, text]))
     return part(False).unionByName(checked)

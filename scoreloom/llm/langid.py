@@ -7,12 +7,13 @@ of spherical k-means within each language, fitted on a bounded sample.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import arrow_map, texts_of
@@ -22,9 +23,10 @@ DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 6
 ROUNDS = 12
-#: A text is rejected if its similarity is below this share of the least one seen in training for its language. The
-#: fewer trigrams a text has, the lower its similarity must be by chance; up to FULL_TRIGRAMS the bound falls with it.
-REJECT_BELOW = 0.25
+#: A text is rejected if its similarity is below this share of the one that all but LOW_SHARE of a centroid's own training
+#: texts have. The fewer trigrams a text has, the lower its similarity is by chance: it is taken as if of FULL_TRIGRAMS.
+REJECT_BELOW = 0.65
+LOW_SHARE = 0.02
 FULL_TRIGRAMS = 200
 UNKNOWN = "und"
 
@@ -66,13 +68,18 @@ class Model:
         near = np.stack(vectors) @ self.centroids.T
         best = near.argmax(1)
         score = np.clip(near[np.arange(len(best)), best], 0, 1).astype(np.float64)
-        return [self.languages[b] for b in best], score, score < self.floor[best] * np.sqrt(np.minimum(1, np.array(lengths) / FULL_TRIGRAMS))
+        return [self.languages[b] for b in best], score, as_full(score, np.array(lengths)) < self.floor[best]
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def as_full(similarity: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """Similarities as texts of FULL_TRIGRAMS different trigrams would have them; a tenth of those count for the shortest."""
+    return similarity / np.sqrt(np.clip(trigrams / FULL_TRIGRAMS, 0.1, 1))
+
+
+def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spherical k-means begun at far-apart rows (each the least similar to those before); empty clusters go.
 
-    Returns unit centroids and each row's similarity to its own."""
+    Returns unit centroids, each row's own one and its similarity to that."""
     chosen = [0]
     near = vectors @ vectors[0]
     while len(chosen) < min(k, len(vectors)):
@@ -86,7 +93,8 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarr
         own = (vectors @ centroids.T).argmax(1)
         sums = np.stack([vectors[own == j].sum(0) for j in range(len(centroids)) if (own == j).any()])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centroids, (vectors @ centroids.T).max(1)
+    near = vectors @ centroids.T
+    return centroids, near.argmax(1), near.max(1)
 
 
 def held_out(key: Column) -> Column:
@@ -120,14 +128,12 @@ def fit(training: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENT
     idf[:] = np.log(1 + n)
     idf[seen["place"].to_numpy()] = np.log((1 + n) / (1 + seen["n"].to_numpy(np.float64)))
     idf += 0.05  # what every text has still counts a little
-    # a threshold on the hash thins each language to about twice the sample before its texts are moved or sorted
+    # a threshold on the hash (uniform over 0 .. 2**32) thins each language to about twice the sample before its texts are
+    # moved or sorted; one job for all languages
     sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for lang, size in sorted(sizes.items()):
-        # turn is uniform over 0 .. 2**32
-        share = training.where((F.col("lang") == lang) & (F.col("turn") <= int(min(1.0, 2 * sample / size + 20 / size) * 2**32)))
-        picked = share.orderBy("turn", "text").limit(sample).select("text", "lang", "turn")
-        rows += arrow_map(picked, vectors, "lang string, turn long, where binary, counts binary").collect()
+    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * sample / size + 20 / size) * 2**32))) for lang, size in sizes.items()])
+    thinned = training.where(F.col("turn") <= bound).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text")))
+    rows = arrow_map(thinned.where(F.col("nth") <= sample).select("text", "lang", "turn"), vectors, "lang string, turn long, where binary, counts binary").collect()
     languages, centroids, floors = [], [], []
     for lang in sorted(sizes):
         own = sorted((r["turn"], bytes(r["where"]), bytes(r["counts"])) for r in rows if r["lang"] == lang)
@@ -139,10 +145,12 @@ def fit(training: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENT
         made = made[norms > 0] / norms[norms > 0, None]
         if not len(made):
             continue
-        found, near = cluster(made, k)
+        found, which, near = cluster(made, k)
+        full = as_full(near, (made > 0).sum(1))
         languages += [lang] * len(found)
         centroids.append(found)
-        floors += [float(near.min()) * REJECT_BELOW] * len(found)
+        # a centroid of few texts is held to all of its language
+        floors += [float(np.quantile(full[which == j] if (which == j).sum() >= 1 / LOW_SHARE else full, LOW_SHARE)) * REJECT_BELOW for j in range(len(found))]
     return Model(languages, np.concatenate(centroids), idf, np.array(floors)) if languages else None
 
 
@@ -177,20 +185,24 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
 
 
 def keep_identified(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows whose language is rejected; a filter in place, nothing is moved or joined."""
+    """docs, all columns, without the rows whose language is rejected; a filter in place, nothing is moved or joined.
+
+    Null, empty and letterless texts go; so does every row if nothing could be learned. Repeated rows are judged alike, an
+    empty table stays empty, further columns of any name go along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    mark = f"letters_{uuid.uuid4().hex}"
+    marked = docs.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
-                lettered = np.array(batch.column("_letters").to_pylist(), bool)
+                lettered = np.array(batch.column(mark).to_pylist(), bool)
                 good = lettered & (m is not None)
                 if good.any():
                     texts = batch.column(text).filter(pa.array(good)).to_pylist()
                     good[good] = ~m.predict(texts)[2]
-                yield batch.filter(pa.array(good)).drop_columns(["_letters"])
+                yield batch.filter(pa.array(good)).drop_columns([mark])
 
     return arrow_map(marked, keep, docs.schema)

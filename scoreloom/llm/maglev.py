@@ -8,6 +8,7 @@ slot, the slot its shard: constant time, even shares, and few documents move whe
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +63,14 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def assign_shards(df: DataFrame, shards: dict[str, int], *, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """df with columns slot and shard (taken anew if df has such). No shuffle, so no key's share of the rows matters.
 
-    A null key is placed like an empty one; equal keys go to one shard; an empty table stays empty.
+    A null key is placed like an empty one; equal keys go to one shard; an empty table stays empty; further columns of any
+    name go along.
     """
     placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    table = table_frame(df.sparkSession, shards, slots).withColumnRenamed("slot", "s")
-    return placed.join(F.broadcast(table), F.col("slot") == F.col("s")).drop("s")
+    at, owner = (f"{n}_{uuid.uuid4().hex}" for n in ("slot", "shard"))
+    # SLOTS rows whatever the input, so the broadcast is bounded
+    table = table_frame(df.sparkSession, shards, slots).select(F.col("slot").alias(at), F.col("shard").alias(owner))
+    return placed.join(F.broadcast(table), F.col("slot") == F.col(at)).select(*placed.columns, F.col(owner).alias("shard"))
 
 
 def shard_balance(placed: DataFrame) -> DataFrame:

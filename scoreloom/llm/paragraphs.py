@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, texts_of
+from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, settled, texts_of
 from .families import link_families
 from .shingles import CHUNK, WORDS, digest, shingle_sets, word_hashes
 
@@ -328,8 +328,8 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
 
     Null texts have no paragraphs, an empty table gives no rows, further columns are not read. Rows that repeat key and text
     are one document, whose places come once; equal keys with different texts are told apart by text_hash."""
-    lines = materialize(repeated_lines(docs, text=text, key=key, min_words=min_words, per_cent=per_cent, tag=tag, family_tokens=family_tokens), f"{tag}_lines")
-    passages = materialize(repeated_passages(docs, text=text, key=key, min_words=min_words), f"{tag}_passages")
+    lines = settled(lambda: repeated_lines(docs, text=text, key=key, min_words=min_words, per_cent=per_cent, tag=tag, family_tokens=family_tokens), f"{tag}_lines")
+    passages = settled(lambda: repeated_passages(docs, text=text, key=key, min_words=min_words), f"{tag}_passages")
     held = lines.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("begin").alias("lb"), F.col("end").alias("le"))
     meet = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("lb") < F.col("end")) & (F.col("le") > F.col("begin"))
     inside = F.when(F.col("le").isNull(), 0).otherwise(F.least("end", "le") - F.greatest("begin", "lb"))

@@ -377,6 +377,8 @@ def write_tiff(samples: bytes, width: int = 64, page_rows: int = 512, turn: int
 PAGE_SCHEMA = "key long, file_bytes long, file_sha256 string, page int, width int, height int, bits int, samples int, compression string, predictor int, layout string, segments int, pixels binary, description string, error string"
 _ARROW = pa.schema([("key", pa.int64()), ("file_bytes", pa.int64()), ("file_sha256", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("samples", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("layout", pa.string()), ("segments", pa.int32()), ("pixels", pa.binary()), ("description", pa.string()), ("error", pa.string())])
 _BATCH_BYTES = 4 << 20
+#: The description that texts_to_tiff gives a file.
+_SIZE = re.compile(r"n_bytes=(\d{1,18})")
 
 
 def tiff_pages(files: DataFrame, media: str = "media", key: str = "key") -> DataFrame:
@@ -429,7 +431,11 @@ def texts_to_tiff(docs: DataFrame, *, text: str = "text", key: str = "doc_id", u
 
 
 def payload_digests(pages: DataFrame) -> DataFrame:
-    """Folds the pages of each file, which must stand together and in order as tiff_pages leaves them, to one row."""
+    """Folds the pages of each file, which must stand together and in order as tiff_pages leaves them, to one row.
+
+    n_bytes is read from a description of the form of texts_to_tiff, else null. A file that could not be read has an empty
+    payload and counts its errors; null keys and repeated files give a row each; an empty table gives no rows.
+    """
     names = ["doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_bytes", "n_pages", "errors"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -449,7 +455,7 @@ def payload_digests(pages: DataFrame) -> DataFrame:
                 if r["page"] == 0:
                     if state:
                         done.append(row(state))
-                    state = {"key": r["key"], "sha": hashlib.sha256(), "size": 0, "tail": b"", "hist": np.zeros(256), "pages": 0, "codecs": set(), "errors": 0, "bytes": r["file_bytes"], "file": r["file_sha256"], "n_bytes": int(r["description"].partition("n_bytes=")[2]) if r["description"] else None}
+                    state = {"key": r["key"], "sha": hashlib.sha256(), "size": 0, "tail": b"", "hist": np.zeros(256), "pages": 0, "codecs": set(), "errors": 0, "bytes": r["file_bytes"], "file": r["file_sha256"], "n_bytes": int(size[1]) if (size := _SIZE.fullmatch(r["description"] or "")) else None}
                 p = r["pixels"]
                 state["sha"].update(p)
                 state["size"] += len(p)

@@ -9,6 +9,8 @@ of the sort key, the short table of range sums is accumulated, and rows are orde
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,12 +55,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int = MOST_
 
 
 def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """The queue in its global order: a row for each document and epoch, range-sorted by virtual finish time.
+    """The queue in its global order, cut at the total budget: a row for each document and epoch, range-sorted by virtual
+    finish time.
 
     Columns: doc_id, source, size, source_size, weight, target, place (running sum of sizes within the source: with the
-    source it names the row), epoch, finish, part. part is what the mix takes: the queue has served the total budget
-    when virtual time is 1, as targets add up to the budget; what finishes by then is taken whole, the document that a
-    source is sending just then up to its target, and the rest is cut off (part 0).
+    source it names the row), epoch, finish, part. part is what the mix takes of the row: the queue is served in order of
+    finish until the running sum of words reaches the budget, the sum of all targets; what comes later has part 0. A
+    document that its source is sending when its target is reached stands in the queue in two rows, so that the part
+    up to the target finishes at virtual time 1 and the rest after it.
 
     Sizes count words. Null sources form a source of their own that comes last, null texts have size 0 and are never
     taken, null or repeated keys are rows like any other, an empty table gives no rows, further columns are not read.
@@ -81,10 +85,30 @@ def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: i
     # an epoch beyond the first is queued only if the budget can reach it
     reach = F.coalesce(F.ceil(F.try_divide("target", "source_size")).cast("int"), F.lit(1)) - 1
     queued = lined.select("doc_id", "source", "size", "source_size", "weight", "target", "span", "nth", (F.col("ahead") + F.col("own")).alias("place"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(most_epochs - 1), reach)))).alias("epoch"))
-    done = F.col("place") + F.col("epoch") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 1e-6) - (done - F.col("size"))))
-    served = queued.withColumn("finish", F.try_divide(done, "target")).withColumn("part", part.cast("long"))
-    return served.repartitionByRange("finish", "source", "epoch").sortWithinPartitions("finish", "source", "epoch", "place")
+    # whole words of the target; the document that passes it stands in two rows
+    done, due = F.col("place") + F.col("epoch") * F.col("source_size"), F.floor(F.col("target") + 1e-6)
+    before = done - F.col("size")
+    row = lambda size, finish: F.struct(size.cast("long").alias("words"), finish.cast("double").alias("finish"))
+    after = F.greatest(F.try_divide(done, "target"), F.lit(1.0 + 1e-12))
+    passing = F.array(row(due - before, F.lit(1.0)), row(done - due, after))
+    once = F.array(row(F.col("size"), F.when(done <= due, F.least(F.try_divide(done, "target"), F.lit(1.0))).otherwise(after)))
+    sent = queued.select("*", F.explode(F.when((before < due) & (due < done), passing).otherwise(once)).alias("sent")).select(*queued.columns, "sent.*")
+    sent = sent.withColumn("finish", F.coalesce("finish", F.lit(float(most_epochs + 1))))
+    # running sum in order of finish, by narrow ranges of it, summed in two steps, so no task sees more than a short list
+    shape = rows.agg(F.count("*").alias("n")).first()["n"]
+    ranges = max(1, -(-shape // RANGE_ROWS))
+    sent = sent.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(float(most_epochs + 1))) * ranges).cast("long"))
+    sent = materialize(sent, "mix_queue")
+    sums = sent.groupBy("range").agg(F.sum("words").alias("n")).withColumn("group", F.floor(F.col("range") / RANGE_ROWS).cast("long"))
+    groups = sums.groupBy("group").agg(F.sum("n").alias("n"))
+    groups = groups.select(F.col("group").alias("g"), (F.sum("n").over(W.orderBy("group")) - F.col("n")).alias("base"))
+    inside = F.sum("n").over(W.partitionBy("group").orderBy("range")) - F.col("n")
+    ahead = sums.withColumn("inside", inside).join(groups, F.col("group") == F.col("g")).select(F.col("range").alias("r"), (F.col("inside") + F.col("base")).alias("ahead"))
+    budget = goal.agg(F.coalesce(F.sum(F.floor(F.col("target") + 1e-6)), F.lit(0)).cast("long").alias("budget"))
+    in_range = W.partitionBy("range").orderBy("finish", F.col("source").isNull(), "source", "epoch", "place", "nth").rowsBetween(W.unboundedPreceding, 0)
+    queue = sent.repartitionByRange("range").withColumn("upto", F.sum("words").over(in_range)).join(ahead, F.col("range") == F.col("r")).crossJoin(budget)
+    left = F.col("budget") - (F.col("ahead") + F.col("upto") - F.col("words"))
+    return queue.withColumn("part", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("words", "range", "r", "upto", "ahead", "budget")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -96,23 +120,26 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
     """docs, all columns, as the mix has them: a row for each time that a document is taken, the one that the cut runs
-    through with its first words only (and chars, its length, set anew). Documents that are not taken are left out."""
+    through with its first words only (and chars, its length, set anew). Documents that are not taken are left out, null
+    and wordless texts among them; null sources, null and repeated keys are as in `fair_queue`; an empty table stays empty;
+    further columns of any name go along."""
+    tag = uuid.uuid4().hex
     served = fair_queue(docs, key=key, source=source, text=text, **options).where("part > 0")
     served = materialize(served.select("doc_id", "source", "size", "place", "epoch", "part"), "mix_served")
-    rows = docs.withColumn("_mix_words", word_count(F.col(text)))
+    rows = docs.withColumn(f"words_{tag}", word_count(F.col(text)))
     # rows alike in key, source and size are told apart by number; only then are they numbered
     alike = ["doc_id", "source", "size", "epoch"]
     numbered = not served.groupBy(*alike).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     if numbered:
         served = served.withColumn("nth", F.row_number().over(W.partitionBy(*alike).orderBy("place")))
-        rows = rows.withColumn("_mix_n", F.row_number().over(W.partitionBy(key, source, "_mix_words").orderBy(text)))
-    served = served.select(*[F.col(c).alias(f"_mix_{c}") for c in served.columns])
-    same = F.col(key).cast("long").eqNullSafe(F.col("_mix_doc_id")) & F.col(source).cast("string").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    taken = rows.join(served, same & (F.col("_mix_n") == F.col("_mix_nth")) if numbered else same)
+        rows = rows.withColumn(f"n_{tag}", F.row_number().over(W.partitionBy(key, source, f"words_{tag}").orderBy(text)))
+    served = served.select(*[F.col(c).alias(f"{c}_{tag}") for c in served.columns])
+    same = F.col(key).cast("long").eqNullSafe(F.col(f"doc_id_{tag}")) & F.col(source).cast("string").eqNullSafe(F.col(f"source_{tag}")) & (F.col(f"words_{tag}") == F.col(f"size_{tag}"))
+    taken = rows.join(served, same & (F.col(f"n_{tag}") == F.col(f"nth_{tag}")) if numbered else same)
     # cut after each word, each piece with the white space before it
     pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    first_words = F.array_join(F.slice(pieces, F.lit(1), F.col("_mix_part").cast("int")), "")
-    cut = F.col("_mix_part") < F.col("_mix_size")
+    first_words = F.array_join(F.slice(pieces, F.lit(1), F.col(f"part_{tag}").cast("int")), "")
+    cut = F.col(f"part_{tag}") < F.col(f"size_{tag}")
     out = taken.withColumn(text, F.when(cut, first_words).otherwise(F.col(text)))
     if chars and chars in docs.columns:
         out = out.withColumn(chars, F.when(cut, F.length(text)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType))
