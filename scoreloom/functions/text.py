@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -25,6 +25,18 @@ def nfkc(text: Column) -> Column:
     return compose(text)
 
 
+#: Texts of these characters alone are in compatibility form: ASCII, letters of Latin-1 and Latin Extended-A without
+#: compatibility forms, and the quotes and dashes that normalize folds.
+COMPOSED = r"^[\x00-\x7f\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2018\u2019\u201c\u201d\u2013\u2014]*$"
+
+
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """df with the column's texts in compatibility composition (NFKC), the form that every text operator begins from. Texts
+    that are in it already are told by a pattern and never leave the JVM."""
+    done = F.coalesce(F.col(column).rlike(COMPOSED), F.lit(True))
+    return df.where(done).unionByName(df.where(~done).withColumn(column, nfkc(F.col(column))))
+
+
 def normalize(text: Column) -> Column:
     """One space for each run of white space, straight quotes and hyphens, no white space around; null becomes empty."""
     plain = F.translate(F.coalesce(text, F.lit("")), "\0‘’“”–— ", " ''\"\"-- ")
@@ -88,6 +100,27 @@ def join_report(items: Column) -> Column:
     return F.array_join(F.filter(ready, lambda s: s != ""), " ")
 
 
+def finding_list(items: Column) -> Column:
+    """Statements as a list, one a line."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def prompt(items: Column, instruction: str) -> Column:
+    """Two turns (role, content): the instruction, and the list of findings to be told as a report."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(instruction)), turn("user", F.concat(F.lit("Findings:\n"), finding_list(items), F.lit("\n\nReport:"))))
+
+
+def training_pairs(reports: DataFrame, text: str = "report", shuffled: bool = True, seed: int = 2026) -> DataFrame:
+    """findings (the report's own phrases, two at least), report. Shuffled by a hash of seed, report and phrase, so reruns
+    agree; equal phrases of a report stay, side by side."""
+    found = reports.select(phrases(F.col(text)).alias("findings"), F.col(text).alias("report")).where(F.size("findings") >= 2)
+    if not shuffled:
+        return found
+    keyed = F.transform("findings", lambda p: F.struct(F.xxhash64(F.lit(seed), F.col("report"), p).alias("k"), p.alias("p")))
+    return found.select(F.transform(F.array_sort(keyed), lambda x: x["p"]).alias("findings"), "report")
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\w+"))
 

@@ -31,12 +31,12 @@ def leave_one_group_out(cases: DataFrame, group: str, case: str = "case_id") ->
     """A split for each group (numbered in order of names), in which its cases are held out. Groups are few."""
     groups = cases.select(group).distinct()
     numbered = groups.select(F.col(group).alias("held_out"), (F.row_number().over(W.orderBy(group)) - 1).alias("split"))
-    return cases.select(case, group).join(F.broadcast(numbered)).withColumn("role", F.when(F.col(group) == F.col("held_out"), "validation").otherwise("train"))
+    return cases.select(case, group).join(numbered).withColumn("role", F.when(F.col(group) == F.col("held_out"), "validation").otherwise("train"))
 
 
 def prior(cases: DataFrame, bank: DataFrame) -> DataFrame:
     """Each case given every statement's prevalence."""
-    return cases.crossJoin(F.broadcast(bank.select("proto", F.col("prevalence").alias("p"))))
+    return cases.crossJoin(bank.select("proto", F.col("prevalence").alias("p")))
 
 
 def prior_report(bank: DataFrame, threshold: float, most: int) -> DataFrame:
@@ -79,7 +79,7 @@ def out_of_fold(features: DataFrame, labels: DataFrame, folds: DataFrame, bank:
 
     A task fits one statement; what it holds is one column of labels beside the feature table of the cases."""
     table = features.join(folds.select("case_id", "fold"), "case_id")
-    grid = table.crossJoin(F.broadcast(bank.select("proto"))).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
+    grid = table.crossJoin(bank.select("proto")).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
 
     def fit(column: pd.DataFrame) -> pd.DataFrame:
         x, y, fold = np.stack(column["f"]), column["y"].to_numpy(), column["fold"].to_numpy()
@@ -101,7 +101,7 @@ def out_of_fold(features: DataFrame, labels: DataFrame, folds: DataFrame, bank:
 
 def fit_gates(features: DataFrame, labels: DataFrame, bank: DataFrame, *, c: float = 1.0, least: int = 3) -> DataFrame:
     """proto, weights, intercept, mean, scale, fitted: one gate a statement over all cases; the prior where none is fitted."""
-    grid = features.crossJoin(F.broadcast(bank.select("proto", "prevalence"))).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
+    grid = features.crossJoin(bank.select("proto", "prevalence")).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
 
     def fit(column: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(column["f"]), column["y"].to_numpy()
@@ -133,7 +133,7 @@ def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """columns less their mean over their population standard deviation (1 where that is 0), in one pass and a broadcast row."""
     stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    out = df.crossJoin(F.broadcast(stats))
+    out = df.crossJoin(stats)
     for c in columns:
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 1e-9, F.col(f"_s_{c}")).otherwise(1.0))
     return out.select(*df.columns)
@@ -145,13 +145,15 @@ def histogram(df: DataFrame, value: str, bins: int = 16, low: float = 0.0, high:
     return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, dims: int) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, dims: int, others: bool = False) -> DataFrame:
     """query, match, distance: least mean squared difference, the first of equals. queries: query, v; index: item, v.
+    others: an item of the query's own name is no match.
 
     The smaller side of a stated query set against all items; Spark broadcasts it or nests loops over partitions, and the
     answer is an aggregate that is combined where the pairs arise."""
     d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x) / float(dims)
-    scored = queries.crossJoin(index.withColumnRenamed("v", "w")).withColumn("distance", d)
+    items = index.withColumnRenamed("v", "w")
+    scored = (queries.join(items, F.col("query") != F.col("item")) if others else queries.crossJoin(items)).withColumn("distance", d)
     return scored.groupBy("query").agg(F.min(F.struct("distance", "item")).alias("m")).select("query", F.col("m.item").alias("match"), F.col("m.distance").alias("distance"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,62 @@ def average_precision(df: DataFrame, score: str, target: str, by: list[str], tie
     return sums.where("p > 0 and p < n").select(*by, "average_precision")
 
 
+def mean_average_precision(df: DataFrame, score: str, target: str, by: list[str], tie: list[str], mask: str | None = None) -> DataFrame:
+    """columns, mean_average_precision over the columns that have both classes; mask: a boolean column, rows to be left in."""
+    found = average_precision(df.where(mask) if mask else df, score, target, by, tie)
+    return found.groupBy().agg(F.count("*").alias("columns"), F.avg("average_precision").alias("mean_average_precision"))
+
+
+def group_shares(labels: DataFrame, cases: DataFrame, bank: DataFrame, group: str, most: int = 60) -> DataFrame:
+    """Of the most prevalent statements: proto, largest_share (of the sum of the groups' rates, that of the group that states
+    it most), style_auc (how well a case's group alone foretells it). labels: case_id, proto; cases: case_id, group; bank:
+    proto, prevalence. Statements of all cases or none are left out.
+
+    All goes by counts of group and statement, so no case meets a statement that it doesn't have."""
+    top = bank.orderBy(F.desc("prevalence"), "proto").limit(most).select("proto")
+    sizes = cases.groupBy(group).agg(F.count("*").alias("n"))
+    stated = labels.join(top, "proto", "left_semi").distinct().join(cases.select("case_id", group), "case_id").groupBy("proto", group).agg(F.count("*").alias("pos"))
+    grid = sizes.crossJoin(top).join(stated, ["proto", group], "left").fillna(0, ["pos"]).withColumn("rate", F.col("pos") / F.col("n"))
+    # the rate is the score: cases of groups of one rate are ties
+    tied = grid.groupBy("proto", "rate").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    ranks = F.sum("n").over(W.partitionBy("proto").orderBy("rate").rowsBetween(W.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0
+    sums = tied.withColumn("ranks", ranks * F.col("pos")).groupBy("proto").agg(F.sum("ranks").alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n")).where("p > 0 and p < n")
+    style = sums.select("proto", ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))).alias("style_auc"))
+    share = grid.groupBy("proto").agg((F.max("rate") / (F.sum("rate") + 1e-9)).alias("largest_share"))
+    return share.join(style, "proto")
+
+
+def discrimination(matched: DataFrame, mismatched: DataFrame, value: str) -> DataFrame:
+    """cases, matched_mean, mismatched_mean, separation, auc: how surely a pair that belongs together outscores one that
+    doesn't, ties half."""
+    both = matched.select(F.col(value).alias("v"), F.lit(1).alias("y")).unionByName(mismatched.select(F.col(value).alias("v"), F.lit(0).alias("y")))
+    means = both.groupBy().agg(F.count_if(F.col("y") == 1).alias("cases"), F.avg(F.when(F.col("y") == 1, F.col("v"))).alias("matched_mean"), F.avg(F.when(F.col("y") == 0, F.col("v"))).alias("mismatched_mean"))
+    return means.withColumn("separation", F.col("matched_mean") - F.col("mismatched_mean")).crossJoin(auc(both, "v", "y").select("auc"))
+
+
+def decoys(cases: DataFrame, each: int, seed: int = 2026) -> DataFrame:
+    """case_id, other: as many other cases for each, by hash: cases stand in a ring of hashes, and the next ones are taken."""
+    turn = F.xxhash64(F.lit(seed), "case_id")
+    ring = cases.select("case_id").withColumn("at", F.row_number().over(W.orderBy(turn, "case_id")) - 1)
+    size = ring.groupBy().agg(F.count("*").alias("n"))
+    steps = ring.crossJoin(size).select("case_id", F.explode(F.expr(f"filter(sequence(1, {each}), k -> k < n)")).alias("k"), "at", "n")
+    return steps.withColumn("at", (F.col("at") + F.col("k")) % F.col("n")).join(ring.withColumnRenamed("case_id", "other"), "at").select("case_id", "other")
+
+
+def leaderboard(results: DataFrame, metric: str, config: list[str], most: int = 15) -> DataFrame:
+    """The best configurations by a metric, with their place; a report of the first `most`."""
+    top = results.orderBy(F.desc(metric), *config).limit(most)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(metric), *config)))
+
+
+def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
+    """Every combination of the listed values, a column a name: a list of settings, made of literals."""
+    out = spark.range(1).select()
+    for name, values in choices.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
+
+
 def positions(board: DataFrame, metrics: list[str]) -> DataFrame:
     """Competition rank of each metric (1 + how many are strictly better) and their mean."""
     for m in metrics:
@@ -53,7 +109,7 @@ def insert_entry(board: DataFrame, entries: DataFrame, metrics: list[str], entry
     whether the entry wins. A board is short: it is repeated once for each trial."""
     base = board.select(entry, order, *metrics)
     trials = entries.select(F.col(entry).alias("trial"))
-    grown = base.crossJoin(F.broadcast(trials)).unionByName(entries.select(F.col(entry).alias("trial"), entry, order, *metrics))
+    grown = base.crossJoin(trials).unionByName(entries.select(F.col(entry).alias("trial"), entry, order, *metrics))
     for m in metrics:
         grown = grown.withColumn(f"{m}_place", F.row_number().over(W.partitionBy("trial").orderBy(F.desc(m), order)))
     grown = grown.withColumn("mean_place", sum(F.col(f"{m}_place") for m in metrics) / float(len(metrics)))

@@ -21,8 +21,8 @@ class Trace:
 
 def score_reports(reports: DataFrame, references: DataFrame) -> DataFrame:
     """reports: trial, prediction; references: case_id, reference. Per trial bleu_4, meteor and captioning of that one
-    report given to every case. Trials are a handful and go to every reference."""
-    pairs = references.crossJoin(F.broadcast(reports))
+    report given to every case. Trials are a list of a search's own making and go to every reference."""
+    pairs = references.crossJoin(reports)
     return metrics.caption_scores(pairs, ["trial"])
 
 
@@ -54,12 +54,43 @@ def greedy(bank: DataFrame, references: DataFrame, candidates: list[int], *, mos
             break
         trace.chosen, trace.value = [*trace.chosen, added], value
         trace.steps.append({"n": len(trace.chosen), "added": added, "value": value})
+    toggled = lambda c: [x for x in trace.chosen if x != c] if c in trace.chosen else [*trace.chosen, c]
     for _ in range(refine):
-        trials = [[x for x in trace.chosen if x != c] if c in trace.chosen else [*trace.chosen, c] for c in candidates]
-        trials = [t for t in trials if t and (allowed is None or allowed(t))]
-        if not trials:
+        # every toggle that helps is taken, in the candidates' order; a job tries all that are left to try
+        rest, before = list(candidates), len(trace.steps)
+        while rest:
+            trials = [(c, t) for c in rest if (t := toggled(c)) and (allowed is None or allowed(t))]
+            found = values([t for _, t in trials]) if trials else []
+            hit = next((k for k, v in enumerate(found) if v > trace.value + 1e-9), None)
+            if hit is None:
+                break
+            c, trace.chosen = trials[hit]
+            trace.value = found[hit]
+            trace.steps.append({"n": len(trace.chosen), "added": c if c in trace.chosen else None, "value": trace.value})
+            rest = rest[rest.index(c) + 1 :]
+        if len(trace.steps) == before:
             break
-        value, best = max(zip(values(trials), trials, strict=True), key=lambda x: x[0])
+    return trace
+
+
+def local_search(bank: DataFrame, references: DataFrame, candidates: list[int], start: list[int], *, floors: dict[str, float], rounds: int = 10, objective: Callable[[dict], float] | None = None, allowed: Callable[[list[int]], bool] | None = None) -> Trace:
+    """From `start`, the best of all additions, removals and swaps of one statement, as long as it raises the objective and no
+    metric falls below its floor. One job a round scores every move."""
+    objective = objective or (lambda m: m["captioning"])
+
+    def values(trials: list[list[int]]) -> list[float]:
+        got = {r["trial"]: r.asDict() for r in score_reports(rendered(bank, trials), references).collect()}
+        return [objective(got[k]) if k in got and all(got[k][m] >= v for m, v in floors.items()) else float("-inf") for k in range(len(trials))]
+
+    trace = Trace(chosen=sorted(start))
+    trace.value = values([trace.chosen])[0]
+    for _ in range(rounds):
+        inside, outside = trace.chosen, [c for c in candidates if c not in trace.chosen]
+        moves = [[*inside, c] for c in outside] + [[x for x in inside if x != c] for c in inside] + [[*(x for x in inside if x != a), b] for a in inside for b in outside]
+        moves = [sorted(m) for m in moves if m and (allowed is None or allowed(m))]
+        if not moves:
+            break
+        value, best = max(zip(values(moves), moves, strict=True))
         if value <= trace.value + 1e-9:
             break
         trace.chosen, trace.value = best, value
@@ -67,6 +98,55 @@ def greedy(bank: DataFrame, references: DataFrame, candidates: list[int], *, mos
     return trace
 
 
+def convert_gates(core: list[int], candidates: list[int], thresholds: list[float], evaluate: Callable[[list[tuple[frozenset[int], dict[int, float]]]], list[float]], *, rounds: int = 1) -> tuple[set[int], dict[int, float], float]:
+    """Turns statements that every report has into ones that a gate lets in: each candidate in turn takes the threshold that
+    scores best, if one beats the arrangement so far. evaluate scores a list of (core, gates) in one job.
+
+    Returns the core that is left, the gates with their thresholds, and the score."""
+    stays, gates = set(core), {}
+    (best,) = evaluate([(frozenset(stays), dict(gates))])
+    for _ in range(rounds):
+        moved = False
+        for c in candidates:
+            trials = [(frozenset(stays - {c}), {**gates, c: t}) for t in thresholds]
+            for trial, value in zip(trials, evaluate(trials), strict=True):
+                if value > best + 1e-6:
+                    best, moved = value, True
+                    stays, gates = set(trial[0]), dict(trial[1])
+        if not moved:
+            break
+    return stays, gates, best
+
+
+def gated_selection(cases: DataFrame, oof: DataFrame, core: frozenset[int], gates: dict[int, float]) -> DataFrame:
+    """case_id, proto: the core in every case, and each gated statement where its out-of-fold probability reaches its gate.
+    oof: case_id, proto, p. Core and gates are a model's short lists."""
+    opened = F.coalesce(*[F.when(F.col("proto") == p, F.col("p") >= t) for p, t in gates.items()], F.lit(False))
+    always = cases.select("case_id", F.explode(F.array(*[F.lit(p) for p in sorted(core)]).cast("array<int>")).alias("proto"))
+    return always.unionByName(oof.where(opened).select("case_id", F.col("proto").cast("int").alias("proto"))).distinct()
+
+
+def selection_reports(selection: DataFrame, bank: DataFrame) -> DataFrame:
+    """case_id, prediction, n: each case's statements (case_id, proto) in the bank's order (proto, text, position)."""
+    placed = selection.join(bank, "proto").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("s"))
+    return placed.select("case_id", T.join_report(F.col("s.text")).alias("prediction"), F.size("s").alias("n"))
+
+
+def score_selection(selection: DataFrame, bank: DataFrame, references: DataFrame) -> DataFrame:
+    """Final score of a selection with its parts and mean length; a case without a statement has an empty report.
+    references: case_id, references."""
+    reports = references.select("case_id").join(selection_reports(selection, bank), "case_id", "left").fillna("", ["prediction"]).fillna(0, ["n"])
+    return metrics.challenge_scores(reports, references).crossJoin(reports.groupBy().agg(F.avg("n").alias("mean_sentences")))
+
+
+def compacted(core: DataFrame, conditional: DataFrame) -> DataFrame:
+    """proto, compact, core: statements that a submission uses, numbered from 0 in order of proto. A short list."""
+    from pyspark.sql import Window as W
+
+    used = core.select("proto", F.lit(True).alias("core")).unionByName(conditional.select("proto", F.lit(False).alias("core"))).groupBy("proto").agg(F.max("core").alias("core"))
+    return used.withColumn("compact", F.row_number().over(W.orderBy("proto")) - 1).select("proto", "compact", "core")
+
+
 def calibrate(thresholds: dict[int, float], evaluate: Callable[[list[dict[int, float]]], list[float]], *, grid: list[float], local_grid: list[float], order: list[int], rounds: int = 1, initial: dict[int, float] | None = None) -> tuple[dict[int, float], list[float]]:
     """Coordinate ascent over thresholds: the best one value for all, or `initial` if better, then each statement of
     `order` in turn over local_grid, until a round moves nothing. evaluate scores a list of settings in one job."""
@@ -96,7 +176,7 @@ def selection_scores(settings: DataFrame, oof: DataFrame, bank: DataFrame, refer
     mean length: all trials in one job, the trial being part of every key."""
     from pyspark.sql import Window as W
 
-    m = oof.join(F.broadcast(settings), "proto").withColumn("margin", F.col("p").cast("float") - F.col("thr").cast("float"))
+    m = oof.join(settings, "proto").withColumn("margin", F.col("p").cast("float") - F.col("thr").cast("float"))
     case = W.partitionBy("trial", "case_id")
     ranked = m.withColumn("rn", F.row_number().over(case.orderBy(F.desc("margin"), "proto"))).withColumn("n", F.sum((F.col("margin") >= 0).cast("int")).over(case))
     chosen = ranked.where(((F.col("margin") >= 0) & (F.col("rn") <= most)) | ((F.col("n") < least) & (F.col("rn") <= min(least, most))))

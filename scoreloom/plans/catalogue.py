@@ -177,18 +177,18 @@ def canonical_masked(spark, sf):
 def _doc_phrases(spark, sf) -> DataFrame:
     """Cases are documents; a phrase's order is its place in the document."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source", F.posexplode(T.phrases(F.col("text"))).alias("seq", "phrase"))
-    kept = d.where(T.is_verifiable(F.col("phrase")) & T.space_words(F.col("phrase")).between(2, 40))
+    kept = d.where(T.is_verifiable(F.col("phrase")) & T.space_words(F.col("phrase")).between(2, 60))
     return kept.withColumn("canonical", T.canonical(F.col("phrase"))).where("canonical <> ''")
 
 
-Q_CASE_PHRASES = rf"""{Q_SENT}, {Q_PHRASE}, cp AS (SELECT doc_id AS case_id, ord, phrase, {_q_canonical('phrase')} AS canonical FROM phrase WHERE len(list_filter(string_split_regex(phrase, '\s+'), lambda w: w <> '')) <= 40
+Q_CASE_PHRASES = rf"""{Q_SENT}, {Q_PHRASE}, cp AS (SELECT doc_id AS case_id, ord, phrase, {_q_canonical('phrase')} AS canonical FROM phrase WHERE len(list_filter(string_split_regex(phrase, '\s+'), lambda w: w <> '')) <= 60
  AND NOT regexp_matches(phrase, '(?i){V.NON_VERIFIABLE}')), cq AS (SELECT * FROM cp WHERE canonical <> '')"""
 
 
 @query(f"WITH {Q_CASE_PHRASES} SELECT canonical, count(DISTINCT case_id) AS support, count(*) AS places, round(count(DISTINCT case_id) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS prevalence FROM cq GROUP BY canonical HAVING count(DISTINCT case_id) >= 2")
 def phrase_support_prevalence(spark, sf):
     n = table(spark, sf, "documents").agg(F.count("*").alias("n"))
-    s = B.support(_doc_phrases(spark, sf)).where("support >= 2").join(F.broadcast(n))
+    s = B.support(_doc_phrases(spark, sf)).where("support >= 2").join(n)
     return s.select("canonical", "support", "places", r6(F.col("support") / F.col("n")).alias("prevalence"))
 
 
@@ -304,7 +304,7 @@ def entailment_inline(spark, sf):
     s = E.signed(spark.createDataFrame([(t,) for t in STATEMENTS], "phrase string"))
     a, b = s.select(F.col("phrase").alias("a"), F.col("sig").alias("sa")), s.select(F.col("phrase").alias("b"), F.col("sig").alias("sb"))
     # a fixed list of statements against itself
-    return a.crossJoin(F.broadcast(b)).select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("a <> b and score > 0")
+    return a.crossJoin(b).select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("a <> b and score > 0")
 
 
 @query()
@@ -335,10 +335,10 @@ def consistent_subset(spark, sf):
 # --- selection ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT canonical AS key, array_to_string(list_sort(list(conv_id * 1000 + turn)), ',') AS positions FROM (SELECT conv_id, turn, {_q_canonical(Q_NORM)} AS canonical FROM conversations) WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1")
+@query(f"SELECT md5(canonical) AS key, array_to_string(list_sort(list(doc_id)), ',') AS positions FROM (SELECT doc_id, {_q_canonical(Q_NORM)} AS canonical FROM documents) WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1")
 def redundancy_groups(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.nullif(T.canonical(F.col("text")), F.lit("")).alias("key"))
-    return X.redundant_groups(c).select("key", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("position"), F.nullif(T.canonical(F.col("text")), F.lit("")).alias("key"))
+    return X.redundant_groups(d).select(F.md5(F.col("key").cast("binary")).alias("key"), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
 @query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY {_q_canonical(Q_NORM)} ORDER BY len(text) DESC, conv_id * 1000 + turn) AS r FROM conversations) WHERE r = 1")
@@ -483,9 +483,7 @@ def nearest_neighbour(spark, sf):
     e = table(spark, sf, "embeddings")
     # the stated query set: every fiftieth vector, against all others
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x) / 64.0
-    both = F.broadcast(q).join(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w")), F.col("query") != F.col("item"))
-    return both.withColumn("d", d).groupBy("query").agg(F.min(F.struct("d", "item")).alias("m")).select("query", F.col("m.item").alias("match"), r6("m.d").alias("distance"))
+    return L.nearest(q, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 64, others=True).select("query", "match", r6("distance").alias("distance"))
 
 
 @query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS i FROM orders) SELECT 'o_totalprice' AS \"column\", round(m, 6) AS median, round(CASE WHEN i > 1e-6 THEN i ELSE 1.0 END, 6) AS scale FROM q")
@@ -517,13 +515,55 @@ def kmeans_routing(spark, sf):
 
 @query()
 def ovr_logistic(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "label", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("f"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
     bank = e.groupBy(F.col("label").alias("proto")).agg(F.count("*").alias("n"))
     folds = L.stratified_folds(e, "label").select("case_id", "fold")
     p = L.out_of_fold(e.select("case_id", "f"), e.select("case_id", F.col("label").alias("proto")), folds, bank)
     return R.auc(p, "p", "y", ["proto"]).withColumn("auc", F.round("auc", 4))
 
 
+# --- diagnostics ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT doc_id AS case_id, source FROM documents), l AS (SELECT doc_id AS case_id, 'quality' AS proto FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1),
+ b AS (SELECT DISTINCT proto FROM l), y AS (SELECT c.case_id, c.source, b.proto, CASE WHEN l.case_id IS NULL THEN 0 ELSE 1 END AS y FROM c CROSS JOIN b LEFT JOIN l ON l.case_id = c.case_id AND l.proto = b.proto),
+ r AS (SELECT proto, source, avg(y) AS rate FROM y GROUP BY ALL), s AS (SELECT y.proto, y.y, r.rate FROM y JOIN r ON y.proto = r.proto AND y.source IS NOT DISTINCT FROM r.source),
+ k AS (SELECT proto, y, rank() OVER (PARTITION BY proto ORDER BY rate) + (count(*) OVER (PARTITION BY proto, rate) - 1) / 2.0 AS k FROM s), a AS (SELECT proto, sum(y) AS p, count(*) - sum(y) AS n, sum(k * y) AS t FROM k GROUP BY proto)
+ SELECT a.proto, round((SELECT max(rate) / (sum(rate) + 1e-9) FROM r WHERE r.proto = a.proto), 6) AS largest_share, round((t - p * (p + 1) / 2.0) / (p * n), 6) AS style_auc FROM a WHERE p > 0 AND n > 0"""
+)
+def group_shares(spark, sf):
+    labels = table(spark, sf, "labels")
+    stated = labels.select(F.col("doc_id").alias("case_id"), F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit("quality")), F.when(F.col("toxic") == 1, F.lit("toxic"))))).alias("proto"))
+    bank = stated.groupBy("proto").agg(F.count("*").alias("prevalence"))
+    s = R.group_shares(stated, table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source"), bank, "source")
+    return s.select("proto", r6("largest_share").alias("largest_share"), r6("style_auc").alias("style_auc"))
+
+
+@query("WITH j AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)), h AS (SELECT lang, quality, sum(quality) OVER w AS hits, row_number() OVER w AS spot FROM j WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT lang, sum(CAST(hits AS DOUBLE) / spot * quality) / sum(quality) AS ap FROM h GROUP BY lang HAVING sum(quality) > 0 AND sum(quality) < count(*)) SELECT count(*) AS columns, round(avg(ap), 6) AS mean_average_precision FROM a")
+def mean_average_precision(spark, sf):
+    return R.mean_average_precision(_labelled(spark, sf), "n_chars", "quality", ["lang"], ["doc_id"]).withColumn("mean_average_precision", r6("mean_average_precision"))
+
+
+@query("WITH g AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, round(m, 6) AS mean_l_quantity, row_number() OVER (ORDER BY m DESC, l_returnflag, l_linestatus) AS place FROM g ORDER BY place LIMIT 3")
+def leaderboard(spark, sf):
+    g = R.grid_rollup(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity"])
+    top = R.leaderboard(g, "mean_l_quantity", ["l_returnflag", "l_linestatus"], 3)
+    return top.select("l_returnflag", "l_linestatus", r6("mean_l_quantity").alias("mean_l_quantity"), F.col("place").cast("long").alias("place"))
+
+
+@query("WITH used AS (SELECT item_id AS proto, bool_or(core) AS core FROM (SELECT item_id, true AS core FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id, false FROM benchmark WHERE item_id % 2 = 0) GROUP BY item_id) SELECT proto, row_number() OVER (ORDER BY proto) - 1 AS compact, core FROM used")
+def index_compaction(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("proto"))
+    return S.compacted(items.where("proto % 3 = 0"), items.where("proto % 2 = 0")).withColumn("compact", F.col("compact").cast("long"))
+
+
+@query(f"WITH {Q_SENT}, {Q_PHRASE}, n AS (SELECT doc_id, count(*) AS findings FROM phrase GROUP BY doc_id) SELECT md5(text) AS report, findings FROM n JOIN documents USING (doc_id) WHERE findings >= 2")
+def training_pairs(spark, sf):
+    p = T.training_pairs(table(spark, sf, "documents"), "text")
+    return p.select(F.md5(F.col("report").cast("binary")).alias("report"), F.size("findings").cast("long").alias("findings"))
+
+
 # --- ranks ---------------------------------------------------------------------------------------------------------------
 
 
@@ -597,16 +637,17 @@ def spearman(spark, sf):
 # --- searches ------------------------------------------------------------------------------------------------------------
 
 
-def _small_bank(spark, sf) -> tuple[DataFrame, DataFrame]:
-    bank = table(spark, sf, "benchmark").orderBy("item_id").limit(6).select(F.col("item_id").cast("int").alias("proto"), "text", F.col("item_id").cast("int").alias("position"))
-    return bank, table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("reference"))
+def _benchmark_bank(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Every item as a statement, and as a reference report."""
+    items = table(spark, sf, "benchmark")
+    return items.select(F.col("item_id").cast("int").alias("proto"), "text", F.col("item_id").cast("int").alias("position")), items.select(F.col("item_id").alias("case_id"), F.col("text").alias("reference"))
 
 
 @query()
 def greedy_report_search(spark, sf):
-    bank, refs = _small_bank(spark, sf)
-    t = S.greedy(bank, refs, [r["proto"] for r in bank.select("proto").collect()], most=2, refine=0)
-    return spark.createDataFrame([(s["n"], s["added"], round(s["value"], 6)) for s in t.steps], "n int, added int, value double")
+    bank, refs = _benchmark_bank(spark, sf)
+    t = S.greedy(bank, refs, sorted(r["proto"] for r in bank.select("proto").collect()), most=40, refine=2)
+    return spark.createDataFrame([(k, s["n"], s["added"], round(s["value"], 6)) for k, s in enumerate(t.steps)], "step int, n int, added int, value double")
 
 
 @query()
