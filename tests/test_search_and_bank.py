@@ -203,3 +203,37 @@ def test_training_pairs(spark):
     assert len(mixed) == 1 and sorted(mixed[0]["findings"]) == sorted(plain[0]["findings"]) and mixed == T.training_pairs(df.repartition(3)).collect()
     turns = spark.createDataFrame(plain).select(T.prompt(F.col("findings"), "Write it up.").alias("p")).first()["p"]
     assert turns[0]["content"] == "Write it up." and turns[1]["content"].startswith("Findings:\n- The sinus is clear.\n- No lesion") and turns[1]["content"].endswith("\n\nReport:")
+
+
+def test_clusters_by_component_match_the_whole_group(spark):
+    rng = random.Random(31)
+    stems = [" ".join(rng.choice("abcdefghijklmnopqrst") * 2 for _ in range(6)) for _ in range(9)]
+    said = set()
+    for stem in stems:
+        for _ in range(7):
+            words = stem.split()
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(6)] = rng.choice("uvwxyz") * 3
+            said.add(" ".join(words))
+    said = sorted(said)
+    df = spark.createDataFrame([("all", p, p) for p in said] + [("few", "one thing", "one thing"), ("few", "other matter", "other matter")], "grp string, phrase string, canonical string")
+    vectors = bank.tfidf(df).join(df.select("phrase", "grp"), "phrase").cache()
+    terms = {r["phrase"]: r["terms"] for r in vectors.where("grp = 'all'").collect()}
+    names = {g: k for k, g in enumerate(sorted({g for t in terms.values() for g in t}))}
+    x = np.zeros((len(said), len(names)), np.float32)
+    for k, p in enumerate(said):
+        for g, v in terms[p].items():
+            x[k, names[g]] = v
+    dots = x.astype(float) @ x.T
+    near = {(said[i], said[j]) for i in range(len(said)) for j in range(i + 1, len(said)) if dots[i, j] >= 0.55}
+    assert {(r["a"], r["b"]) for r in bank.near_pairs(vectors.where("grp = 'all'"), "grp", 0.55).collect()} == near
+    for cut in (0.45, 0.7, 1.2):
+        got = {}
+        for r in bank.clusters(vectors, "grp", cut).collect():
+            got.setdefault((r["grp"], r["cluster"]), set()).add(r["phrase"])
+        want = {}
+        for p, c in zip(said, bank.average_linkage(x, cut), strict=True):
+            want.setdefault(c, set()).add(p)
+        assert sorted(map(sorted, (v for (g, _), v in got.items() if g == "all"))) == sorted(map(sorted, want.values()))
+        assert [v for (g, _), v in got.items() if g == "few"] == [{"one thing", "other matter"}]
+    assert bank.clusters(vectors.where("false"), "grp", 0.45).count() == 0
