@@ -380,12 +380,20 @@ def logistic_gate(spark, sf):
     return e.select(F.col("vec_id").alias("case_id"), r6(X.gate_probability(f, lit(_GATE), lit([0] * 8), lit([2] * 8), F.lit(0.1))).alias("p"))
 
 
-@query()
+_Q_GATED = ", ".join(f"({k}, '{t}', {0.5 * (k % 3 - 1)})" for k, t in enumerate(STATEMENTS))
+
+
+@query(
+    f"""WITH st(proto, text, w) AS (VALUES {_Q_GATED}), x AS (SELECT vec_id AS case_id, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS s FROM embeddings)
+ SELECT case_id, string_agg(text, ' ' ORDER BY proto) AS report FROM x, st WHERE proto < 3 OR 1 / (1 + exp(-greatest(-60, least(60, w * s)))) >= 0.5 GROUP BY case_id"""
+)
 def gated_reports(spark, sf):
-    cases = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"))
-    rows = [(k, t, k, k < 3, [0.5 * (k % 3 - 1)] * 8, [0.0] * 8, [1.0] * 8, 0.0, 0.5) for k, t in enumerate(STATEMENTS[:8])]
-    bank = spark.createDataFrame(rows, "proto int, text string, position int, core boolean, weights array<double>, mean array<double>, scale array<double>, intercept double, threshold double")
-    return X.gated_reports(cases, bank).select("case_id", "report")
+    cases = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    rows = [(k, t, k, k < 3, 0.5 * (k % 3 - 1), 0.0, 0.5) for k, t in enumerate(STATEMENTS)]
+    bank = spark.createDataFrame(rows, "proto int, text string, position int, core boolean, w double, intercept double, threshold double")
+    dims = cases.select(F.max(F.size("features")).alias("d"))
+    whole = bank.join(dims).select("*", F.array_repeat("w", F.col("d")).alias("weights"), F.array_repeat(F.lit(0.0), F.col("d")).alias("mean"), F.array_repeat(F.lit(1.0), F.col("d")).alias("scale"))
+    return X.gated_reports(cases, whole.drop("w", "d")).select("case_id", "report")
 
 
 # --- cases, joins, records ---------------------------------------------------------------------------------------------
@@ -456,11 +464,15 @@ def consensus_jaccard(spark, sf):
     return s.groupBy("conv_id").agg(F.max_by("i", F.struct("s", "n", -F.col("i"))).alias("chosen"))
 
 
-@query()
+@query(
+    f"""WITH {_q_bleu("case_id").replace(Q_TOK, Q_TURNS)}, {Q_METEOR}, u AS (SELECT case_id // 10000 AS conv_id, (case_id // 100) % 100 AS i, CAST((bleu_4 + meteor) / 2 AS DECIMAL(12, 9)) AS u FROM met2 JOIN bleu USING (case_id)),
+ s AS (SELECT conv_id, i, sum(u) / count(*) AS score FROM u GROUP BY ALL) SELECT conv_id, arg_max(i, (score, -i)) AS chosen, round(max(score), 6) AS score FROM s GROUP BY conv_id"""
+)
 def mbr_consensus(spark, sf):
     p = _turn_pairs(spark, sf)
     keys = ["conv_id", "i", "j"]
-    u = M.caption_scores(p, keys).select(*keys, F.col("captioning").alias("u"), F.lit(1.0).alias("weight"))
+    # decimals, so that equal turns tie whatever the order of the sum
+    u = M.caption_scores(p, keys).select(*keys, F.col("captioning").cast("decimal(12,9)").alias("u"), F.lit(1).alias("weight"))
     return R.weighted_consensus(u, ["conv_id"]).withColumn("score", r6("score"))
 
 
