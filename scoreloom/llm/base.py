@@ -1,87 +1,21 @@
-"""Session helpers shared by the training-data operators: shared folder, written tables, Arrow maps, components."""
+"""What the training-data operators share: written tables and components (of the library), Arrow maps, bit maps."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For each open `owned` block, innermost last, the folders that `materialize` has written in it.
-_OWNERS: list[list[str]] = []
+from ..operators.graph import Forest, components  # noqa: F401
+from ..sources.written import discard, drop, materialize, owned, settled, shared_dir  # noqa: F401
+
 #: Rows of an Arrow batch sent to Python; long texts make larger batches needlessly big.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset, as
-    its driver and executors are one process with one temporary folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or os.path.join(tempfile.gettempdir(), f"scoreloom-{os.getuid()}")).rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scoreloom/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place.getParent(), True)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table of `materialize` that nothing to be computed reads any more."""
-    for written in _OWNERS:
-        if table.written_to in written:
-            written.remove(table.written_to)
-    _delete(table.sparkSession, table.written_to)
-
-
-@contextmanager
-def owned() -> Iterator[list[str]]:
-    """Collects the folders that `materialize` writes in the block, for `drop` once nothing reads them any more."""
-    written: list[str] = []
-    _OWNERS.append(written)
-    try:
-        yield written
-    finally:
-        _OWNERS.remove(written)
-
-
-def drop(spark: SparkSession, written: list[str]) -> None:
-    """Delete folders of an `owned` block."""
-    while written:
-        _delete(spark, written.pop())
-
-
-def settled(build: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """What build returns, written as a table; the tables that build wrote on its way are deleted."""
-    with owned() as written:
-        made = build()
-        with owned() as kept:
-            out = materialize(made, tag)
-    drop(out.sparkSession, written)
-    if _OWNERS:
-        _OWNERS[-1] += kept
-    return out
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows, unless the session has a smaller bound already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -128,65 +62,3 @@ def in_bitmap(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether the bit of each place (int64 or uint64) is set."""
     p = places.astype(np.int64).view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
-
-
-class Forest:
-    """Union-find over small integers; the smallest member is the root."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch's edges a spanning forest, each edge (node, root of its tree in the batch)."""
-    for batch in batches:
-        a, b = (np.asarray(batch.column(c)) for c in ("a", "b"))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        trees = Forest(len(nodes))
-        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-            trees.join(x, y)
-        roots = np.fromiter((trees.root(i) for i in range(len(nodes))), np.int64, len(nodes))
-        keep = roots != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[roots[keep]])], ["a", "b"])
-
-
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest node.
-
-    Alternating large-star and small-star steps (public MapReduce algorithm): a step is one shuffle whose groups are
-    only aggregated by minimum and joined, so no node's neighbours are gathered in one place. Each round is written
-    to the shared folder, the one before deleted. Rounds grow with the logarithm of the longest path.
-    """
-    spark = edges.sparkSession
-    small_batches(spark)
-    pairs = edges.where("a <> b").select("a", "b").mapInArrow(_local_forest, "a long, b long")
-    pairs = materialize(pairs, tag)
-    while True:
-        # large star: every neighbour above the node is tied to the smallest neighbour (or the node itself)
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: node and its smaller neighbours are tied to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        last, pairs = pairs, materialize(small, tag)
-        discard(last)
-        # each node hangs on one root, and no root hangs on another: done
-        rows, nodes = pairs.agg(F.count("*"), F.countDistinct("a")).first()
-        if rows == nodes and pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
