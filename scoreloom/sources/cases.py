@@ -63,8 +63,9 @@ def discovered(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, report: whole text files without a byte order mark, in normal form; empty ones are left out."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """path, report: whole text files, folders being searched for .txt files, without a byte order mark, in normal form; empty
+    ones are left out."""
+    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]").select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.select("path", normalize(F.regexp_replace("value", "^\\uFEFF", "")).alias("report")).where("report <> ''")
 
 
