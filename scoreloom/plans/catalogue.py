@@ -19,6 +19,7 @@ from ..operators import rank as R
 from ..operators import search as S
 from ..operators import select as X
 from ..sources import cases as SRC
+from . import statement_sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,15 +121,6 @@ def group_balanced_scores(spark, sf):
     return both[0].unionByName(both[1]).select("how", "groups", r6("bleu_4").alias("bleu_4"), r6("meteor").alias("meteor"))
 
 
-@query(
-    f"""WITH {_q_bleu('')}, {Q_METEOR} SELECT cases, round(bleu_4, 6) AS bleu_4, round((SELECT avg(meteor) FROM met2), 6) AS meteor,
- round(0.8 * 0.5 + 0.2 * (bleu_4 + (SELECT avg(meteor) FROM met2)) / 2, 6) AS final FROM bleu"""
-)
-def final_score(spark, sf):
-    s = M.caption_scores(pairs(spark, sf))
-    return s.select("cases", r6("bleu_4").alias("bleu_4"), r6("meteor").alias("meteor"), r6(M.final_score(F.lit(0.5), F.col("bleu_4"), F.col("meteor"))).alias("final"))
-
-
 # --- text --------------------------------------------------------------------------------------------------------------
 
 
@@ -255,20 +247,25 @@ STATEMENTS = [
     "The patient was scanned twice.",
     "Tooth 36 has an endodontic treatment.",
     "Canal course is predominantly buccal.",
+    "A periapical lesion is visible at tooth 36.",
+    "Impacted tooth 48 in contact with the mandibular canal, suspected cyst of 3 mm.",
 ]
 
+_Q_STATEMENTS = "st AS MATERIALIZED (SELECT * FROM (VALUES " + ", ".join(f"({k}, {k // 5}, '{t}')" for k, t in enumerate(STATEMENTS)) + ") AS v(id, case_id, text))"
+
 
 def statements(spark: SparkSession) -> DataFrame:
     rows = [(k, k // 5, t) for k, t in enumerate(STATEMENTS)]
     return C.with_mentions(spark.createDataFrame(rows, "id int, case_id int, text string"))
 
 
-@query()
+@query(
+    f"WITH {_Q_STATEMENTS}, {Q.mentions('st')} SELECT id, concept, polarity, laterality, array_to_string(teeth, ',') AS teeth, array_to_string(measurements, ',') AS mm FROM mention"
+)
 def mentions_inline(spark, sf):
     return statements(spark).select("id", F.explode("mentions").alias("m")).select("id", "m.concept", "m.polarity", "m.laterality", F.array_join(F.transform("m.teeth", lambda t: t.cast("string")), ",").alias("teeth"), F.array_join(F.transform("m.measurements", lambda t: t.cast("string")), ",").alias("mm"))
 
 
-_Q_STATEMENTS = "st AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(STATEMENTS)) + ") AS v(id, text))"
 
 
 @query(
@@ -282,24 +279,36 @@ def qualifiers_inline(spark, sf):
     return s.select("id", C.laterality(F.col("text")).alias("side"), F.array_join(F.transform(C.teeth(F.col("text")), lambda t: t.cast("string")), ",").alias("teeth"), T.is_verifiable(F.col("text")).alias("verifiable"))
 
 
-@query()
+@query(
+    rf"""WITH {_Q_STATEMENTS}, {Q.mentions('st')}, f AS (SELECT id, arg_min(section, ord) AS section FROM mention GROUP BY id), s AS (SELECT id, text, coalesce(section, 'other') AS section FROM st LEFT JOIN f USING (id))
+ SELECT id, section, list_position({Q.listed(V.SECTIONS)}, section) - 1 AS rank, trim(text) <> '' AND NOT regexp_matches(trim(text), {Q.ignoring_case(V.DANGLING)}) AND NOT regexp_matches(text, {Q.ignoring_case(V.BACK_REFERENCE)}) AND NOT regexp_matches(text, {Q.ignoring_case(V.UNTRANSLATED)})
+  AND len(replace(text, '(', '')) = len(replace(text, ')', '')) AS well_formed, NOT regexp_matches(text, {Q.ignoring_case(V.DANGLING)}) AND NOT regexp_matches(text, {Q.quoted(V.TOOTH_NUMBER)}) AND NOT regexp_matches(text, {Q.quoted(V.BARE_TOOTH)}) AS generic FROM s"""
+)
 def sections_inline(spark, sf):
     return statements(spark).select("id", C.section(F.col("text")).alias("section"), C.section_rank(C.section(F.col("text"))).alias("rank"), T.is_well_formed(F.col("text")).alias("well_formed"), T.is_generic(F.col("text")).alias("generic"))
 
 
-@query()
+_Q_PROFILE = f"{_Q_STATEMENTS}, {Q.mentions('st')}, pf AS (SELECT case_id, concept, arg_max(polarity, CASE polarity WHEN 'present' THEN 3 WHEN 'uncertain' THEN 2 ELSE 1 END) AS polarity FROM mention JOIN st USING (id) GROUP BY ALL)"
+
+
+@query(f"WITH {_Q_PROFILE} SELECT case_id, concept, polarity FROM pf")
 def concept_profile_inline(spark, sf):
     return C.profile(statements(spark))
 
 
-@query()
+@query(
+    f"""WITH {_Q_PROFILE}, d AS (SELECT concept, a.polarity AS was, b.polarity AS is_ FROM (SELECT * FROM pf WHERE case_id = 0) a FULL JOIN (SELECT * FROM pf WHERE case_id = 1) b USING (concept))
+ SELECT 0 AS case_id, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was IS NULL), '') AS added, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (is_ IS NULL), '') AS dropped, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was <> is_), '') AS flipped FROM d"""
+)
 def faithfulness_diff(spark, sf):
     s = statements(spark)
     before, after = s.where("case_id = 0").withColumn("case_id", F.lit(0)), s.where("case_id = 1").withColumn("case_id", F.lit(0))
     return C.profile_changes(C.profile(before), C.profile(after)).select("case_id", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "flipped")])
 
 
-@query()
+@query(
+    f"WITH {_Q_STATEMENTS}, {Q.signatures('st')} SELECT * FROM (SELECT a.text AS a, b.text AS b, round({Q.ENTAILMENT}, 6) AS score FROM sig a, sig b WHERE a.id <> b.id) WHERE score > 0"
+)
 def entailment_inline(spark, sf):
     s = E.signed(spark.createDataFrame([(t,) for t in STATEMENTS], "phrase string"))
     a, b = s.select(F.col("phrase").alias("a"), F.col("sig").alias("sa")), s.select(F.col("phrase").alias("b"), F.col("sig").alias("sb"))
@@ -307,25 +316,65 @@ def entailment_inline(spark, sf):
     return a.crossJoin(b).select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("a <> b and score > 0")
 
 
-@query()
-def entailment_pr_f1(spark, sf):
+_Q_NEXT_TURN = """documents AS (SELECT conv_id * 200 + turn * 2 AS doc_id, text FROM conversations WHERE (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)
+ UNION ALL SELECT conv_id * 200 + (turn - 1) * 2 + 1, text FROM conversations WHERE (conv_id, turn - 1) IN (SELECT (conv_id, turn) FROM conversations))"""
+
+
+def _next_turns(spark, sf) -> DataFrame:
+    """Each turn of a conversation against the next one; case_id is a hundred times the conversation, and the turn."""
     c = table(spark, sf, "conversations")
-    turns = lambda n, name: c.where(F.col("turn") == n).select(F.col("conv_id").alias("case_id"), F.col("text").alias(name))
-    s = E.clinical_scores(turns(0, "prediction").join(turns(1, "reference"), "case_id"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    return c.withColumnRenamed("text", "prediction").join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), "prediction", "reference")
+
+
+_Q_ENTAILED = f"""{_Q_NEXT_TURN}, {Q_SENT}, {Q_PHRASE}, vp AS MATERIALIZED (SELECT doc_id // 2 AS case_id, doc_id % 2 AS side, phrase FROM phrase WHERE NOT regexp_matches(phrase, {Q.ignoring_case(V.NON_VERIFIABLE)})),
+ st AS MATERIALIZED (SELECT row_number() OVER () AS id, phrase AS text FROM (SELECT DISTINCT phrase FROM vp)), {Q.signatures('st')}, v AS (SELECT case_id, side, id FROM vp JOIN st ON phrase = text),
+ good AS (SELECT DISTINCT x.case_id, x.side, x.id FROM v x JOIN v y ON x.case_id = y.case_id AND x.side <> y.side JOIN sig a ON a.id = x.id JOIN sig b ON b.id = y.id WHERE {Q.ENTAILMENT} >= {V.ENTAILED_FROM}),
+ c AS (SELECT v.case_id, count(*) FILTER (side = 0) AS np, count(*) FILTER (side = 1) AS nr, count(*) FILTER (side = 0 AND good.id IS NOT NULL) AS gp, count(*) FILTER (side = 1 AND good.id IS NOT NULL) AS gr FROM v LEFT JOIN good USING (case_id, side, id) GROUP BY ALL),
+ z AS (SELECT d.case_id, coalesce(np, 0) AS np, coalesce(nr, 0) AS nr, CASE WHEN coalesce(np, 0) = 0 THEN 0.0 ELSE gp / np::DOUBLE END AS p, CASE WHEN coalesce(nr, 0) = 0 THEN 0.0 ELSE gr / nr::DOUBLE END AS r FROM (SELECT DISTINCT doc_id // 2 AS case_id FROM documents) d LEFT JOIN c USING (case_id))"""
+
+
+@query(
+    f"""WITH {_Q_ENTAILED} SELECT case_id, np AS candidate_count, nr AS reference_count, round(p, 6) AS logical_precision, round(r, 6) AS logical_recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS logical_f1 FROM z"""
+)
+def entailment_pr_f1(spark, sf):
+    s = E.clinical_scores(_next_turns(spark, sf))
     return s.select("case_id", "candidate_count", "reference_count", *[r6(x).alias(x) for x in ("logical_precision", "logical_recall", "logical_f1")])
 
 
-@query()
+_Q_TURN_PAIRS = "pairs AS (SELECT a.doc_id // 2 AS case_id, 'x' AS lang, a.text AS prediction, b.text AS reference FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)"
+
+
+@query(
+    f"""WITH {_Q_ENTAILED}, {_q_bleu('').replace(Q_PAIRS, _Q_TURN_PAIRS)}, {Q_METEOR}, mm AS (SELECT avg(meteor) AS meteor FROM met2), pr AS (SELECT avg(p) AS p, avg(r) AS r FROM z),
+ f AS (SELECT cases, bleu_4, meteor, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS clinical FROM bleu, mm, pr)
+ SELECT cases, round(bleu_4, 6) AS bleu_4, round(meteor, 6) AS meteor, round(p, 6) AS logical_precision, round(r, 6) AS logical_recall, round(clinical, 6) AS clinical, round(0.8::DOUBLE * clinical + 0.2::DOUBLE * (bleu_4 + meteor) / 2, 6) AS final FROM f"""
+)
+def final_score(spark, sf):
+    pairs = _next_turns(spark, sf)
+    s = M.challenge_scores(pairs.select("case_id", "prediction"), pairs.select("case_id", F.array("reference").alias("references")))
+    return s.select("cases", *[r6(c).alias(c) for c in ("bleu_4", "meteor", "logical_precision", "logical_recall", "clinical", "final")])
+
+
+@query(
+    f"WITH {_Q_STATEMENTS}, {Q.conflicts('st')} SELECT i, j, reason FROM conflict"
+)
 def conflict_pairs(spark, sf):
     return X.conflict_pairs(statements(spark))
 
 
-@query()
+@query(
+    f"WITH {_Q_STATEMENTS}, {Q.mentions('st')} SELECT DISTINCT a.id AS i, b.id AS j FROM mention a JOIN mention b USING (concept) WHERE a.id < b.id AND a.polarity <> b.polarity AND a.polarity <> 'uncertain' AND b.polarity <> 'uncertain'"
+)
 def contradiction_pairs(spark, sf):
     return X.contradictions(statements(spark).withColumnRenamed("id", "proto"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_Q_STATEMENTS}, {Q.conflicts('st')}, k AS (SELECT id, text, CASE WHEN n > 0 THEN '{{"concepts":["' || array_to_string(pairs, '","') || '"],"side":"' || side || '","teeth":[' || array_to_string(teeth, ',') || ']}}' END AS key FROM sig),
+ walk(step, kept) AS (SELECT -1, []::INTEGER[] UNION ALL SELECT k.id, CASE WHEN EXISTS (SELECT 1 FROM k o WHERE list_contains(walk.kept, o.id) AND o.key = k.key) OR EXISTS (SELECT 1 FROM conflict c WHERE (c.j = k.id AND list_contains(walk.kept, c.i)) OR (c.i = k.id AND list_contains(walk.kept, c.j))) THEN kept ELSE list_append(kept, k.id) END FROM walk JOIN k ON k.id = walk.step + 1)
+ SELECT 0 AS case_id, id AS position, key, text FROM k WHERE list_contains((SELECT kept FROM walk ORDER BY step DESC LIMIT 1), id)"""
+)
 def consistent_subset(spark, sf):
     s = statements(spark)
     keyed = s.select(F.lit(0).alias("case_id"), F.col("id").alias("position"), F.to_json(C.assertion_key(F.col("mentions"))).alias("key"), "text")
@@ -355,14 +404,22 @@ def _scores(spark, sf) -> DataFrame:
 Q_SCORES = "sc AS (SELECT vec_id AS case_id, generate_subscripts(embedding, 1) - 1 AS proto, unnest(embedding) AS x FROM embeddings), pr AS (SELECT case_id, proto, round(1 / (1 + exp(-x::DOUBLE)), 5) AS p FROM sc)"
 
 
-@query(f"WITH {Q_SCORES}, m AS (SELECT case_id, proto, p::FLOAT - 0.6::FLOAT AS margin FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY margin DESC, proto) AS rn, sum((margin >= 0)::INT) OVER (PARTITION BY case_id) AS n FROM m) SELECT case_id, proto FROM r WHERE (margin >= 0 AND rn <= 6) OR (n < 2 AND rn <= 2)")
+Q_CHOSEN = f"WITH {Q_SCORES}, m AS (SELECT case_id, proto, p::FLOAT - 0.6::FLOAT AS margin FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY margin DESC, proto) AS rn, sum((margin >= 0)::INT) OVER (PARTITION BY case_id) AS n FROM m) SELECT case_id, proto FROM r WHERE (margin >= 0 AND rn <= 6) OR (n < 2 AND rn <= 2)"
+
+
+@query(Q_CHOSEN)
 def threshold_select(spark, sf):
     s = _scores(spark, sf)
     t = spark.range(64).select(F.col("id").cast("int").alias("proto"), F.lit(0.6).alias("thr"))
     return X.threshold_select(s, t, 2, 6).where("chosen").select("case_id", "proto")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE ch AS ({Q_CHOSEN}), px AS (SELECT vec_id AS case_id, generate_subscripts(embedding, 1) - 1 AS proto, unnest(embedding) AS x FROM embeddings), c AS (SELECT case_id, proto, round(1 / (1 + exp(-x::DOUBLE)), 5) AS p FROM ch JOIN px USING (case_id, proto)),
+ pair AS (SELECT a.case_id, a.proto AS i, b.proto AS j, a.p >= b.p AS stays, row_number() OVER (PARTITION BY a.case_id ORDER BY a.proto) AS k FROM c a JOIN c b ON a.case_id = b.case_id AND b.proto = a.proto + 1),
+ walk(case_id, k, gone) AS (SELECT DISTINCT case_id, 0::BIGINT, []::BIGINT[] FROM c UNION ALL SELECT w.case_id, pair.k, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, CASE WHEN stays THEN j ELSE i END) END FROM walk w JOIN pair ON pair.case_id = w.case_id AND pair.k = w.k + 1),
+ done AS (SELECT case_id, arg_max(gone, k) AS gone FROM walk GROUP BY case_id) SELECT case_id, proto, p FROM c JOIN done USING (case_id) WHERE NOT list_contains(gone, proto)"""
+)
 def resolve_conflicts(spark, sf):
     chosen = threshold_select(spark, sf).join(_scores(spark, sf), ["case_id", "proto"])
     foes = spark.range(0, 63).select(F.col("id").cast("int").alias("i"), (F.col("id") + 1).cast("int").alias("j"))
