@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import concepts as C
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..sources.written import materialize
 from .metrics import f1
 
 
@@ -68,7 +69,8 @@ def clinical_scores(pairs: DataFrame, threshold: float = V.ENTAILED_FROM) -> Dat
     # both sides' statements are parsed in one go
     sides = pairs.select("case_id", F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("prediction").alias("text")), F.struct(F.lit("r").alias("side"), F.col("reference").alias("text")))).alias("s")).select("case_id", "s.*")
     found = sides.select("case_id", "side", F.posexplode(T.phrases(F.col("text"))).alias("position", "phrase")).where(T.is_verifiable(F.col("phrase")))
-    both_sides = signed(found)
+    # written, as both directions read it and parsing is what costs
+    both_sides = materialize(signed(found), "statements")
     p, r = (both_sides.where(F.col("side") == x).drop("side") for x in "pr")
     count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(f"{name}_count"), F.sum(F.col("entailed").cast("int")).alias(f"entailed_{name}_count"))
     both = pairs.select("case_id").join(count(supported(p, r, threshold=threshold), "candidate"), "case_id", "left").join(count(supported(r, p, threshold=threshold), "reference"), "case_id", "left").fillna(0)
