@@ -237,3 +237,21 @@ def test_clusters_by_component_match_the_whole_group(spark):
         assert sorted(map(sorted, (v for (g, _), v in got.items() if g == "all"))) == sorted(map(sorted, want.values()))
         assert [v for (g, _), v in got.items() if g == "few"] == [{"one thing", "other matter"}]
     assert bank.clusters(vectors.where("false"), "grp", 0.45).count() == 0
+
+
+def test_routing_by_clusters(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(at, 0.3, (20, 2)) for at in (0.0, 6.0, 12.0)])
+    routed, cost = models.kmeans(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "case_id int, f array<double>"), k=3)
+    cluster = {r.case_id: r.cluster for r in routed.collect()}
+    assert [len({cluster[k] for k in range(a, a + 20)}) for a in (0, 20, 40)] == [1, 1, 1]
+    assert len(set(cluster.values())) == 3
+    groups = [points[a : a + 20] for a in (0, 20, 40)]
+    assert cost == pytest.approx(sum(((g - g.mean(0)) ** 2).sum() for g in groups))
+    # each case is scored with the report of its cluster, and all cases are pooled
+    said = {cluster[a]: f"the canal of group {a} is regular in its course" for a in (0, 20, 40)}
+    references = spark.createDataFrame([(k, said[cluster[k]] if k % 20 else "nothing of that kind here") for k in range(60)], "case_id int, reference string")
+    scores = models.mixture_scores(routed.select("case_id", "cluster"), spark.createDataFrame(list(said.items()), "cluster int, prediction string"), references).first()
+    plain = metrics.caption_scores(references.join(spark.createDataFrame([(k, said[cluster[k]]) for k in range(60)], "case_id int, prediction string"), "case_id")).first()
+    assert scores.cases == 60 and scores.bleu_4 == pytest.approx(plain.bleu_4) and scores.meteor == pytest.approx(plain.meteor)
+    assert 0.9 < scores.bleu_4 < 1
