@@ -71,7 +71,7 @@ def _first_books(rows: DataFrame, dim: int, parts: int, entries: int) -> np.ndar
 
     ranked = arrow_map(rows.select("vec_id", "embedding"), clean, "vec_id long, ints array<long>").orderBy(F.col("vec_id").asc_nulls_last(), "ints").limit(entries)
     found = sorted(materialize(ranked, "vq_first").collect(), key=lambda r: (r["vec_id"] is None, r["vec_id"] or 0, r["ints"]))
-    return np.array([r["ints"] for r in found], np.int64).reshape(len(found), parts, -1).transpose(1, 0, 2)
+    return np.array([r["ints"] for r in found], np.int64).reshape(len(found), parts, dim // parts).transpose(1, 0, 2)
 
 
 def _moved_books(rows: DataFrame, books: np.ndarray) -> np.ndarray:
