@@ -2,8 +2,9 @@
 
 Scores are divided by the score that an item's own text gets, so they run from 0 to 1 and one threshold fits all
 items. Retrieval is exact: block-max WAND returns every item at or above the threshold. A document's passages are
-windows of words that overlap by half and are twice as long as the longest item, so each item that a document holds
-lies in one of them.
+windows of words that overlap by half. Their length goes by the item's own: items are dealt into classes by `window_of`,
+each of which is searched with windows of its own, at least twice as long as its items, so each item that a document
+holds lies in one of them, and what is found of an item depends on no other item's length.
 """
 
 from __future__ import annotations
@@ -37,24 +38,44 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_FOLD).split()
 
 
+def window_of(words: int) -> int:
+    """Words of a passage for items of so many words: LEAST_WINDOW doubled until it holds two of them."""
+    window = LEAST_WINDOW
+    while window < 2 * words:
+        window *= 2
+    return window
+
+
 def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
     """Runs of n words; with fewer, the whole as one; none of no words."""
     return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
+#: Number of items with words, their mean length, and in how many each term stands.
+Whole = tuple[int, float, dict[bytes, int]]
+
+
+def _worded(items: list[tuple[int | None, str]]) -> list[tuple[int | None, list[bytes]]]:
+    return [(i, w) for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) if (w := words_of(t))]
+
+
+def _counts_of(held: list[list[bytes]]) -> Whole:
+    return len(held), float(np.mean([len(w) for w in held] or [1])), Counter(t for w in held for t in set(w))
+
+
 class BlockMaxIndex:
-    """Postings in item order with impacts (shares of the item's own score), cut into blocks with their maxima."""
+    """Postings in item order with impacts (shares of the item's own score), cut into blocks with their maxima. The items
+    should be of one class of `window_of`."""
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, whole: tuple[int, float, dict[bytes, int]] | None = None) -> None:
-        """whole: number of items with words, their mean length, and in how many each of these items' terms stands, over all
-        items, of which these may be a part; left out, these are all."""
-        held = [(i, w) for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) if (w := words_of(t))]
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, whole: Whole | None = None) -> None:
+        """whole: counts over all items, of which these may be a part; left out, these are all."""
+        held = _worded(items)
         self.ids = [i for i, _ in held]
         self.words = [w for _, w in held]
         self.threshold = threshold
-        self.window = max([LEAST_WINDOW, *(2 * len(w) for w in self.words)])
+        self.window = window_of(max((len(w) for w in self.words), default=0))
         counts = [Counter(w) for w in self.words]
-        n, mean, df = whole or (len(held), np.mean([len(w) for w in self.words] or [1]), Counter(t for c in counts for t in c))
+        n, mean, df = whole or _counts_of(self.words)
         postings: dict[bytes, list[tuple[int, float]]] = {}
         #: Term to (item, impact) for a rare part of each item, and what of it a passage above the threshold must hold.
         self.rare: dict[bytes, list[tuple[int, float]]] = {}
@@ -156,9 +177,8 @@ class BlockMaxIndex:
             shares.append(hits / len(has) if has else 1.0)
         return shares[0], shares[1], shares[2]
 
-    def matches(self, text: str) -> list[tuple[int, float, int, float, float, float]]:
+    def matches(self, words: list[bytes]) -> list[tuple[int, float, int, float, float, float]]:
         """Verified items of a text: (item, best score, that passage's first word, overlaps in all, question, answer)."""
-        words = words_of(text)
         rare = self.may_hold(words)
         if not rare:
             return []
@@ -176,11 +196,28 @@ class BlockMaxIndex:
         return [best[d] for d in sorted(best)]
 
 
-def indexes(items: DataFrame, *, item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> Iterator[BlockMaxIndex]:
+class ItemIndex:
+    """Items of any length: an index for each class of `window_of`."""
+
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, whole: Whole | None = None) -> None:
+        classes: dict[int, list[tuple[int | None, str]]] = {}
+        for i, t in items:
+            if n := len(words_of(t)):
+                classes.setdefault(window_of(n), []).append((i, t))
+        whole = whole or _counts_of([w for _, w in _worded(items)])
+        self.classes = [BlockMaxIndex(classes[w], threshold, whole) for w in sorted(classes)]
+
+    def matches(self, text: str) -> list[tuple[int, float, int, float, float, float]]:
+        """Verified items of a text, as `BlockMaxIndex.matches`."""
+        words = words_of(text) if self.classes else []
+        return [m for c in self.classes for m in c.matches(words)]
+
+
+def indexes(items: DataFrame, *, item_text: str = "text", item_key: str = "item_id", threshold: float = THRESHOLD) -> Iterator[ItemIndex]:
     """Indexes of all items, each of INDEX_CHARS characters at most (or one item); one empty index if there are none.
 
-    Numbers of items, lengths and term frequencies are always those of all items, so scores don't depend on how many indexes
-    there are. Null ids are ids like any other, null texts are no items."""
+    Numbers of items, lengths and term frequencies are always those of all items, and passages go by an item's own length,
+    so results don't depend on how many indexes there are or what else is in one. Null ids are ids like any other, null texts are no items."""
     given = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     chars = given.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     whole = _term_counts(given) if chars > INDEX_CHARS else None
@@ -188,14 +225,14 @@ def indexes(items: DataFrame, *, item_text: str = "text", item_key: str = "item_
     size = 0
     for r in given.orderBy("i", "t").toLocalIterator():
         if group and size + len(r["t"]) > INDEX_CHARS:
-            yield BlockMaxIndex(group, threshold, whole and whole(group))
+            yield ItemIndex(group, threshold, whole and whole(group))
             group, size = [], 0
         group.append((r["i"], r["t"]))
         size += len(r["t"])
-    yield BlockMaxIndex(group, threshold, whole and whole(group))
+    yield ItemIndex(group, threshold, whole and whole(group))
 
 
-def _term_counts(given: DataFrame) -> Callable[[list[tuple[int | None, str]]], tuple[int, float, dict[bytes, int]]]:
+def _term_counts(given: DataFrame) -> Callable[[list[tuple[int | None, str]]], Whole]:
     """Counts over all items, kept in Spark; the function returned brings those of a group's terms, bounded as the group is."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +244,7 @@ def _term_counts(given: DataFrame) -> Callable[[list[tuple[int | None, str]]], t
     n, mean = found.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
     df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-    def of(group: list[tuple[int | None, str]]) -> tuple[int, float, dict[bytes, int]]:
+    def of(group: list[tuple[int | None, str]]) -> Whole:
         asked = given.sparkSession.createDataFrame([(t,) for t in {w for _, x in group for w in words_of(x)}], "term binary")
         return n, mean, {bytes(r["term"]): r["df"] for r in df.join(asked, "term", "left_semi").collect()}
 
