@@ -4,7 +4,8 @@ Each document of a source stands in a shuffled line; its virtual finish time is
 divided by the source's target. All documents, sorted by finish time and cut at the total budget, are the mix.
 
 Running sums are never taken over a whole source or the whole table in one task: rows are first summed by small ranges
-of the sort key, the short table of range sums is accumulated, and rows are ordered only within their range.
+of the sort key, the short table of range sums is accumulated, and rows are ordered only within their range. Until virtual
+time 1 a source's finish times are spread evenly by the shuffle, so ranges of it are narrow whatever the sources' sizes.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int = MOST_
 
 def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """The queue in its global order, cut at the total budget: a row for each document and epoch, range-sorted by virtual
-    finish time.
+    finish time, those that finish after virtual time 1 last and in no order.
 
     Columns: doc_id, source, size, source_size, weight, target, place (running sum of sizes within the source: with the
     source it names the row), epoch, finish, part. part is what the mix takes of the row: the queue is served in order of
@@ -94,11 +95,13 @@ def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: i
     once = F.array(row(F.col("size"), F.when(done <= due, F.least(F.try_divide(done, "target"), F.lit(1.0))).otherwise(after)))
     sent = queued.select("*", F.explode(F.when((before < due) & (due < done), passing).otherwise(once)).alias("sent")).select(*queued.columns, "sent.*")
     sent = sent.withColumn("finish", F.coalesce("finish", F.lit(float(most_epochs + 1))))
-    # running sum in order of finish, by narrow ranges of it, summed in two steps, so no task sees more than a short list
-    shape = rows.agg(F.count("*").alias("n")).first()["n"]
-    ranges = max(1, -(-shape // RANGE_ROWS))
-    sent = sent.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(float(most_epochs + 1))) * ranges).cast("long"))
     sent = materialize(sent, "mix_queue")
+    # sources meet their targets at virtual time 1, so the words until then are the budget at least: what finishes later is
+    # past the cut, needs no place in the order and, of a large source or one without a target, may be most of its rows
+    late, sent = sent.where("finish > 1"), sent.where("finish <= 1")
+    # running sum in order of finish, by narrow ranges of it, summed in two steps, so no task sees more than a short list
+    ranges = max(1, -(-sent.count() // RANGE_ROWS))
+    sent = sent.withColumn("range", F.floor(F.col("finish") * ranges).cast("long"))
     sums = sent.groupBy("range").agg(F.sum("words").alias("n")).withColumn("group", F.floor(F.col("range") / RANGE_ROWS).cast("long"))
     groups = sums.groupBy("group").agg(F.sum("n").alias("n"))
     groups = groups.select(F.col("group").alias("g"), (F.sum("n").over(W.orderBy("group")) - F.col("n")).alias("base"))
@@ -108,7 +111,8 @@ def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: i
     in_range = W.partitionBy("range").orderBy("finish", F.col("source").isNull(), "source", "epoch", "place", "nth").rowsBetween(W.unboundedPreceding, 0)
     queue = sent.repartitionByRange("range").withColumn("upto", F.sum("words").over(in_range)).join(ahead, F.col("range") == F.col("r")).crossJoin(budget)
     left = F.col("budget") - (F.col("ahead") + F.col("upto") - F.col("words"))
-    return queue.withColumn("part", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("words", "range", "r", "upto", "ahead", "budget")
+    queue = queue.withColumn("part", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("words", "range", "r", "upto", "ahead", "budget")
+    return queue.unionByName(late.withColumn("part", F.lit(0).cast("long")).drop("words"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
