@@ -267,7 +267,10 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     """Runs of min_words words or more that stand elsewhere too, word for word but for white space and A-Z: the columns of
     `repeated_paragraphs`. A run is made of windows that repeat, each at most a word from the next, and goes on at both ends
     as far as any other place of its outer window agrees. It is cut where the first places of its windows change, so that a
-    cluster is a stretch of the text that has it first (kept) and its copies; parts of a long run may be short."""
+    cluster is a stretch of the text that has it first (kept) and its copies; parts of a long run may be short.
+
+    Null texts and an empty table give no rows; null keys come first; rows that repeat key and text are one document; equal
+    keys with different texts are told apart; very long texts are read whole, in pieces; further columns are not read."""
     size = min_words // 2
     width = min_words - size + 1
     uid = F.xxhash64(F.col(key), F.col(text))
@@ -324,30 +327,52 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
 
 def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, per_cent: int = PER_CENT, tag: str = "paragraphs", family_tokens: int | None = None) -> DataFrame:
     """The rows of `repeated_lines`, and those of `repeated_passages` of which WORDS words or more stand outside them. Rows of
-    one text may overlap.
+    one text may overlap; places counts a cluster's rows here.
+
+    One place of each passage stays, chosen once the lines are known: the first (by doc_id, text_hash, begin) of those that lie
+    in a line that is kept, else of those that no line to be removed touches, else of those that one touches in part. What
+    is kept is never cut by what is not (see `without_repeats`), so a passage of the first two kinds stands whole in what is
+    left. The kept place of a passage has no row of its own where it lies in a line that is kept.
 
-    Null texts have no paragraphs, an empty table gives no rows, further columns are not read. Rows that repeat key and text
-    are one document, whose places come once; equal keys with different texts are told apart by text_hash."""
+    Null texts have no paragraphs, an empty table gives no rows, further columns are not read, very long texts are compared
+    whole. Rows that repeat key and text are one document, whose places come once; equal keys with different texts are told
+    apart by text_hash."""
     lines = settled(lambda: repeated_lines(docs, text=text, key=key, min_words=min_words, per_cent=per_cent, tag=tag, family_tokens=family_tokens), f"{tag}_lines")
     passages = settled(lambda: repeated_passages(docs, text=text, key=key, min_words=min_words), f"{tag}_passages")
-    held = lines.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("begin").alias("lb"), F.col("end").alias("le"))
+    return lines.unionByName(_beside_lines(passages, lines).select(*lines.columns))
+
+
+def _beside_lines(passages: DataFrame, lines: DataFrame) -> DataFrame:
+    """The passages' rows that stand beside the lines', with the places that stay."""
+    held = lines.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("begin").alias("lb"), F.col("end").alias("le"), F.col("keep").alias("stays"))
     meet = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("lb") < F.col("end")) & (F.col("le") > F.col("begin"))
-    inside = F.when(F.col("le").isNull(), 0).otherwise(F.least("end", "le") - F.greatest("begin", "lb"))
-    own = passages.join(held, meet, "left").withColumn("inside", inside).groupBy(*passages.columns).agg(F.sum("inside").alias("inside"))
-    rest = own.where((F.col("end") - F.col("begin") - F.col("inside")) * F.col("n_words") >= WORDS * (F.col("end") - F.col("begin")))
-    return lines.unionByName(rest.select(*lines.columns))
+    shared = F.least("end", "le") - F.greatest("begin", "lb")
+    part = lambda stays: F.sum(F.when(F.col("stays") == stays, shared).otherwise(0))
+    own = passages.drop("keep", "places").join(held, meet, "left").groupBy("doc_id", "text_hash", "begin", "end", "n_words", "cluster").agg(part(True).alias("kept"), part(False).alias("removed"))
+    chars = F.col("end") - F.col("begin")
+    beside = lambda within: (chars - within) * F.col("n_words") >= WORDS * chars
+    kind = F.when((F.col("removed") == 0) & ~beside(F.col("kept")), 0).when(F.col("removed") == 0, 1).when(beside(F.col("removed")), 2).otherwise(3)
+    own = materialize(own.withColumn("place", F.struct(kind.alias("kind"), "doc_id", "text_hash", "begin")), "passages_placed")
+    # the place that stays, by an aggregate, so that a cluster of very many places is no one task's
+    stays = own.groupBy("cluster").agg(F.min("place").alias("stays"))
+    rest = own.where(beside(F.col("kept") + F.col("removed")))
+    counts = rest.groupBy("cluster").agg(F.count("*").alias("places"))
+    chosen = stays.join(counts, "cluster").select(F.col("cluster").alias("c"), "stays", "places")
+    return rest.join(chosen, F.col("cluster") == F.col("c")).withColumn("keep", F.col("place").eqNullSafe(F.col("stays")))
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs, all columns, with every paragraph that is not kept cut out of its text, and the line break after it. Rows without
-    such a paragraph, null texts among them, stay as they are; an empty table on either side changes nothing."""
-    made = {n: f"{n}_{uuid.uuid4().hex}" for n in ("key", "hash", "spans", "whole", "ends", "begins")}
-    spans = repeats.where("not keep").groupBy(F.col("doc_id").alias(made["key"]), F.col("text_hash").alias(made["hash"])).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias(made["spans"]))
-    joined = docs.join(spans, F.col(key).cast("long").eqNullSafe(F.col(made["key"])) & (F.xxhash64(F.col(text)) == F.col(made["hash"])), "left")
-    # character places from 0; what stands between the spans is put together again
-    # (spans may overlap: a text goes on after the furthest end so far)
-    ends = F.expr("concat(array(0), transform({spans}, (s, i) -> array_max(transform(slice({spans}, 1, i + 1), x -> x.end)) + 1))".format(**made))
-    begins = F.expr(f"concat(transform({made['spans']}, s -> s.begin), array(length(`{text}`) + 1))")
-    left = F.expr("aggregate(zip_with({ends}, {begins}, (e, b) -> substring({whole}, e + 1, greatest(b - e, 0))), '', (x, y) -> concat(x, y))".format(**made))
-    cut = joined.withColumn(made["whole"], F.col(text)).withColumn(made["ends"], ends).withColumn(made["begins"], begins)
-    return cut.withColumn(text, F.when(F.col(made["spans"]).isNull(), F.col(text)).otherwise(F.rtrim(left))).select(*docs.columns)
+    """docs, all columns, with every paragraph that is not kept cut out of its text but for what also belongs to one that is
+    kept, and with the line break after it. Rows without such a paragraph, null texts among them, stay as they are; an empty
+    table on either side changes nothing."""
+    made = {n: f"{n}_{uuid.uuid4().hex}" for n in ("key", "hash", "cut", "kept", "whole", "marks")}
+    spans = repeats.groupBy(F.col("doc_id").alias(made["key"]), F.col("text_hash").alias(made["hash"])).agg(*[F.collect_set(F.when(side, F.struct("begin", "end"))).alias(made[n]) for n, side in (("cut", ~F.col("keep")), ("kept", F.col("keep")))])
+    joined = docs.join(spans.where(F.size(made["cut"]) > 0), F.col(key).cast("long").eqNullSafe(F.col(made["key"])) & (F.xxhash64(F.col(text)) == F.col(made["hash"])), "left")
+    # the text from each mark to the next stays if a kept span holds it or no other does; a span goes with the white space after it
+    marks = F.expr("array_sort(array_distinct(concat(array(0, length({whole})), transform({cut}, s -> s.begin), transform({cut}, s -> least(s.end + 1, length({whole}))), transform({kept}, s -> s.begin), transform({kept}, s -> least(s.end + 1, length({whole}))))))".format(**made))
+    stays = "exists({kept}, s -> s.begin <= {whole_a} and s.end + 1 > {whole_a}) or not exists({cut}, s -> s.begin <= {whole_a} and s.end + 1 > {whole_a})"
+    stays = stays.format(whole_a="a", **{n: made[n] for n in ("kept", "cut")})
+    piece = f"if({stays}, substring({{whole}}, a + 1, b - a), '')".format(**made)
+    left = F.expr("array_join(zip_with(slice({marks}, 1, size({marks}) - 1), slice({marks}, 2, size({marks}) - 1), (a, b) -> {piece}), '')".format(piece=piece, **made))
+    cut = joined.withColumn(made["whole"], F.col(text)).withColumn(made["marks"], F.when(F.col(made["cut"]).isNotNull(), marks))
+    return cut.withColumn(text, F.when(F.col(made["cut"]).isNull(), F.col(text)).otherwise(F.rtrim(left))).select(*docs.columns)
