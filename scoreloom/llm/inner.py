@@ -44,6 +44,17 @@ def _rotation(table: DataFrame, rows: int, dim: int) -> np.ndarray:
     return np.linalg.svd(sample.T @ sample)[0]
 
 
+def _merged_parts(parts: list[tuple[float, int, int]], rows: int) -> dict[int, int]:
+    """Numbers of the parts (order, name, rows), taken in order; neighbours share one until it has so many rows."""
+    out, held, number = {}, 0, 0
+    for _, name, n in sorted(parts):
+        if held and held + n / 2 > rows:
+            held, number = 0, number + 1
+        out[name] = number
+        held += n
+    return out
+
+
 class _Side:
     """Vectors of one side of a meeting, rotated: lengths, head and residuals after one and two cuts."""
 
@@ -148,8 +159,9 @@ def top_products(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_
     table = materialize(ranged, "inner_blocks")
     discard(packed)
     turn = _rotation(table, count, dim)
-    tops = sorted((-r["top"], r["block"]) for r in table.groupBy("block").agg(F.max("square").alias("top")).collect())  # a number a block
-    order, longest = [b for _, b in tops], np.sqrt([-float(s) for s, _ in tops])
+    tops = table.groupBy("block").agg(F.max("square").alias("top"), F.count("*").alias("n")).collect()  # two numbers a block
+    block_of = _merged_parts([(-r["top"], r["block"], r["n"]) for r in tops], -(-count // blocks))
+    longest = np.sqrt([float(max(r["top"] for r in tops if block_of[r["block"]] == b)) for b in range(len(set(block_of.values())))])
     queries = table.where(F.col("vec_id") % every == 0).select("row", "vec_id", "square", "ints")
     def meet(q: pa.Table, v: pa.Table) -> pa.Table:
         place, *rest = (np.zeros(0, np.int64) for _ in range(4))
@@ -163,8 +175,8 @@ def top_products(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_
 
     first = W.partitionBy("row").orderBy(F.col("score").desc(), "v_id", "v_row")
     best, done, found = None, 0, spark.createDataFrame([], "row long, v_row long, v_id long, score long")
-    while done < len(order):
-        upto = min(len(order), done + max(1, GROWTH * done))
+    while done < len(longest):
+        upto = min(len(longest), done + max(1, GROWTH * done))
         # a score that k others reach, and so the least length that matters
         asked = queries.withColumn("floor", F.lit(None).cast("struct<score:long,behind:long>"))
         if best is not None:
@@ -177,11 +189,13 @@ def top_products(df: DataFrame, *, k: int = 5, every: int = 50, key: str = "vec_
         cores = spark.sparkContext.defaultParallelism
         lots = max(1, -(-asks // BLOCK_ROWS), min(-(-asks // 512), -(-cores // (upto - done))))
         asked = materialize(asked.repartitionByRange(lots, "needs", F.xxhash64("row")).withColumn("lot", F.spark_partition_id()), "inner_asked")
-        least = sorted((r["lot"], r["needs"]) for r in asked.groupBy("lot").agg(F.min("needs").alias("needs")).collect())  # a number a block
+        least = asked.groupBy("lot").agg(F.min("needs").alias("needs"), F.count("*").alias("n")).collect()  # two numbers a block
+        lot_of = _merged_parts([(r["needs"], r["lot"], r["n"]) for r in least], -(-asks // lots))
         # the blocks of this level that are long enough for a lot are its first ones, and the lots that need a block are the first ones too
-        reach = [int(np.searchsorted(-longest[done:upto], -n, side="right")) for _, n in least]
-        lot_reach = spark.createDataFrame([(lot, g, n) for g, ((lot, _), n) in enumerate(zip(least, reach, strict=True))], "lot int, g int, blocks int")
-        block_reach = spark.createDataFrame([(int(order[done + b]), b, sum(n > b for n in reach)) for b in range(upto - done)], "block int, b int, lots int")
+        needed = [min(r["needs"] for r in least if lot_of[r["lot"]] == g) for g in range(len(set(lot_of.values())))]
+        reach = [int(np.searchsorted(-longest[done:upto], -n, side="right")) for n in needed]
+        lot_reach = spark.createDataFrame([(lot, g, reach[g]) for lot, g in lot_of.items()], "lot int, g int, blocks int")
+        block_reach = spark.createDataFrame([(block, b - done, sum(n > b - done for n in reach)) for block, b in block_of.items() if done <= b < upto], "block int, b int, lots int")
         meets = lambda n, name: F.explode(F.expr(f"sequence(0, {n} - 1)")).alias(name)
         left = asked.join(lot_reach, "lot").where("blocks > 0").select("row", "vec_id", "ints", "floor", "g", meets("blocks", "b"))
         right = table.join(block_reach, "block").where("lots > 0").select("row", "vec_id", "ints", "b", meets("lots", "g"))
