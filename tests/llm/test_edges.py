@@ -197,3 +197,39 @@ def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
     monkeypatch.setattr(bm25, "INDEX_CHARS", 900)
     assert len(list(bm25.indexes(b))) > 2
     assert sorted(map(key, bm25.leaks(docs, b).collect())) == one and len({(d, i) for d, i, _ in one}) >= 30
+
+
+def test_passages_go_by_an_items_own_length(spark, monkeypatch):
+    """Items of 5 to 2,000 words: the same leaks however the items are split over indexes, and each is found alone or not."""
+    rng = random.Random(31)
+    items = [(k, prose(rng, n, string.ascii_lowercase)) for k, n in enumerate([5, 6, 40, 60, 63, 64, 65, 66, 120, 300, 900, 2000])]
+    apart = items[3][1].split()
+    docs = [(100 + k, prose(rng, 150, string.ascii_lowercase) + " " + t + " " + prose(rng, 700, string.ascii_lowercase)) for k, t in items]
+    docs += [(200, " ".join(apart[:30]) + " " + prose(rng, 250, string.ascii_lowercase) + " " + " ".join(apart[30:])), (201, prose(rng, 3000, string.ascii_lowercase)), (202, None), (203, "x " * 200_000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r["doc_id"], r["item_id"], round(r["score"], 9), r["passage"])
+    whole = sorted(map(key, bm25.leaks(d, b).collect()))
+    assert {(100 + k, k) for k, _ in items} <= {(x, i) for x, i, _, _ in whole} and not {200, 201, 202, 203} & {x for x, _, _, _ in whole}
+    for chars in (1, 700, 9000):
+        monkeypatch.setattr(bm25, "INDEX_CHARS", chars)
+        assert len(list(bm25.indexes(b))) > 1 and sorted(map(key, bm25.leaks(d, b).collect())) == whole
+
+
+def test_queue_ranges_stay_narrow(spark, monkeypatch):
+    """23 sources, one of weight 1 with nearly half of all documents, one without a word: no range holds many times the mean."""
+    monkeypatch.setattr(wfq, "RANGE_ROWS", 64)
+    rows = [(k, f"s{k % 22:02d}" if k % 7 else "s02", "some words of a text") for k in range(6000)] + [(10_000 + k, "s02", "five words are in here") for k in range(5000)]
+    rows += [(20_000 + k, "empty", None if k % 2 else " ") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    queue = wfq.fair_queue(docs).collect()
+    early = [r for r in queue if r["finish"] <= 1]
+    ranges = -(-len(early) // 64)
+    assert max(Counter(math.floor(r["finish"] * ranges) for r in early).values()) <= 3 * 64
+    assert {r["doc_id"] for r in queue} == {r[0] for r in rows} and all(r["part"] == 0 for r in queue if r["finish"] > 1)
+    taken, target, size = Counter(), {}, Counter()
+    for r in queue:
+        taken[r["source"]] += r["part"]
+        target[r["source"]] = r["target"]
+        size[r["source"]] = r["source_size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and taken["empty"] == 0
+    assert sum(taken.values()) == pytest.approx(sum(size.values()), abs=len(target))
