@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int = MOST_
 
 def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """The queue in its global order, cut at the total budget: a row for each document and epoch, range-sorted by virtual
-    finish time, those that finish after virtual time 1 last and in no order.
+    finish time, those that finish after virtual time 1 or have no words last and in no order.
 
     Columns: doc_id, source, size, source_size, weight, target, place (running sum of sizes within the source: with the
     source it names the row), epoch, finish, part. part is what the mix takes of the row: the queue is served in order of
@@ -97,8 +97,8 @@ def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: i
     sent = sent.withColumn("finish", F.coalesce("finish", F.lit(float(most_epochs + 1))))
     sent = materialize(sent, "mix_queue")
     # sources meet their targets at virtual time 1, so the words until then are the budget at least: what finishes later is
-    # past the cut, needs no place in the order and, of a large source or one without a target, may be most of its rows
-    late, sent = sent.where("finish > 1"), sent.where("finish <= 1")
+    # past the cut, needs no place in the order and, of a large source, may be most of its rows; so are rows without words
+    late, sent = sent.where("finish > 1 or words = 0"), sent.where("finish <= 1 and words > 0")
     # running sum in order of finish, by narrow ranges of it, summed in two steps, so no task sees more than a short list
     ranges = max(1, -(-sent.count() // RANGE_ROWS))
     sent = sent.withColumn("range", F.floor(F.col("finish") * ranges).cast("long"))
