@@ -20,6 +20,7 @@ from ..operators import search as S
 from ..operators import select as X
 from ..sources import cases as SRC
 from . import statement_sql as Q
+from . import told as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,7 +231,7 @@ def label_coverage(spark, sf):
     return B.coverage(d.select(F.col("source").alias("case_id")).distinct(), got).withColumn("coverage", r6("coverage"))
 
 
-# --- inline statements -------------------------------------------------------------------------------------------------
+# --- statements told for each document ----------------------------------------------------------------------------------
 
 STATEMENTS = [
     "The right maxillary sinus shows mucosal thickening of 1.2 cm.",
@@ -251,19 +252,18 @@ STATEMENTS = [
     "Impacted tooth 48 in contact with the mandibular canal, suspected cyst of 3 mm.",
 ]
 
-_Q_STATEMENTS = "st AS MATERIALIZED (SELECT * FROM (VALUES " + ", ".join(f"({k}, {k // 5}, '{t}')" for k, t in enumerate(STATEMENTS)) + ") AS v(id, case_id, text))"
+_Q_STATEMENTS = D.SQL
 
 
-def statements(spark: SparkSession) -> DataFrame:
-    rows = [(k, k // 5, t) for k, t in enumerate(STATEMENTS)]
-    return C.with_mentions(spark.createDataFrame(rows, "id int, case_id int, text string"))
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    return C.with_mentions(D.statements(spark, sf))
 
 
 @query(
     f"WITH {_Q_STATEMENTS}, {Q.mentions('st')} SELECT id, concept, polarity, laterality, array_to_string(teeth, ',') AS teeth, array_to_string(measurements, ',') AS mm FROM mention"
 )
 def mentions_inline(spark, sf):
-    return statements(spark).select("id", F.explode("mentions").alias("m")).select("id", "m.concept", "m.polarity", "m.laterality", F.array_join(F.transform("m.teeth", lambda t: t.cast("string")), ",").alias("teeth"), F.array_join(F.transform("m.measurements", lambda t: t.cast("string")), ",").alias("mm"))
+    return statements(spark, sf).select("id", F.explode("mentions").alias("m")).select("id", "m.concept", "m.polarity", "m.laterality", F.array_join(F.transform("m.teeth", lambda t: t.cast("string")), ",").alias("teeth"), F.array_join(F.transform("m.measurements", lambda t: t.cast("string")), ",").alias("mm"))
 
 
 
@@ -275,7 +275,7 @@ def mentions_inline(spark, sf):
  NOT regexp_matches(text, '(?i){V.NON_VERIFIABLE}') AS verifiable FROM st"""
 )
 def qualifiers_inline(spark, sf):
-    s = statements(spark)
+    s = statements(spark, sf)
     return s.select("id", C.laterality(F.col("text")).alias("side"), F.array_join(F.transform(C.teeth(F.col("text")), lambda t: t.cast("string")), ",").alias("teeth"), T.is_verifiable(F.col("text")).alias("verifiable"))
 
 
@@ -285,7 +285,7 @@ def qualifiers_inline(spark, sf):
   AND len(replace(text, '(', '')) = len(replace(text, ')', '')) AS well_formed, NOT regexp_matches(text, {Q.ignoring_case(V.DANGLING)}) AND NOT regexp_matches(text, {Q.quoted(V.TOOTH_NUMBER)}) AND NOT regexp_matches(text, {Q.quoted(V.BARE_TOOTH)}) AS generic FROM s"""
 )
 def sections_inline(spark, sf):
-    return statements(spark).select("id", C.section(F.col("text")).alias("section"), C.section_rank(C.section(F.col("text"))).alias("rank"), T.is_well_formed(F.col("text")).alias("well_formed"), T.is_generic(F.col("text")).alias("generic"))
+    return statements(spark, sf).select("id", C.section(F.col("text")).alias("section"), C.section_rank(C.section(F.col("text"))).alias("rank"), T.is_well_formed(F.col("text")).alias("well_formed"), T.is_generic(F.col("text")).alias("generic"))
 
 
 _Q_PROFILE = f"{_Q_STATEMENTS}, {Q.mentions('st')}, pf AS (SELECT case_id, concept, arg_max(polarity, CASE polarity WHEN 'present' THEN 3 WHEN 'uncertain' THEN 2 ELSE 1 END) AS polarity FROM mention JOIN st USING (id) GROUP BY ALL)"
@@ -293,27 +293,27 @@ _Q_PROFILE = f"{_Q_STATEMENTS}, {Q.mentions('st')}, pf AS (SELECT case_id, conce
 
 @query(f"WITH {_Q_PROFILE} SELECT case_id, concept, polarity FROM pf")
 def concept_profile_inline(spark, sf):
-    return C.profile(statements(spark))
+    return C.profile(statements(spark, sf))
 
 
 @query(
-    f"""WITH {_Q_PROFILE}, d AS (SELECT concept, a.polarity AS was, b.polarity AS is_ FROM (SELECT * FROM pf WHERE case_id = 0) a FULL JOIN (SELECT * FROM pf WHERE case_id = 1) b USING (concept))
- SELECT 0 AS case_id, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was IS NULL), '') AS added, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (is_ IS NULL), '') AS dropped, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was <> is_), '') AS flipped FROM d"""
+    f"""WITH {_Q_PROFILE}, d AS (SELECT case_id, concept, a.polarity AS was, b.polarity AS is_ FROM pf a FULL JOIN (SELECT case_id - 1 AS case_id, concept, polarity FROM pf) b USING (case_id, concept))
+ SELECT case_id, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was IS NULL), '') AS added, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (is_ IS NULL), '') AS dropped, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (was <> is_), '') AS flipped FROM d GROUP BY case_id"""
 )
 def faithfulness_diff(spark, sf):
-    s = statements(spark)
-    before, after = s.where("case_id = 0").withColumn("case_id", F.lit(0)), s.where("case_id = 1").withColumn("case_id", F.lit(0))
-    return C.profile_changes(C.profile(before), C.profile(after)).select("case_id", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "flipped")])
+    """Each case's profile against the next case's."""
+    told = C.profile(statements(spark, sf))
+    return C.profile_changes(told, told.withColumn("case_id", F.col("case_id") - 1)).select("case_id", *[F.array_join(c, ",").alias(c) for c in ("added", "dropped", "flipped")])
 
 
 @query(
-    f"WITH {_Q_STATEMENTS}, {Q.signatures('st')} SELECT * FROM (SELECT a.text AS a, b.text AS b, round({Q.ENTAILMENT}, 6) AS score FROM sig a, sig b WHERE a.id <> b.id) WHERE score > 0"
+    f"WITH {_Q_STATEMENTS}, {Q.signatures('st')}, w AS (SELECT sig.*, case_id FROM sig JOIN st USING (id)) SELECT * FROM (SELECT a.id AS a, b.id AS b, round({Q.ENTAILMENT}, 6) AS score FROM w a JOIN w b ON a.case_id = b.case_id - 1) WHERE score > 0"
 )
 def entailment_inline(spark, sf):
-    s = E.signed(spark.createDataFrame([(t,) for t in STATEMENTS], "phrase string"))
-    a, b = s.select(F.col("phrase").alias("a"), F.col("sig").alias("sa")), s.select(F.col("phrase").alias("b"), F.col("sig").alias("sb"))
-    # a fixed list of statements against itself
-    return a.crossJoin(b).select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("a <> b and score > 0")
+    """How far the next case's statements support a case's."""
+    s = E.signed(D.statements(spark, sf).withColumnRenamed("text", "phrase"))
+    a, b = s.select("case_id", F.col("id").alias("a"), F.col("sig").alias("sa")), s.select((F.col("case_id") - 1).alias("case_id"), F.col("id").alias("b"), F.col("sig").alias("sb"))
+    return a.join(b, "case_id").select("a", "b", r6(E.entailment(F.col("sa"), F.col("sb"))).alias("score")).where("score > 0")
 
 
 _Q_NEXT_TURN = """documents AS (SELECT conv_id * 200 + turn * 2 AS doc_id, text FROM conversations WHERE (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)
@@ -356,29 +356,61 @@ def final_score(spark, sf):
     return s.select("cases", *[r6(c).alias(c) for c in ("bleu_4", "meteor", "logical_precision", "logical_recall", "clinical", "final")])
 
 
+_Q_TOLD_PAIRS = f"{_Q_STATEMENTS.replace('st AS', 'told AS')}, told_report AS MATERIALIZED (SELECT case_id, string_agg(text, ' ' ORDER BY k) AS report FROM told GROUP BY case_id), documents AS (SELECT case_id * 2 AS doc_id, report AS text FROM told_report WHERE case_id + 1 IN (SELECT case_id FROM told_report) UNION ALL SELECT case_id * 2 - 1, report FROM told_report WHERE case_id - 1 IN (SELECT case_id FROM told_report))"
+_Q_TOLD_ENTAILED = _Q_ENTAILED.replace(_Q_NEXT_TURN, _Q_TOLD_PAIRS)
+
+
+def _next_reports(spark, sf) -> DataFrame:
+    """Each case's told report against the next one's: case_id, prediction, reference."""
+    r = D.reports(spark, sf)
+    return r.withColumnRenamed("report", "prediction").join(r.select((F.col("case_id") - 1).alias("case_id"), F.col("report").alias("reference")), "case_id")
+
+
 @query(
-    f"WITH {_Q_STATEMENTS}, {Q.conflicts('st')} SELECT i, j, reason FROM conflict"
+    f"""WITH {_Q_TOLD_ENTAILED} SELECT case_id, np AS candidate_count, nr AS reference_count, round(p, 6) AS logical_precision, round(r, 6) AS logical_recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS logical_f1 FROM z"""
+)
+def told_entailment_f1(spark, sf):
+    s = E.clinical_scores(_next_reports(spark, sf))
+    return s.select("case_id", "candidate_count", "reference_count", *[r6(x).alias(x) for x in ("logical_precision", "logical_recall", "logical_f1")])
+
+
+@query(
+    f"""WITH {_Q_TOLD_ENTAILED}, {_q_bleu('').replace(Q_PAIRS, _Q_TURN_PAIRS)}, {Q_METEOR}, mm AS (SELECT avg(meteor) AS meteor FROM met2), pr AS (SELECT avg(p) AS p, avg(r) AS r FROM z),
+ f AS (SELECT cases, bleu_4, meteor, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS clinical FROM bleu, mm, pr)
+ SELECT cases, round(bleu_4, 6) AS bleu_4, round(meteor, 6) AS meteor, round(p, 6) AS logical_precision, round(r, 6) AS logical_recall, round(clinical, 6) AS clinical, round(0.8::DOUBLE * clinical + 0.2::DOUBLE * (bleu_4 + meteor) / 2, 6) AS final FROM f"""
+)
+def told_final_score(spark, sf):
+    pairs = _next_reports(spark, sf)
+    s = M.challenge_scores(pairs.select("case_id", "prediction"), pairs.select("case_id", F.array("reference").alias("references")))
+    return s.select("cases", *[r6(c).alias(c) for c in ("bleu_4", "meteor", "logical_precision", "logical_recall", "clinical", "final")])
+
+
+@query(
+    f"WITH {_Q_STATEMENTS}, {Q.conflicts('st')} SELECT case_id, i, j, reason FROM conflict"
 )
 def conflict_pairs(spark, sf):
-    return X.conflict_pairs(statements(spark))
+    return X.conflict_pairs(statements(spark, sf), ["case_id"])
 
 
 @query(
-    f"WITH {_Q_STATEMENTS}, {Q.mentions('st')} SELECT DISTINCT a.id AS i, b.id AS j FROM mention a JOIN mention b USING (concept) WHERE a.id < b.id AND a.polarity <> b.polarity AND a.polarity <> 'uncertain' AND b.polarity <> 'uncertain'"
+    f"WITH {_Q_STATEMENTS}, {Q.mentions('st')}, own AS (SELECT mention.*, case_id FROM mention JOIN st USING (id)) SELECT DISTINCT a.case_id, a.id AS i, b.id AS j FROM own a JOIN own b USING (case_id, concept) WHERE a.id < b.id AND a.polarity <> b.polarity AND a.polarity <> 'uncertain' AND b.polarity <> 'uncertain'"
 )
 def contradiction_pairs(spark, sf):
-    return X.contradictions(statements(spark).withColumnRenamed("id", "proto"))
+    return X.contradictions(statements(spark, sf).withColumnRenamed("id", "proto"), ["case_id"])
 
 
 @query(
-    f"""WITH RECURSIVE {_Q_STATEMENTS}, {Q.conflicts('st')}, k AS (SELECT id, text, CASE WHEN n > 0 THEN '{{"concepts":["' || array_to_string(pairs, '","') || '"],"side":"' || side || '","teeth":[' || array_to_string(teeth, ',') || ']}}' END AS key FROM sig),
- walk(step, kept) AS (SELECT -1, []::INTEGER[] UNION ALL SELECT k.id, CASE WHEN EXISTS (SELECT 1 FROM k o WHERE list_contains(walk.kept, o.id) AND o.key = k.key) OR EXISTS (SELECT 1 FROM conflict c WHERE (c.j = k.id AND list_contains(walk.kept, c.i)) OR (c.i = k.id AND list_contains(walk.kept, c.j))) THEN kept ELSE list_append(kept, k.id) END FROM walk JOIN k ON k.id = walk.step + 1)
- SELECT 0 AS case_id, id AS position, key, text FROM k WHERE list_contains((SELECT kept FROM walk ORDER BY step DESC LIMIT 1), id)"""
+    f"""WITH RECURSIVE {_Q_STATEMENTS}, {Q.conflicts('st')}, k AS MATERIALIZED (SELECT id, st.case_id, st.k AS at, sig.text, CASE WHEN n > 0 THEN '{{"concepts":["' || array_to_string(pairs, '","') || '"],"side":"' || side || '","teeth":[' || array_to_string(teeth, ',') || ']}}' END AS key FROM sig JOIN st USING (id)),
+ foe AS MATERIALIZED (SELECT id, list(other) AS foes FROM (SELECT i AS id, j AS other FROM conflict UNION ALL SELECT j, i FROM conflict) GROUP BY id),
+ walk(case_id, step, kept, keys) AS (SELECT DISTINCT case_id, -1, []::BIGINT[], []::VARCHAR[] FROM k
+  UNION ALL SELECT w.case_id, w.step + 1, CASE WHEN stays THEN list_append(w.kept, x.id) ELSE w.kept END, CASE WHEN stays AND x.key IS NOT NULL THEN list_append(w.keys, x.key) ELSE w.keys END
+  FROM walk w JOIN k x ON x.case_id = w.case_id AND x.at = w.step + 1 LEFT JOIN foe f ON f.id = x.id, LATERAL (SELECT NOT coalesce(list_contains(w.keys, x.key), false) AND NOT coalesce(list_has_any(w.kept, f.foes), false) AS stays))
+ SELECT k.case_id, k.id AS position, k.key, k.text FROM k JOIN walk w ON w.case_id = k.case_id AND w.step = {D.PER_CASE - 1} WHERE list_contains(w.kept, k.id)"""
 )
 def consistent_subset(spark, sf):
-    s = statements(spark)
-    keyed = s.select(F.lit(0).alias("case_id"), F.col("id").alias("position"), F.to_json(C.assertion_key(F.col("mentions"))).alias("key"), "text")
-    return X.consistent_subset(keyed, X.conflict_pairs(s).withColumn("case_id", F.lit(0)))
+    s = statements(spark, sf)
+    keyed = s.select("case_id", F.col("id").alias("position"), F.to_json(C.assertion_key(F.col("mentions"))).alias("key"), "text")
+    return X.consistent_subset(keyed, X.conflict_pairs(s, ["case_id"]))
 
 
 # --- selection ---------------------------------------------------------------------------------------------------------
@@ -665,18 +697,18 @@ def board_rank_mean(spark, sf):
     return b.select("s_suppkey", F.col("s_acctbal_rank").cast("long"), F.col("s_nationkey_rank").cast("long"), r6("mean_position").alias("mean_position"))
 
 
-_BOARD = [("a", 0, 0.16, 0.35), ("b", 1, 0.14, 0.35), ("c", 2, 0.12, 0.34), ("d", 3, 0.12, 0.30), ("e", 4, 0.10, 0.36)]
-_TRIALS = [("x", 10, 0.15, 0.36), ("y", 11, 0.12, 0.34)]
-
-
 @query(
-    "WITH b(entry, o, bleu, meteor) AS (VALUES " + ", ".join(map(str, _BOARD)) + "), t(entry, o, bleu, meteor) AS (VALUES " + ", ".join(map(str, _TRIALS)) + """),
+    """WITH b AS (SELECT 'nation ' || s_nationkey AS entry, s_nationkey AS o, round(avg(s_acctbal), 2) AS bleu, count(*)::DOUBLE AS meteor FROM supplier GROUP BY s_nationkey),
+ t AS (SELECT c_mktsegment AS entry, 1000 + min(c_custkey) AS o, round(avg(c_acctbal), 2) AS bleu, count(*) / 60.0 AS meteor FROM customer GROUP BY c_mktsegment),
  g AS (SELECT t.entry AS trial, b.* FROM b, t UNION ALL SELECT entry, * FROM t), r AS (SELECT trial, entry, (row_number() OVER (PARTITION BY trial ORDER BY bleu DESC, o) + row_number() OVER (PARTITION BY trial ORDER BY meteor DESC, o)) / 2.0 AS mean_place FROM g)
  SELECT trial, entry, mean_place, mean_place = min(mean_place) OVER (PARTITION BY trial) AS wins FROM r"""
 )
 def board_insert_simulation(spark, sf):
-    schema = "entry string, input_order int, bleu double, meteor double"
-    r = R.insert_entry(spark.createDataFrame(_BOARD, schema), spark.createDataFrame(_TRIALS, schema), ["bleu", "meteor"])
+    """Each segment of customers put by itself on the board of the suppliers' nations."""
+    board = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.round(F.avg("s_acctbal"), 2).alias("bleu"), F.count("*").cast("double").alias("meteor"))
+    board = board.select(F.concat(F.lit("nation "), "s_nationkey").alias("entry"), F.col("s_nationkey").cast("long").alias("input_order"), "bleu", "meteor")
+    entries = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("entry")).agg((F.min("c_custkey") + 1000).alias("input_order"), F.round(F.avg("c_acctbal"), 2).alias("bleu"), (F.count("*") / 60.0).alias("meteor"))
+    r = R.insert_entry(board, entries, ["bleu", "meteor"])
     return r.select("trial", "entry", "mean_place", "wins")
 
 

@@ -77,12 +77,12 @@ def _toothless(x: str, y: str) -> str:
 
 
 def conflicts(source: str) -> str:
-    """CTEs up to `conflict` (i, j, reason), after those of `signatures`."""
+    """CTEs up to `conflict` (case_id, i, j, reason), within a case, after those of `signatures`. source has case_id too."""
     gone = f"concept IN ({', '.join(quoted(k) for k in V.ABSENCE_CONCEPTS)})"
     exclusive = " OR ".join(f"(len({_attribute('a', g)}) > 0 AND len({_attribute('b', g)}) > 0 AND {_attribute('a', g)} <> {_attribute('b', g)})" for g in V.EXCLUSIVE)
     return f"""{signatures(source)},
  claim AS (SELECT id, count(*) FILTER (NOT {gone}) AS claims, flatten(list(teeth) FILTER (NOT {gone})) AS claimed, flatten(list(teeth) FILTER ({gone})) AS gone FROM mention WHERE polarity = 'present' GROUP BY id),
- fact AS (SELECT sig.*, numbers, coalesce(claims, 0) AS claims, coalesce(claimed, []) AS claimed, coalesce(gone, []) AS gone FROM sig JOIN context USING (id) LEFT JOIN claim USING (id)),
- conflict AS (SELECT * FROM (SELECT a.id AS i, b.id AS j, CASE WHEN {_CONTRARY} THEN 'polarity' WHEN len(list_intersect(a.keys, b.keys)) > 0 AND ({exclusive}) THEN 'exclusive attribute'
+ fact AS (SELECT sig.*, whose.case_id, numbers, coalesce(claims, 0) AS claims, coalesce(claimed, []) AS claimed, coalesce(gone, []) AS gone FROM sig JOIN context USING (id) JOIN {source} whose USING (id) LEFT JOIN claim USING (id)),
+ conflict AS (SELECT * FROM (SELECT a.case_id, a.id AS i, b.id AS j, CASE WHEN {_CONTRARY} THEN 'polarity' WHEN len(list_intersect(a.keys, b.keys)) > 0 AND ({exclusive}) THEN 'exclusive attribute'
   WHEN {_toothless('a', 'b')} OR {_toothless('b', 'a')} THEN 'complete edentulism' WHEN len(list_intersect(a.gone, b.claimed)) > 0 OR len(list_intersect(b.gone, a.claimed)) > 0 THEN 'absent tooth described' END AS reason
-  FROM fact a JOIN fact b ON a.id < b.id) WHERE reason IS NOT NULL)"""
+  FROM fact a JOIN fact b ON a.case_id = b.case_id AND a.id < b.id) WHERE reason IS NOT NULL)"""
