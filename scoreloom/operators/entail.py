@@ -42,19 +42,24 @@ def entailment(a: Column, b: Column) -> Column:
     return F.when((both & (F.size(shared) == 0)) | contrary | wrong_side | wrong_teeth, F.lit(0.0)).otherwise(score)
 
 
-def supported(candidates: DataFrame, evidence: DataFrame, case: str = "case_id", threshold: float = V.ENTAILED_FROM) -> DataFrame:
-    """candidates: case, phrase, sig; evidence the same. Adds entailed: whether any statement of the case supports it.
+def entailed_pairs(candidates: DataFrame, evidence: DataFrame, threshold: float = V.ENTAILED_FROM, by: list[str] | None = None) -> DataFrame:
+    """by, a, b: phrases of one group such that b supports a. Both sides: by, phrase, sig.
 
     Statements that share neither a word nor a tooth can't reach the threshold, so candidates meet evidence by an
-    equi-join on those, never all by all; equal statements of a case are judged once."""
+    equi-join on those, never all by all; equal statements of a group are judged once."""
     if threshold <= 0.55:
         raise ValueError("below 0.55 a pair may pass without a common word")
+    by = by or []
     tags = lambda s: F.explode(F.array_union(s["words"], F.transform(s["teeth"], lambda t: F.concat(F.lit("#"), t.cast("string")))))
-    left = candidates.select(case, F.col("phrase").alias("a"), F.col("sig").alias("sa")).dropDuplicates([case, "a"])
-    right = evidence.select(case, F.col("phrase").alias("b"), F.col("sig").alias("sb")).dropDuplicates([case, "b"])
-    met = left.select(case, "a", tags(F.col("sa")).alias("tag")).join(right.select(case, "b", tags(F.col("sb")).alias("tag")), [case, "tag"]).select(case, "a", "b").distinct()
-    scored = met.join(left, [case, "a"]).join(right, [case, "b"]).where(entailment(F.col("sa"), F.col("sb")) >= threshold)
-    good = scored.select(case, F.col("a").alias("phrase")).distinct().withColumn("entailed", F.lit(True))
+    left = candidates.select(*by, F.col("phrase").alias("a"), F.col("sig").alias("sa")).dropDuplicates([*by, "a"])
+    right = evidence.select(*by, F.col("phrase").alias("b"), F.col("sig").alias("sb")).dropDuplicates([*by, "b"])
+    met = left.select(*by, "a", tags(F.col("sa")).alias("tag")).join(right.select(*by, "b", tags(F.col("sb")).alias("tag")), [*by, "tag"]).select(*by, "a", "b").distinct()
+    return met.join(left, [*by, "a"]).join(right, [*by, "b"]).where(entailment(F.col("sa"), F.col("sb")) >= threshold).select(*by, "a", "b")
+
+
+def supported(candidates: DataFrame, evidence: DataFrame, case: str = "case_id", threshold: float = V.ENTAILED_FROM) -> DataFrame:
+    """candidates: case, phrase, sig; evidence the same. Adds entailed: whether any statement of the case supports it."""
+    good = entailed_pairs(candidates, evidence, threshold, [case]).select(case, F.col("a").alias("phrase")).distinct().withColumn("entailed", F.lit(True))
     return candidates.join(good, [case, "phrase"], "left").fillna(False, ["entailed"])
 
 

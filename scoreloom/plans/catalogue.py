@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import concepts as C
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..operators import additive as A
 from ..operators import bank as B
 from ..operators import entail as E
 from ..operators import metrics as M
@@ -19,6 +20,7 @@ from ..operators import rank as R
 from ..operators import search as S
 from ..operators import select as X
 from ..sources import cases as SRC
+from ..sources.written import materialize
 from . import statement_sql as Q
 from . import told as D
 
@@ -751,6 +753,73 @@ def greedy_report_search(spark, sf):
     return spark.createDataFrame([(k, s["n"], s["added"], round(s["value"], 6)) for k, s in enumerate(t.steps)], "step int, n int, added int, value double")
 
 
+#: Flat thresholds, and how many statements a report has at least and at most.
+_FLAT, _LEAST, _MOST = [0.5, 0.7, 0.8, 0.9], 1, 4
+_Q_GRID = f"""{_Q_STATEMENTS.replace('st AS', 'told AS')}, {D.SQL_BANK}, told_report AS MATERIALIZED (SELECT case_id, string_agg(text, ' ' ORDER BY k) AS report FROM told GROUP BY case_id),
+ setting AS (SELECT unnest({_FLAT})::FLOAT AS thr, unnest(range({len(_FLAT)})) AS trial), margins AS (SELECT trial, case_id, proto, p - thr AS margin FROM pr, setting),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY trial, case_id ORDER BY margin DESC, proto) AS rn, sum((margin >= 0)::INT) OVER (PARTITION BY trial, case_id) AS n FROM margins),
+ told_pair AS MATERIALIZED (SELECT (trial * 1000000000 + case_id) * 2 AS pair, string_agg(text, ' ' ORDER BY proto) AS prediction, case_id FROM ranked JOIN bank USING (proto) WHERE (margin >= 0 AND rn <= {_MOST}) OR (n < {_LEAST} AND rn <= {_LEAST}) GROUP BY trial, case_id),
+ documents AS (SELECT pair AS doc_id, prediction AS text FROM told_pair UNION ALL SELECT pair + 1, report FROM told_pair JOIN told_report USING (case_id))"""
+_Q_GRID_ENTAILED = _Q_ENTAILED.replace(_Q_NEXT_TURN, _Q_GRID)
+_Q_GRID_PAIRS = _Q_TURN_PAIRS.replace("'x' AS lang", "a.doc_id // 2000000000 AS lang")
+
+
+@query(
+    f"""WITH {_Q_GRID_ENTAILED}, {_q_bleu('lang').replace(Q_PAIRS, _Q_GRID_PAIRS)}, {Q_METEOR}, mm AS (SELECT lang, avg(meteor) AS meteor FROM met2 GROUP BY lang), prs AS (SELECT case_id // 1000000000 AS lang, avg(p) AS p, avg(r) AS r FROM z GROUP BY 1),
+ f AS (SELECT lang, cases, bleu_4, meteor, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS clinical FROM bleu JOIN mm USING (lang) JOIN prs USING (lang))
+ SELECT lang AS trial, cases, round(bleu_4, 6) AS bleu_4, round(meteor, 6) AS meteor, round(p, 6) AS logical_precision, round(r, 6) AS logical_recall, round(clinical, 6) AS clinical, round(0.8::DOUBLE * clinical + 0.2::DOUBLE * (bleu_4 + meteor) / 2, 6) AS final FROM f"""
+)
+def selection_grid(spark, sf):
+    """Flat thresholds over all told reports, all in one job, by additive counts."""
+    bank = D.bank(spark, sf)
+    table = A.with_probabilities(A.case_table(bank, _told_references(spark, sf)), D.probabilities(spark, sf))
+    s = A.score_settings(table, A.statements_of(bank), A.Decoding(list(range(30)), _LEAST, _MOST), [dict.fromkeys(range(30), t) for t in _FLAT])
+    return s.select("trial", "cases", *[r6(c).alias(c) for c in ("bleu_4", "meteor", "logical_precision", "logical_recall", "clinical", "final")])
+
+
+def _told_references(spark, sf) -> DataFrame:
+    return D.reports(spark, sf).select("case_id", F.array("report").alias("references"))
+
+
+def _told_foes(bank: DataFrame) -> list[tuple[int, int]]:
+    """Conflicting statements of the bank, a short list."""
+    s = C.with_mentions(bank.select(F.col("proto").alias("id"), "text"))
+    return [(r["i"], r["j"]) for r in X.conflict_pairs(s).collect()]
+
+
+@query()
+def calibrated_thresholds(spark, sf):
+    """The ascent over thresholds on the final score of told reports, without conflicts."""
+    bank = D.bank(spark, sf)
+    table = materialize(A.with_probabilities(A.case_table(bank, _told_references(spark, sf)), D.probabilities(spark, sf)), "calibration")
+    said, decoding = A.statements_of(bank), A.Decoding(list(range(30)), 2, 6, _told_foes(bank))
+    evaluate = lambda settings: [r["final"] for r in A.score_settings(table, said, decoding, settings).orderBy("trial").collect()]
+    found, trace = S.calibrate(dict.fromkeys(range(30), 0.5), evaluate, grid=[k / 10 for k in range(1, 10)], local_grid=[0.1, 0.5, 0.9, 2.0], order=list(range(30)))
+    return spark.createDataFrame([(p, t, round(trace[-1], 6)) for p, t in sorted(found.items())], "proto int, thr double, final double")
+
+
+@query()
+def constrained_search(spark, sf):
+    """The one report of greatest final score over all told reports that neither contradicts nor repeats itself."""
+    bank = D.bank(spark, sf)
+    keys = C.with_mentions(bank.select("proto", "text")).select("proto", F.to_json(C.assertion_key(F.col("mentions"))).alias("key"))
+    rules = S.Rules(_told_foes(bank), {r["proto"]: r["key"] for r in keys.collect()})
+    t = S.greedy(bank, _told_references(spark, sf), list(range(30)), most=8, refine=2, clinical=True, objective=S.final, rules=rules)
+    return spark.createDataFrame([(k, s["n"], s["added"], round(s["value"], 6)) for k, s in enumerate(t.steps)], "step int, n int, added int, value double")
+
+
+@query()
+def held_out_sweep(spark, sf):
+    """One report for all sources but one, for each source and weight, scored on that source; all searches in step."""
+    bank = D.bank(spark, sf).where("proto < 12")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("source", F.lit("")).alias("source"))
+    cases = A.case_table(bank, _told_references(spark, sf).join(docs, "case_id"), keep=["source"], clinical=False)
+    groups = sorted(r["source"] for r in docs.select("source").distinct().collect())
+    rows = S.held_out_sweep(cases, A.statements_of(bank), list(range(12)), "source", groups, [0.5, 0.2], most=6)
+    out = [(r["weight"], r["held_out"], r["n"], ",".join(map(str, r["chosen"])), *(round(r[c], 6) for c in ("train_bleu_4", "train_meteor", "test_bleu_4", "test_meteor"))) for r in rows]
+    return spark.createDataFrame(out, "weight double, held_out string, n int, chosen string, train_bleu_4 double, train_meteor double, test_bleu_4 double, test_meteor double")
+
+
 @query()
 def statement_bank(spark, sf):
     """Statement types of the conversations: clusters of phrases that two or more conversations have."""

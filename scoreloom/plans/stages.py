@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bank as B
-from ..operators import metrics, models, search, select
+from ..operators import additive, metrics, models, search, select
 from ..sources import cases as S
 from ..sources import volumes as V
 
@@ -96,22 +96,26 @@ class Stages:
         return models.prior(self.read("corpus").select("case_id"), self.read("bank")) if prior_only else self.read("oof").select("case_id", "proto", "p")
 
     def calibrate(self, prior_only: bool = False, rounds: int = 1) -> DataFrame:
-        """thresholds: the ascent over caption scores, all trials of a step in one job."""
-        bank, scores = self.read("bank").withColumn("position", F.col("proto")), self._scores(prior_only)
-        refs = self.read("corpus").select("case_id", metrics.first_reference(F.col("reports")).alias("reference"))
+        """thresholds: the ascent over the final score, all settings of a step in one job over one row a case."""
+        bank, scores = select.render_order(self.read("bank")), self._scores(prior_only)
+        refs = self.read("corpus").select("case_id", F.col("reports").alias("references"))
+        table = additive.with_probabilities(additive.case_table(bank, refs), scores)
         protos = [r["proto"] for r in bank.orderBy(F.desc("prevalence"), "proto").select("proto").collect()]
+        foes = [(r["i"], r["j"]) for r in self._foes().collect()]
+        said, decoding = additive.statements_of(bank), additive.Decoding(protos, self.least, self.most, foes)
 
         def evaluate(settings: list[dict[int, float]]) -> list[float]:
-            rows = self.spark.createDataFrame([(k, p, t) for k, s in enumerate(settings) for p, t in s.items()], "trial int, proto int, thr double")
-            got = {r["trial"]: r["captioning"] for r in search.selection_scores(rows, scores, bank, refs, self.least, self.most).collect()}
+            got = {r["trial"]: r["final"] for r in additive.score_settings(table, said, decoding, settings).select("trial", "final").collect()}
             return [got.get(k, 0.0) for k in range(len(settings))]
 
         found, trace = search.calibrate(dict.fromkeys(protos, 0.5), evaluate, grid=GRID, local_grid=LOCAL_GRID, order=protos if rounds else [], rounds=rounds)
-        return self._write("thresholds", self.spark.createDataFrame([(p, t, trace[-1]) for p, t in found.items()], "proto int, thr double, captioning double"))
+        return self._write("thresholds", self.spark.createDataFrame([(p, t, trace[-1]) for p, t in found.items()], "proto int, thr double, final double"))
+
+    def _foes(self) -> DataFrame:
+        return select.contradictions(B.C.with_mentions(self.read("bank").select("proto", "text"), "text"))
 
     def _reports(self, prior_only: bool) -> DataFrame:
-        foes = select.contradictions(B.C.with_mentions(self.read("bank").select("proto", "text"), "text"))
-        return select.decoded_reports(self._scores(prior_only), self.read("thresholds").select("proto", "thr"), self.read("bank"), foes, self.least, self.most)
+        return select.decoded_reports(self._scores(prior_only), self.read("thresholds").select("proto", "thr"), self.read("bank"), self._foes(), self.least, self.most)
 
     def evaluate(self, prior_only: bool = False) -> DataFrame:
         """scores of the decoded reports: clinical, captions, final."""

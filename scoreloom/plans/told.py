@@ -55,6 +55,25 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("case_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("report"))
 
 
+def bank(spark: SparkSession, sf_dir: str, most: int = 30) -> DataFrame:
+    """The statements that most cases have: proto, text, support, position."""
+    from pyspark.sql import Window as W
+
+    counts = statements(spark, sf_dir).groupBy("text").agg(F.count_distinct("case_id").alias("support"))
+    top = counts.orderBy(F.desc("support"), "text").limit(most)
+    placed = top.withColumn("proto", (F.row_number().over(W.orderBy(F.desc("support"), "text")) - 1).cast("int"))
+    return placed.select("proto", "text", "support", F.col("proto").alias("position"))
+
+
+def probabilities(spark: SparkSession, sf_dir: str, most: int = 30) -> DataFrame:
+    """case_id, proto, p: a probability of each statement in each case, by arithmetic."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("proto"))
+    return docs.withColumn("p", ((F.col("case_id") * 37 + F.col("proto") * 101) % 97 / 97.0).cast("float"))
+
+
+#: CTEs bank (proto, text) and pr (case_id, proto, p), after st.
+SQL_BANK = """bank AS MATERIALIZED (SELECT row_number() OVER (ORDER BY support DESC, text) - 1 AS proto, text FROM (SELECT text, count(DISTINCT case_id) AS support FROM told GROUP BY text) ORDER BY proto LIMIT 30),
+ pr AS (SELECT doc_id AS case_id, proto, ((doc_id * 37 + proto * 101) % 97 / 97.0::DOUBLE)::FLOAT AS p FROM documents, range(30) r(proto))"""
 _PLACE = f"CAST((doc_id * 7 + k * 3 + doc_id // 11) % {len(TEMPLATES)} AS INTEGER) + 1"
 _TOOTH = "CAST((doc_id + k) % 4 * 10 + 11 + (doc_id // 4 + k * 3) % 8 AS VARCHAR)"
 #: CTE st (id, case_id, k, text).
