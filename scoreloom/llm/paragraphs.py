@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, bitmap_of, in_bitmap, materialize, mix64, settled, texts_of
+from .base import arrow_map, bitmap_of, discard, in_bitmap, materialize, mix64, settled, texts_of
 from .families import link_families
 from .shingles import CHUNK, WORDS, digest, shingle_sets, word_hashes
 
@@ -353,6 +353,7 @@ def _beside_lines(passages: DataFrame, lines: DataFrame) -> DataFrame:
     beside = lambda within: (chars - within) * F.col("n_words") >= WORDS * chars
     kind = F.when((F.col("removed") == 0) & ~beside(F.col("kept")), 0).when(F.col("removed") == 0, 1).when(beside(F.col("removed")), 2).otherwise(3)
     own = materialize(own.withColumn("place", F.struct(kind.alias("kind"), "doc_id", "text_hash", "begin")), "passages_placed")
+    discard(passages)
     # the place that stays, by an aggregate, so that a cluster of very many places is no one task's
     stays = own.groupBy("cluster").agg(F.min("place").alias("stays"))
     rest = own.where(beside(F.col("kept") + F.col("removed")))
