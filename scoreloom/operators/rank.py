@@ -6,12 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.written import materialize
+
+
+def running_sum(df: DataFrame, value: str, order: list[Column | str], by: list[str] | None = None, to: str = "upto") -> DataFrame:
+    """df with the sum of value up to and with each row in the given order (which should have no ties), in each group of by.
+
+    Rows are dealt to ranges of the order, written so that they stay where they are; each range is summed, the sums (a row a
+    range and group) are accumulated, and a row adds up its own range only. No task holds a whole group."""
+    by = by or []
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in by], *columns).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_at"), "_ahead")
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.sum(value).over(W.partitionBy(*by, "_range").orderBy(*columns).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(sums, same).withColumn(to, F.col("_own") + F.col("_ahead")).select(*df.columns, to)
+
 
 def average_ranks(df: DataFrame, value: str, by: list[str], to: str = "rank") -> DataFrame:
     """Ascending ranks from 1, ties given their mean. Distinct values are counted first, so ties never meet in one place."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over((W.partitionBy(*by) if by else W.partitionBy()).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranks = counts.withColumn(to, upto - (F.col("_n") - 1) / 2.0).drop("_n")
+    ranks = running_sum(counts, "_n", [value], by, "_upto").withColumn(to, F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_n", "_upto")
     return df.join(ranks, [*by, value])
 
 
@@ -19,8 +38,7 @@ def auc(df: DataFrame, score: str, target: str, by: list[str] | None = None) ->
     """Area under the ROC curve by rank sums; null where a class is missing."""
     by = by or []
     counts = df.groupBy(*by, score).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
-    upto = F.sum("n").over((W.partitionBy(*by) if by else W.partitionBy()).orderBy(score).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("ranks", (upto - (F.col("n") - 1) / 2.0) * F.col("pos"))
+    ranked = running_sum(counts, "n", [score], by, "_upto").withColumn("ranks", (F.col("_upto") - (F.col("n") - 1) / 2.0) * F.col("pos"))
     sums = ranked.groupBy(*by).agg(F.sum("ranks").alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return sums.select(*by, p.alias("positives"), n.alias("negatives"), F.try_divide(F.col("s") - p * (p + 1) / 2.0, p * n).alias("auc"))
@@ -76,11 +94,11 @@ def discrimination(matched: DataFrame, mismatched: DataFrame, value: str) -> Dat
 
 def decoys(cases: DataFrame, each: int, seed: int = 2026) -> DataFrame:
     """case_id, other: as many other cases for each, by hash: cases stand in a ring of hashes, and the next ones are taken."""
-    turn = F.xxhash64(F.lit(seed), "case_id")
-    ring = cases.select("case_id").withColumn("at", F.row_number().over(W.orderBy(turn, "case_id")) - 1)
-    size = ring.groupBy().agg(F.count("*").alias("n"))
-    steps = ring.crossJoin(size).select("case_id", F.explode(F.expr(f"filter(sequence(1, {each}), k -> k < n)")).alias("k"), "at", "n")
-    return steps.withColumn("at", (F.col("at") + F.col("k")) % F.col("n")).join(ring.withColumnRenamed("case_id", "other"), "at").select("case_id", "other")
+    turned = cases.select("case_id", F.xxhash64(F.lit(seed), "case_id").alias("turn"), F.lit(1).cast("long").alias("one"))
+    ring = materialize(running_sum(turned, "one", ["turn", "case_id"], to="at").select("case_id", F.col("at") - 1), "ring").toDF("case_id", "at")
+    n = ring.count()
+    steps = ring.select("case_id", F.explode(F.expr(f"filter(sequence(1, {each}), k -> k < {n})")).alias("k"), "at")
+    return steps.withColumn("at", (F.col("at") + F.col("k")) % max(n, 1)).join(ring.withColumnRenamed("case_id", "other"), "at").select("case_id", "other")
 
 
 def leaderboard(results: DataFrame, metric: str, config: list[str], most: int = 15) -> DataFrame:
@@ -100,7 +118,9 @@ def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
 def positions(board: DataFrame, metrics: list[str]) -> DataFrame:
     """Competition rank of each metric (1 + how many are strictly better) and their mean."""
     for m in metrics:
-        board = board.withColumn(f"{m}_rank", F.rank().over(W.orderBy(F.desc(m))))
+        counts = board.groupBy(F.col(m).alias("_m")).agg(F.count("*").alias("_n"))
+        ranks = running_sum(counts, "_n", [F.col("_m").desc()], to="_upto").select("_m", (F.col("_upto") - F.col("_n") + 1).alias(f"{m}_rank"))
+        board = board.join(ranks, F.col(m).eqNullSafe(F.col("_m"))).drop("_m")
     return board.withColumn("mean_position", sum(F.col(f"{m}_rank") for m in metrics) / float(len(metrics)))
 
 

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: For each open `owned` block, innermost last, the folders that `materialize` has written in it.
-_OWNERS: list[list[str]] = []
+#: For each open `owned` block of this thread or task, innermost last, the folders that `materialize` has written in it.
+_OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset, as
-    its driver and executors are one process with one temporary folder."""
+    its driver and executors are one process with one temporary folder (those of a local-cluster are not)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or os.path.join(tempfile.gettempdir(), f"scoreloom-{os.getuid()}")).rstrip("/")
 
@@ -28,8 +30,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoreloom/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    if owners := _OWNERS.get():
+        owners[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -42,7 +44,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def discard(table: DataFrame) -> None:
     """Delete a table of `materialize` that nothing to be computed reads any more."""
-    for written in _OWNERS:
+    for written in _OWNERS.get():
         if table.written_to in written:
             written.remove(table.written_to)
     _delete(table.sparkSession, table.written_to)
@@ -52,11 +54,11 @@ def discard(table: DataFrame) -> None:
 def owned() -> Iterator[list[str]]:
     """Collects the folders that `materialize` writes in the block, for `drop` once nothing reads them any more."""
     written: list[str] = []
-    _OWNERS.append(written)
+    before = _OWNERS.set((*_OWNERS.get(), written))
     try:
         yield written
     finally:
-        _OWNERS.remove(written)
+        _OWNERS.reset(before)
 
 
 def drop(spark: SparkSession, written: list[str]) -> None:
@@ -72,6 +74,6 @@ def settled(build: Callable[[], DataFrame], tag: str) -> DataFrame:
         with owned() as kept:
             out = materialize(made, tag)
     drop(out.sparkSession, written)
-    if _OWNERS:
-        _OWNERS[-1] += kept
+    if owners := _OWNERS.get():
+        owners[-1].extend(kept)
     return out
