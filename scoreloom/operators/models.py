@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.written import materialize
+
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -73,47 +78,192 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100
     return w[:-1], float(w[-1])
 
 
-def out_of_fold(features: DataFrame, labels: DataFrame, folds: DataFrame, bank: DataFrame, *, c: float = 1.0, least: int = 3) -> DataFrame:
-    """case_id, proto, p: each statement's gate fitted without the fold that it scores. features: case_id, f; labels: sparse
-    case_id, proto; folds: case_id, fold. Columns that some training set can't fit keep that set's share of positives.
+#: Numbers in one task's sums of second derivatives; statements are fitted in as many goes as that asks for.
+CURVE_NUMBERS = 1 << 22
+#: Tasks whose sums are merged.
+MERGED_TASKS = 256
+
+
+class _Gates:
+    """Logistic gates of many units (a statement, or a statement without a fold) fitted together.
+
+    A task goes through its cases once and adds up, for every unit, loss, slope and curve of the penalised loss at the weights
+    it is given; the sums of tasks are merged and each unit takes its Newton step on the driver. What moves is sums,
+    never features, and their size is that of the model."""
+
+    def __init__(self, table: DataFrame, protos: list, folds: list, c: float, least: int) -> None:
+        """table: case_id, f, fold, labels (protos); folds: those left out, None for none."""
+        self.table, self.c, self.units = table, c, [(p, k) for k in folds for p in protos]
+        moments = self._moments()
+        self.n = {k: sum(n for g, (n, _, _) in moments.items() if g != k or k is None) for k in folds}
+        self.mean, self.scale = {}, {}
+        some = next(iter(moments.values()), (0, np.zeros(0), np.zeros(0)))
+        for k in folds:
+            kept = [m for g, m in moments.items() if g != k or k is None]
+            n = max(self.n[k], 1)
+            mean = sum((m[1] for m in kept), np.zeros_like(some[1])) / n
+            # squares were summed about the mean of all, so that no digits cancel
+            var = sum((m[2] for m in kept), np.zeros_like(some[2])) / n - mean**2
+            std = np.sqrt(np.maximum(var, 0))
+            self.mean[k], self.scale[k] = mean + self.centre, np.where(std > 1e-9, std, 1.0)
+        counts = table.select("fold", F.explode("labels").alias("proto")).groupBy("proto", "fold").agg(F.count("*").alias("n")).collect()
+        self.positives = {u: sum(r["n"] for r in counts if r["proto"] == u[0] and (u[1] is None or r["fold"] != u[1])) for u in self.units}
+        self.fitted = [u for u in self.units if least <= self.positives[u] <= self.n[u[1]] - least and self.n[u[1]]]
+        self.weights: dict[tuple, np.ndarray] = {}
+        wide = len(self.mean[folds[0]]) + 1
+        each = max(1, CURVE_NUMBERS // wide**2)
+        for at in range(0, len(self.fitted), each):
+            self._fit(self.fitted[at : at + each], wide)
+
+    def _moments(self) -> dict:
+        """By fold: cases, sum and sum of squares of the features about their mean over all cases."""
+        first = self.table.select(F.posexplode("f").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m")).orderBy("k").collect()
+        self.centre = centre = np.array([r["m"] for r in first])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict = {}
+            for b in batches:
+                x = np.stack(b.column("f").to_numpy(zero_copy_only=False)) - centre if b.num_rows else np.zeros((0, len(centre)))
+                fold = np.asarray(b.column("fold"))
+                for k in np.unique(fold):
+                    own = x[fold == k]
+                    n, s, q = out.get(int(k), (0, 0, 0))
+                    out[int(k)] = (n + len(own), s + own.sum(0), q + (own**2).sum(0))
+            columns = [[k for k in out], [v[0] for v in out.values()], [v[1].tolist() for v in out.values()], [v[2].tolist() for v in out.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["fold", "n", "s", "q"])
+
+        parts = self.table.select("f", "fold").coalesce(MERGED_TASKS).mapInArrow(sums, "fold int, n long, s array<double>, q array<double>").collect()
+        out: dict = {}
+        for r in parts:
+            n, s, q = out.get(r["fold"], (0, 0, 0))
+            out[r["fold"]] = (n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]))
+        return out
+
+    def _sums(self, units: list, at: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Loss, slope and curve of each unit at its weights (standardised, the intercept last), without the penalty."""
+        mean, scale, positives, n, c = self.mean, self.scale, self.positives, self.n, self.c
+        folds = list(dict.fromkeys(k for _, k in units))
+        column = {p: [] for p, _ in units}
+        for i, (p, _) in enumerate(units):
+            column[p].append(i)
+        up = np.array([n[k] / (2 * max(positives[p, k], 1)) for p, k in units])
+        down = np.array([n[k] / (2 * max(n[k] - positives[p, k], 1)) for p, k in units])
+        wide = at.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope, curve = np.zeros(len(units)), np.zeros((len(units), wide)), np.zeros((len(units), wide, wide))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, fold = np.stack(b.column("f").to_numpy(zero_copy_only=False)), np.asarray(b.column("fold"))
+                y = np.zeros((b.num_rows, len(units)))
+                for row, labels in enumerate(b.column("labels").to_pylist()):
+                    for p in labels or ():
+                        y[row, column.get(p, [])] = 1
+                for k in folds:
+                    own = [i for i, (_, left_out) in enumerate(units) if left_out == k]
+                    kept = np.ones(len(x), bool) if k is None else fold != k
+                    z = np.column_stack([(x[kept] - mean[k]) / scale[k], np.ones(kept.sum())])
+                    is_y = y[np.ix_(kept, own)]
+                    weight = c * np.where(is_y == 1, up[own], down[own])
+                    linear = z @ at[own].T
+                    p = 1 / (1 + np.exp(-np.clip(linear, -60, 60)))
+                    loss[own] += (weight * np.logaddexp(0, np.where(is_y == 1, -linear, linear))).sum(0)
+                    slope[own] += (weight * (p - is_y)).T @ z
+                    bend = weight * np.maximum(p * (1 - p), 1e-9)
+                    for j, i in enumerate(own):
+                        curve[i] += (z * bend[:, j : j + 1]).T @ z
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(units))), pa.array(loss), pa.array([v.tobytes() for v in slope], pa.binary()), pa.array([v.tobytes() for v in curve], pa.binary())], ["unit", "loss", "slope", "curve"])
+
+        def merged(rows: pa.Table) -> pa.Table:
+            total = [sum(np.frombuffer(v) for v in rows.column(c).to_pylist()).tobytes() for c in ("slope", "curve")]
+            return pa.table([rows.column("unit")[:1], pa.array([float(np.sum(rows.column("loss").to_numpy()))]), *(pa.array([v], pa.binary()) for v in total)], ["unit", "loss", "slope", "curve"])
+
+        schema = "unit long, loss double, slope binary, curve binary"
+        parts = self.table.select("f", "fold", "labels").coalesce(MERGED_TASKS).mapInArrow(run, schema)
+        rows = {r["unit"]: r for r in parts.groupBy("unit").applyInArrow(merged, schema).collect()}
+        return [(rows[i]["loss"], np.frombuffer(rows[i]["slope"]), np.frombuffer(rows[i]["curve"]).reshape(wide, wide)) for i in range(len(units))]
+
+    def _fit(self, units: list, wide: int, rounds: int = 100) -> None:
+        """Newton steps, halved where they don't help, of all units at once; a unit that stands still leaves."""
+        ridge = np.append(np.ones(wide - 1), 0.0)
+        now = {u: (np.zeros(wide), *s) for u, s in zip(units, self._sums(units, np.zeros((len(units), wide))), strict=True)}
+        whole = lambda w, loss: loss + 0.5 * (ridge * w * w).sum()
+        left = {u: 1.0 for u in units}
+        for _ in range(rounds):
+            if not left:
+                break
+            steps = {u: np.linalg.solve(curve + np.diag(ridge + 1e-9), slope + ridge * w) for u, (w, _, slope, curve) in now.items() if u in left}
+            tried, size = dict(left), {}
+            best: dict = {}
+            while tried:
+                at = {u: now[u][0] - t * steps[u] for u, t in tried.items()}
+                for u, s in zip(at, self._sums(list(at), np.array(list(at.values()))), strict=True):
+                    t = tried[u]
+                    if whole(at[u], s[0]) <= whole(now[u][0], now[u][1]) or t / 2 <= 1e-6:
+                        best[u] = (at[u], *s)
+                    else:
+                        size[u] = t / 2
+                tried, size = size, {}
+            for u, new in best.items():
+                before, after = whole(now[u][0], now[u][1]), whole(new[0], new[1])
+                now[u] = new
+                if before - after < 1e-10 * (1 + abs(after)):
+                    left.pop(u)
+        self.weights |= {u: v[0] for u, v in now.items()}
+
+
+def _labelled(features: DataFrame, labels: DataFrame, folds: DataFrame | None) -> DataFrame:
+    """case_id, f, fold, labels: one row a case."""
+    own = labels.select("case_id", "proto").distinct().groupBy("case_id").agg(F.collect_list("proto").alias("labels"))
+    table = features.join(folds.select("case_id", F.col("fold").cast("int").alias("fold")), "case_id") if folds is not None else features.withColumn("fold", F.lit(0))
+    return materialize(table.select("case_id", F.col("f").cast("array<double>").alias("f"), "fold").join(own, "case_id", "left"), "gate_cases")
 
-    A task fits one statement; what it holds is one column of labels beside the feature table of the cases."""
-    table = features.join(folds.select("case_id", "fold"), "case_id")
-    grid = table.crossJoin(bank.select("proto")).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
 
-    def fit(column: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold = np.stack(column["f"]), column["y"].to_numpy(), column["fold"].to_numpy()
-        p = np.zeros(len(y))
-        for k in np.unique(fold):
-            own, rest = fold == k, fold != k
-            if not rest.any() or y[rest].sum() < least or y[rest].sum() > rest.sum() - least:
-                p[own] = y[rest].mean() if rest.any() else 0.0
-                continue
-            mean, std = x[rest].mean(0), x[rest].std(0)
-            scale = np.where(std > 1e-9, std, 1.0)
-            w, b = fit_logistic((x[rest] - mean) / scale, y[rest], c)
-            p[own] = 1 / (1 + np.exp(-np.clip((x[own] - mean) / scale @ w + b, -60, 60)))
-        return pd.DataFrame({"case_id": column["case_id"], "proto": column["proto"], "p": p, "y": y})
+def out_of_fold(features: DataFrame, labels: DataFrame, folds: DataFrame, bank: DataFrame, *, c: float = 1.0, least: int = 3) -> DataFrame:
+    """case_id, proto, p, y: each statement's gate fitted without the fold that it scores. features: case_id, f; labels: sparse
+    case_id, proto; folds: case_id, fold. Columns that some training set can't fit keep that set's share of positives.
 
-    kinds = dict(grid.dtypes)
-    return grid.groupBy("proto").applyInPandas(fit, f"case_id {kinds['case_id']}, proto {kinds['proto']}, p double, y int")
+    All gates are fitted together from mergeable sums (see _Gates); a case is then scored where it lies."""
+    table = _labelled(features, labels, folds)
+    protos = [r["proto"] for r in bank.select("proto").orderBy("proto").collect()]
+    names = [r["fold"] for r in table.select("fold").distinct().orderBy("fold").collect()]
+    gates = _Gates(table, protos, names, c, least) if names else None
+    parts = {}
+    for k in names:
+        w = np.array([gates.weights.get((p, k), np.zeros(len(gates.mean[k]) + 1)) for p in protos])
+        share = np.array([gates.positives[p, k] / gates.n[k] if gates.n[k] else 0.0 for p in protos])
+        parts[k] = (gates.mean[k], gates.scale[k], w, share, np.array([(p, k) in gates.weights for p in protos]))
+    kinds = {"case_id": dict(table.dtypes)["case_id"], "proto": dict(bank.dtypes)["proto"]}
+    place = {p: i for i, p in enumerate(protos)}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, own in batch.groupby("fold"):
+                mean, scale, w, share, fitted = parts[k]
+                z = np.column_stack([(np.stack(own["f"]) - mean) / scale, np.ones(len(own))])
+                p = np.where(fitted, 1 / (1 + np.exp(-np.clip(z @ w.T, -60, 60))), share)
+                y = np.zeros(p.shape, np.int32)
+                for row, said in enumerate(own["labels"]):
+                    for proto in said if said is not None else ():
+                        if proto in place:
+                            y[row, place[proto]] = 1
+                yield pd.DataFrame({"case_id": np.repeat(own["case_id"].to_numpy(), len(protos)), "proto": np.tile(protos, len(own)), "p": p.ravel(), "y": y.ravel()})
+
+    return table.mapInPandas(score, f"case_id {kinds['case_id']}, proto {kinds['proto']}, p double, y int")
 
 
 def fit_gates(features: DataFrame, labels: DataFrame, bank: DataFrame, *, c: float = 1.0, least: int = 3) -> DataFrame:
     """proto, weights, intercept, mean, scale, fitted: one gate a statement over all cases; the prior where none is fitted."""
-    grid = features.crossJoin(bank.select("proto", "prevalence")).join(labels.withColumn("y", F.lit(1)), ["case_id", "proto"], "left").fillna(0, ["y"])
-
-    def fit(column: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(column["f"]), column["y"].to_numpy()
-        std = x.std(0)
-        mean, scale = x.mean(0), np.where(std > 1e-9, std, 1.0)
-        fitted = bool(least <= y.sum() <= len(y) - least)
-        q = min(max(float(column["prevalence"].iloc[0]), 1e-6), 1 - 1e-6)
-        w, b = fit_logistic((x - mean) / scale, y, c) if fitted else (np.zeros(x.shape[1]), float(np.log(q / (1 - q))))
-        return pd.DataFrame({"proto": [column["proto"].iloc[0]], "weights": [w], "intercept": [b], "mean": [mean], "scale": [scale], "fitted": [fitted]})
-
-    kind = dict(bank.dtypes)["proto"]
-    return grid.groupBy("proto").applyInPandas(fit, f"proto {kind}, weights array<double>, intercept double, mean array<double>, scale array<double>, fitted boolean")
+    table = _labelled(features, labels, None)
+    known = {r["proto"]: r["prevalence"] for r in bank.select("proto", "prevalence").orderBy("proto").collect()}
+    gates = _Gates(table, list(known), [None], c, least)
+    rows = []
+    for p, prevalence in known.items():
+        q = min(max(float(prevalence), 1e-6), 1 - 1e-6)
+        w = gates.weights.get((p, None))
+        rows.append((p, w[:-1].tolist() if w is not None else [0.0] * len(gates.mean[None]), float(w[-1]) if w is not None else float(np.log(q / (1 - q))), gates.mean[None].tolist(), gates.scale[None].tolist(), w is not None))
+    return bank.sparkSession.createDataFrame(rows, f"proto {dict(bank.dtypes)['proto']}, weights array<double>, intercept double, mean array<double>, scale array<double>, fitted boolean")
 
 
 def header_features(shape: Column, spacing: Column) -> Column:
@@ -176,6 +326,91 @@ def kmeans(features: DataFrame, column: str = "f", k: int = 4, seed: int = 2026)
     return model.transform(ready).drop("_v"), float(model.summary.trainingCost)
 
 
+def grouped_kmeans(features: DataFrame, group: str, k: int = 4, *, restarts: int = 4, rounds: int = 50, seed: int = 2026, column: str = "f") -> tuple[DataFrame, DataFrame]:
+    """k-means fitted anew without each group, all fits in one plan. features: case_id, group, f (equally long).
+
+    Returns routed (held_out, case_id, cluster, held: whether the case is of that group) and costs (held_out, cost, restart,
+    centers), held_out null for the fit over all groups. Features are standardised by each fit's own cases. Each fit begins
+    restarts times from the k cases of least hash, moves centres to the means of what is nearest (the lower number of
+    equals; an empty cluster keeps its centre) until nothing moves or rounds are over, and keeps the restart of least
+    cost. A round is one job over all cases: a task sends the sums of each fit's clusters."""
+    cases = materialize(features.select("case_id", F.col(group).alias("g"), F.col(column).cast("array<double>").alias("f")), "kmeans_cases")
+    long = cases.select("g", F.posexplode("f").alias("k", "x")).groupBy("g", "k").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).collect()
+    groups = sorted({r["g"] for r in long}, key=lambda g: (g is None, g))
+    dims = 1 + max((r["k"] for r in long), default=-1)
+    fits: list = [*groups, None] if None not in groups else groups
+    sums = {g: np.zeros((3, dims)) for g in groups}
+    for r in long:
+        sums[r["g"]][:, r["k"]] = r["n"], r["s"], r["q"]
+    mean, scale, centers = {}, {}, {}
+    for held in fits:
+        n, s, q = sum((v for g, v in sums.items() if held is None or g != held), np.zeros((3, dims)))
+        n = np.maximum(n, 1)
+        std = np.sqrt(np.maximum(q / n - (s / n) ** 2, 0))
+        mean[held], scale[held] = s / n, np.where(std > 1e-9, std, 1.0)
+        own = cases if held is None else cases.where(~F.col("g").eqNullSafe(F.lit(held)))
+        for r in range(restarts):
+            first = own.orderBy(F.xxhash64(F.lit(seed + r), "case_id"), "case_id").limit(k).collect()
+            if first:
+                centers[held, r] = (np.array([x["f"] for x in first]) - mean[held]) / scale[held]
+    schema = "fit int, cluster int, n long, cost double, s array<double>"
+    keys = list(centers)
+
+    def one_round() -> dict:
+        at, mean_, scale_ = {u: centers[u] for u in keys}, mean, scale
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {(i, c): [0, 0.0, np.zeros(dims)] for i, u in enumerate(keys) for c in range(len(at[u]))}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, g = np.stack(b.column("f").to_numpy(zero_copy_only=False)), np.array(b.column("g").to_pylist(), object)
+                for i, u in enumerate(keys):
+                    z = (x if u[0] is None else x[g != u[0]]) - mean_[u[0]]
+                    z = z / scale_[u[0]]
+                    d = ((z[:, None] - at[u][None]) ** 2).sum(2)
+                    near = d.argmin(1)
+                    for c in np.unique(near):
+                        t = total[i, int(c)]
+                        t[0], t[1], t[2] = t[0] + int((near == c).sum()), t[1] + float(d[near == c, c].sum()), t[2] + z[near == c].sum(0)
+            rows = [(i, c, n, cost, s.tolist()) for (i, c), (n, cost, s) in total.items() if n]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["fit", "cluster", "n", "cost", "s"])
+
+        parts = cases.select("g", "f").coalesce(MERGED_TASKS).mapInArrow(run, schema)
+        whole = parts.groupBy("fit", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(dims)])
+        return {(r["fit"], r["cluster"]): r for r in whole.collect()}
+
+    cost: dict = {}
+    for turn in range(rounds + 1):
+        found = one_round() if keys else {}
+        moved = False
+        for i, u in enumerate(keys):
+            cost[u] = sum(r["cost"] for (j, _), r in found.items() if j == i)
+            for c in range(len(centers[u])):
+                if (r := found.get((i, c))) is not None:
+                    new = np.array([r[f"s{j}"] for j in range(dims)]) / r["n"]
+                    moved |= bool(np.abs(new - centers[u][c]).max() > 1e-9)
+                    if turn < rounds:
+                        centers[u] = centers[u].copy()
+                        centers[u][c] = new
+        if not moved:
+            break
+    best = {held: min((cost[u], u[1]) for u in keys if u[0] == held) for held in fits if any(u[0] == held for u in keys)}
+    chosen = {held: centers[held, r] for held, (_, r) in best.items()}
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["f"]) if len(batch) else np.zeros((0, dims))
+            for held, at in chosen.items():
+                near = ((((x - mean[held]) / scale[held])[:, None] - at[None]) ** 2).sum(2).argmin(1)
+                yield pd.DataFrame({"held_out": held, "case_id": batch["case_id"], "cluster": near, "held": (batch["g"] == held) if held is not None else False})
+
+    kinds = dict(cases.dtypes)
+    routed = cases.mapInPandas(route, f"held_out {kinds['g']}, case_id {kinds['case_id']}, cluster int, held boolean")
+    costs = cases.sparkSession.createDataFrame([(h, float(v), r, chosen[h].tolist()) for h, (v, r) in best.items()], f"held_out {kinds['g']}, cost double, restart int, centers array<array<double>>")
+    return routed, costs
+
+
 def mixture_scores(routed: DataFrame, reports: DataFrame, references: DataFrame) -> DataFrame:
     """routed: case_id, cluster; reports: cluster, prediction. Caption scores of each case's cluster's report, pooled."""
     from .metrics import caption_scores

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,6 +183,63 @@ def cache_report(requested: DataFrame, cached: DataFrame, keys: list[str]) -> Da
     return both.withColumn("ok", (F.col("missing") == 0) & (F.col("stale") == 0))
 
 
+class GridCache:
+    """Prepared cases in parts, of which a manifest tells the valid ones. A refresh makes only what is missing or stale, as a
+    part beside the others, and publishes it by a new manifest under the next number; until then, and if the write is
+    killed, readers find the cache as it was. Of a case in several parts the latest counts."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> list[str]:
+        folder = self._path(f"{self.root}/manifests")
+        return sorted(n for x in self._fs.listStatus(folder) if (n := x.getPath().getName()).endswith(".parts")) if self._fs.exists(folder) else []
+
+    def parts(self) -> list[str]:
+        """The valid parts, the latest last."""
+        found = self._manifests()
+        if not found:
+            return []
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/manifests/{found[-1]}").collect() if r["value"]]
+
+    def read(self) -> DataFrame | None:
+        """The cached cases; null for none."""
+        whole = None
+        for k, part in enumerate(self.parts()):
+            rows = self.spark.read.parquet(f"{self.root}/parts/{part}").withColumn("_part", F.lit(k))
+            whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
+        if whole is None:
+            return None
+        latest = whole.groupBy("case_id").agg(F.max("_part").alias("_latest")).withColumnRenamed("case_id", "_case")
+        return whole.join(latest, (F.col("case_id") == F.col("_case")) & (F.col("_part") == F.col("_latest"))).drop("_case", "_part", "_latest")
+
+    def refresh(self, requested: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> int:
+        """Makes the requested cases (case_id and keys) that have no row of the same keys; how many those were."""
+        cached = self.read()
+        todo = requested if cached is None else stale_caches(requested, cached, keys)
+        n = todo.count()
+        if n:
+            part = uuid.uuid4().hex
+            make(todo).write.parquet(f"{self.root}/parts/{part}")
+            self._publish([*self.parts(), part])
+        return n
+
+    def _publish(self, parts: list[str]) -> None:
+        found = self._manifests()
+        number = int(found[-1].split(".")[0]) + 1 if found else 0
+        staged = self._path(f"{self.root}/manifests/_{uuid.uuid4().hex}")
+        out = self._fs.create(staged)
+        out.write(bytearray("\n".join(parts).encode()))
+        out.close()
+        # a name that is taken is not taken over: of two refreshes at a time the later must begin anew
+        target = self._path(f"{self.root}/manifests/{number:09d}.parts")
+        if self._fs.exists(target) or not self._fs.rename(staged, target):
+            raise RuntimeError(f"{target} has been published by another")
+
+
 def challenge_output(reports: DataFrame, text: str = "report", most: int = MOST_CHARACTERS) -> DataFrame:
     """reports with output, a JSON object of the one key report; empty, overlong or NUL-holding reports raise when read."""
     t = F.btrim(F.col(text))

@@ -1,6 +1,7 @@
 """Volume files, grids and descriptors against plain numpy."""
 
 import gzip
+import itertools
 import struct
 import zlib
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.sources import cases as S
 from scoreloom.sources import volumes as V
 
 
@@ -41,8 +43,8 @@ def test_files_grids_and_descriptors(spark, tmp_path):
         assert rows[k]["error"] is None and rows[k]["spacing"] == pytest.approx(spacing)
         assert np.array_equal(np.frombuffer(rows[k]["voxels"], "<f4").reshape(rows[k]["shape"]), want)
     assert all(rows[k]["error"] and rows[k]["shape"] is None for k in "ef")
-    heads = V.read_volumes(spark, str(tmp_path), header_only=True)
-    assert heads.where("voxels is not null").isEmpty() and heads.where("shape is not null").count() == 4
+    heads = {r["path"].rpartition("/")[2]: r for r in V.read_headers(spark, str(tmp_path)).collect()}
+    assert {n for n, r in heads.items() if r["error"]} == {"e.nii", "f.mha"} and all(heads[n]["shape"] == [9, 11, 13] and heads[n]["spacing"] == pytest.approx(spacing) for n in ("a.nii", "b.nii.gz", "c.mha", "d.mha"))
 
     good = read.where("error is null")
     grids = V.grids(good, [6, 14, 8], spacing).cache()
@@ -80,3 +82,87 @@ def test_resampling_and_windows():
     assert V.window(np.zeros((2, 2, 2), np.float32), [4, 4, 4]).shape == (4, 4, 4)
     with pytest.raises(ValueError):
         V.scaled(np.full((4, 4, 4), np.nan), (0.5, 99.5))
+
+
+def test_headers_cost_the_same_however_large(spark, tmp_path):
+    (tmp_path / "small.mha").write_bytes(meta(np.zeros((2, 3, 4), np.float32), [1, 1, 1], False))
+    (tmp_path / "large.mha").write_bytes(meta(np.zeros((90, 100, 110), np.float32), [1, 2, 3], False))
+    (tmp_path / "large.nii.gz").write_bytes(gzip.compress(nifti(np.random.default_rng(0).integers(-900, 900, (90, 100, 110)).astype(np.float32), [1, 2, 3])))
+    heads = {r["path"].rpartition("/")[2]: r for r in V.read_headers(spark, str(tmp_path)).collect()}
+    assert heads["large.mha"]["length"] > 3_900_000 and heads["large.mha"]["shape"] == heads["large.nii.gz"]["shape"] == [90, 100, 110]
+    assert all(r["error"] is None and r["bytes_read"] <= V.HEAD_BYTES for r in heads.values()) and heads["small.mha"]["axes"] == [1, 2, 3]
+
+
+def placed(array, spacing, order, back, kind):
+    """The volume (z, y, x along the patient's axes) as a file whose axes are the patient's in another order, some the other way."""
+    by_x = array.transpose(2, 1, 0).transpose(order)
+    by_x = by_x[tuple(slice(None, None, -1 if b else 1) for b in back)]
+    rows = np.zeros((3, 3))
+    for own, (world, b) in enumerate(zip(order, back)):
+        rows[own, world] = -1 if b else 1
+    # a little off the axes, as scanners are
+    tilt = np.array([[1, 0.08, 0], [-0.08, 1, 0.05], [0, -0.05, 1]])
+    rows = rows @ tilt
+    stored, own_spacing = by_x.transpose(2, 1, 0), [spacing[::-1][w] for w in order][::-1]
+    if kind == "mha":
+        data = meta(stored, own_spacing, False)
+        return data.replace(b"ElementType", b"TransformMatrix = " + " ".join(map(str, rows.ravel())).encode() + b"\nElementType")
+    data = bytearray(nifti(stored, own_spacing))
+    columns = rows.T * [[-1], [-1], [1]]
+    if kind == "matrix":
+        struct.pack_into("<2h", data, 252, 0, 1)
+        for k, at in enumerate((280, 296, 312)):
+            struct.pack_into("<4f", data, at, *(columns[k] * own_spacing[::-1]), 0)
+        return bytes(data)
+    # the nearest rotation as a quaternion, a mirrored one by the sign
+    u, _, v = np.linalg.svd(columns)
+    turn = u @ v
+    sign = -1.0 if np.linalg.det(turn) < 0 else 1.0
+    turn = turn * [1, 1, sign]
+    skew = np.array([[turn[2, 1] - turn[1, 2]], [turn[0, 2] - turn[2, 0]], [turn[1, 0] - turn[0, 1]]]).ravel()
+    values, vectors = np.linalg.eigh(np.block([[turn + turn.T - np.trace(turn) * np.eye(3), skew[:, None]], [skew[None], np.trace(turn).reshape(1, 1)]]))
+    b, c, d, a = vectors[:, -1] * (1 if vectors[3, -1] >= 0 else -1)
+    struct.pack_into("<2h", data, 252, 1, 0)
+    struct.pack_into("<f", data, 76, sign)
+    struct.pack_into("<3f", data, 256, b, c, d)
+    return bytes(data)
+
+
+def test_all_orientations_give_one_grid(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    array, spacing = rng.integers(-900, 2500, (6, 7, 8)).astype(np.float32), [0.5, 0.75, 1.0]
+    for n, order in enumerate(itertools.permutations(range(3))):
+        for m, back in enumerate(itertools.product((False, True), repeat=3)):
+            for kind in ("mha", "matrix", "quaternion"):
+                (tmp_path / f"{kind}{n}{m}.{'mha' if kind == 'mha' else 'nii'}").write_bytes(placed(array, spacing, order, back, kind))
+    read = V.read_volumes(spark, str(tmp_path)).withColumn("case_id", F.col("path"))
+    assert read.where("error is not null").isEmpty() and read.count() == 144
+    grids = V.grids(read, [5, 6, 7], [0.5, 0.75, 1.0]).select("voxels", "low", "high").distinct()
+    assert grids.count() == 1
+    as_stored = V.read_volumes(spark, str(tmp_path), turn=False)
+    assert as_stored.select("voxels").distinct().count() == 48
+    assert V.patient_axes(np.zeros((3, 3))) == V.patient_axes(None) == [(0, False), (1, False), (2, False)]
+
+
+def test_cache_is_remade_in_part(spark, tmp_path):
+    cache, made = S.GridCache(spark, str(tmp_path / "cache")), []
+
+    def make(todo):
+        made.append(sorted(r["case_id"] for r in todo.collect()))
+        return todo.withColumn("data", F.concat_ws("/", "case_id", F.col("size").cast("string")))
+
+    def broken(todo):
+        bad = todo.withColumn("data", F.raise_error(F.lit("killed")).cast("string"))
+        bad.write.parquet(str(tmp_path / "cache" / "parts" / "half"))
+        return bad
+
+    want = spark.createDataFrame([(c, 1) for c in "abc"], "case_id string, size int")
+    assert cache.read() is None and cache.refresh(want, ["size"], make) == 3 and cache.refresh(want, ["size"], make) == 0
+    other = spark.createDataFrame([("a", 1), ("b", 2), ("d", 1)], "case_id string, size int")
+    before = cache.read().orderBy("case_id").collect()
+    with pytest.raises(Exception, match="killed"):
+        cache.refresh(other, ["size"], broken)
+    assert cache.read().orderBy("case_id").collect() == before
+    assert cache.refresh(other, ["size"], make) == 2 and made == [["a", "b", "c"], ["b", "d"]]
+    assert [tuple(r) for r in cache.read().orderBy("case_id").collect()] == [("a", 1, "a/1"), ("b", 2, "b/2"), ("c", 1, "c/1"), ("d", 1, "d/1")]
+    assert cache.refresh(other, ["size"], make) == 0 and len(cache.parts()) == 2
