@@ -14,26 +14,22 @@ from . import fixed_values as V
 class Concept:
     key: str
     section: str
+    #: t: has teeth, l: has a side, m: has measurements, a: states an absence.
     flags: str
     patterns: tuple[str, ...]
 
 
-def read_catalogue(text: str = V.CATALOGUE) -> list[Concept]:
-    out: list[tuple[str, str, str, list[str]]] = []
-    for line in text.strip("\n").split("\n"):
-        if not line.startswith("  "):
-            key, section, flags = line.split(" ")
-            out.append((key, section, flags, []))
-        elif line.startswith("  cover "):
-            anatomy = line.removeprefix("  cover ")
-            out[-1][3].append(rf"\b(?:{anatomy})\b[^.]{{0,70}}?\b(?:{V.COVERAGE_VERB})\b")
-            out[-1][3].append(rf"\b(?:{V.COVERAGE_VERB})\b[^.]{{0,40}}?\b(?:{V.COVERAGE_SCOPE})\b[^.]{{0,40}}?\b(?:{anatomy})\b")
-        else:
-            out[-1][3].append(line[2:])
-    return [Concept(k, s, f, tuple(p)) for k, s, f, p in out]
+def _searched(c: V.Concept) -> Concept:
+    """The concept with its patterns, those of coverage made from the anatomy."""
+    flags = "".join(f for f, has in (("t", c.tooth_specific), ("l", c.lateralized), ("m", c.measurable), ("a", c.denotes_absence)) if has)
+    covered = () if c.covers is None else (
+        rf"\b(?:{c.covers})\b[^.]{{0,70}}?\b(?:{V.COVERAGE_VERB})\b",
+        rf"\b(?:{V.COVERAGE_VERB})\b[^.]{{0,40}}?\b(?:{V.COVERAGE_SCOPE})\b[^.]{{0,40}}?\b(?:{c.covers})\b",
+    )
+    return Concept(c.key, c.section, flags, (*c.patterns, *covered))
 
 
-CONCEPTS = read_catalogue()
+CONCEPTS = [_searched(c) for c in V.CATALOGUE]
 _I = "(?iU)"
 
 
