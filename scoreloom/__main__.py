@@ -16,12 +16,13 @@ from .sources import cases as S
 #: Commands of one stage and the settings that each takes.
 STAGES = {
     "inspect": [], "index": [], "prepare": ["skip_errors"], "prototypes": [], "splits": ["strategy"], "train": [], "calibrate": ["prior_only", "rounds"],
-    "evaluate": ["prior_only"], "ablation": [], "package": [], "run-all": ["strategy", "skip_errors", "skip_train", "rounds"],
+    "evaluate": ["prior_only"], "ablation": [], "package": [], "predict": ["volume"], "run-all": ["strategy", "skip_errors", "skip_train", "rounds"],
 }
 FLAGS = {
     "skip_errors": {"action": "store_true", "help": "go on past unreadable volumes"}, "skip_train": {"action": "store_true", "help": "decode from the prior only"},
     "prior_only": {"action": "store_true", "help": "use prevalences as scores"}, "rounds": {"type": int, "default": 1, "help": "rounds of the threshold ascent"},
     "strategy": {"choices": ["stratified", "center"], "default": "stratified", "help": "how folds are made"},
+    "volume": {"required": True, "help": "a volume to report on, or a folder of them"},
 }
 
 
@@ -52,7 +53,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
         raw = spark.read.text(args.path, wholetext=True)
         return S.challenge_output(raw.select(S.parse_output(raw["value"]).alias("report"))).select("report")
     known = {"least": 6, "most": 26, "least_support": 2, "shape": None, "spacing": None}
-    stages = Stages(spark, args.work, args.data, **(S.load_config(args.config, known) if args.config else known))
+    stages = Stages(spark, args.work, args.data, **(S.overridden(S.load_config(args.config, known) if args.config else known)))
     return getattr(stages, args.command.replace("-", "_"))(**{f: getattr(args, f) for f in STAGES[args.command]})
 
 

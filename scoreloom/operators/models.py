@@ -418,6 +418,29 @@ def mixture_scores(routed: DataFrame, reports: DataFrame, references: DataFrame)
     return caption_scores(references.join(routed, "case_id").join(reports, "cluster").select("case_id", "prediction", "reference"))
 
 
+def fit_retrieval(features: DataFrame, reports: DataFrame) -> DataFrame:
+    """case_id, v, report, mean, scale: features (case_id, f) standardised by place over all cases, each with its report; what
+    saves and loads as a versioned table (`sources.cases.write_versioned`). Places without spread are left unscaled."""
+    stats = features.select(F.posexplode("f").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    whole = stats.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", "m", F.when(F.col("s") > 1e-9, F.col("s")).otherwise(1.0).alias("s")))).alias("stats"))
+    of = lambda c: F.transform("stats", lambda x: x[c])
+    # one row of sums for every case
+    both = features.join(reports, "case_id").crossJoin(F.broadcast(whole.select(of("m").alias("mean"), of("s").alias("scale"))))
+    return both.select("case_id", standard(F.col("f")).alias("v"), "report", "mean", "scale")
+
+
+def standard(f: Column) -> Column:
+    return F.zip_with(F.zip_with(f, F.col("mean"), lambda x, m: x - m), F.col("scale"), lambda d, s: d / s)
+
+
+def retrieved(model: DataFrame, features: DataFrame, dims: int) -> DataFrame:
+    """case_id, match, distance, report: each case's nearest fitted case, by `nearest`. features: case_id, f."""
+    stats = F.broadcast(model.select("mean", "scale").limit(1))
+    asked = features.crossJoin(stats).select(F.col("case_id").alias("query"), standard(F.col("f")).alias("v"))
+    met = nearest(asked, model.select(F.col("case_id").alias("item"), "v"), dims)
+    return met.join(model.select(F.col("case_id").alias("match"), "report"), "match").select(F.col("query").alias("case_id"), "match", "distance", "report")
+
+
 def ensemble(cases: DataFrame, linear: DataFrame, networks: DataFrame, bank: DataFrame) -> DataFrame:
     """case_id, proto, p: the linear model's, else the mean of the networks', else the prior."""
     mean = networks.groupBy("case_id", "proto").agg(F.avg("p").alias("q"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.written import materialize
 
 
@@ -145,6 +146,30 @@ def knee(curve: DataFrame, n: str, value: str, least_gain: float, by: list[str]
     return steps.groupBy(*by).agg(F.coalesce(stop["before"], F.max(n)).alias("knee"))
 
 
+def pinned_or_knee(curve: DataFrame, n: str, value: str, least_gain: float, pinned: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """The row of a search's curve that is taken: that of the pinned length, else that of the knee."""
+    by = by or []
+    if pinned is not None:
+        return curve.where(F.col(n) == pinned)
+    at = knee(curve, n, value, least_gain, by).withColumnRenamed("knee", n)
+    return curve.join(at, [*by, n], "left_semi")
+
+
+def medoid(utility: DataFrame, by: list[str], tie: str = "n") -> DataFrame:
+    """utility: by, i, j, u and tie (of i). Per group the candidate of greatest mean utility to the others; of equals the one of
+    greater tie, then the first. utility has no pair of a candidate with itself."""
+    means = utility.groupBy(*by, "i").agg(F.round(F.avg("u"), 9).alias("m"), F.max(tie).alias("t"))
+    return means.groupBy(*by).agg(F.max_by("i", F.struct("m", "t", -F.col("i"))).alias("chosen"))
+
+
+def consensus(sets: DataFrame, by: list[str], words: str = "words", tie: str = "n") -> DataFrame:
+    """sets: by, i, words (distinct) and tie. Per group the candidate whose words have the greatest mean Jaccard with the others',
+    as `medoid`. Candidates meet within their group only."""
+    other = sets.select(*by, F.col("i").alias("j"), F.col(words).alias("_v"))
+    met = sets.join(other, by).where("i <> j")
+    return medoid(met.select(*by, "i", "j", T.jaccard(F.col(words), F.col("_v")).alias("u"), tie), by, tie)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with mean ranks for ties, and whether both metrics have the same best row."""
     ranked = average_ranks(average_ranks(df.select(a, b), a, [], "ra"), b, [], "rb")

@@ -537,9 +537,8 @@ Q_TURNS = f"c AS (SELECT conv_id, turn, text, len(text) AS n FROM conversations)
 
 @query(f"WITH {Q_TURNS}, {Q_METEOR}, s AS (SELECT case_id // 10000 AS conv_id, (case_id // 100) % 100 AS i, round(avg(meteor), 9) AS m, any_value(np) AS n FROM met2 GROUP BY 1, 2) SELECT conv_id, arg_max(i, (m, n, -i)) AS chosen FROM s GROUP BY conv_id")
 def medoid_reference(spark, sf):
-    p = _turn_pairs(spark, sf)
-    m = M.meteor(p, ["conv_id", "i", "j", "case_id"]).groupBy("conv_id", "i").agg(F.round(F.avg("meteor"), 9).alias("m"), F.max("np").alias("n"))
-    return m.groupBy("conv_id").agg(F.max_by("i", F.struct("m", "n", -F.col("i"))).alias("chosen"))
+    met = M.meteor(_turn_pairs(spark, sf), ["conv_id", "i", "j", "case_id"])
+    return R.medoid(met.select("conv_id", "i", "j", F.col("meteor").alias("u"), F.col("np").alias("n")), ["conv_id"])
 
 
 @query(
@@ -549,10 +548,7 @@ def medoid_reference(spark, sf):
 )
 def consensus_jaccard(spark, sf):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"), words("text").alias("w"))
-    both = c.select("conv_id", F.col("turn").alias("i"), "n", "w").join(c.select("conv_id", F.col("turn").alias("j"), F.col("w").alias("v")), "conv_id").where("i <> j")
-    s = both.groupBy("conv_id", "i").agg(F.round(F.avg(T.jaccard(F.col("w"), F.col("v"))), 9).alias("s"), F.max("n").alias("n"))
-    return s.groupBy("conv_id").agg(F.max_by("i", F.struct("s", "n", -F.col("i"))).alias("chosen"))
+    return R.consensus(table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("i"), F.length("text").alias("n"), words("text").alias("words")), ["conv_id"])
 
 
 @query(
@@ -616,6 +612,14 @@ def kmeans_routing(spark, sf):
     return L.kmeans(f, k=4)[0].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query()
+def grouped_routing(spark, sf):
+    """k-means of the vectors refitted without each label: how many of the label's vectors go to each cluster."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.col("label").cast("string").alias("label"), F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("f"))
+    routed, _ = L.grouped_kmeans(e, "label", 4, restarts=2, rounds=8)
+    return routed.where("held").groupBy("held_out", "cluster").agg(F.count("*").alias("cases"))
+
+
 @query()
 def ovr_logistic(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("f"))

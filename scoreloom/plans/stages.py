@@ -137,6 +137,23 @@ class Stages:
         S.write_versioned(whole, f"{self.work}/bundle", FORMAT)
         return S.read_versioned(self.spark, f"{self.work}/bundle", FORMAT)
 
+    def predict(self, volume: str) -> DataFrame:
+        """case_id, protos, report, output of new volumes (a file, or a folder of them), decoded with the packaged model; the
+        case is named after its file. A volume that can't be read raises."""
+        bundle = S.read_versioned(self.spark, f"{self.work}/bundle", FORMAT)
+        read = V.read_volumes(self.spark, volume).withColumn("case_id", S.strip_suffix(F.element_at(F.split("path", "/"), -1)))
+        bad = [f"{r['path']}: {r['error']}" for r in read.where("error is not null").select("path", "error").limit(8).collect()]
+        if bad or read.isEmpty():
+            raise ValueError("; ".join(bad) or f"no volume in {volume}")
+        cases = V.descriptors(V.grids(read, self.shape, self.spacing))
+        # the packaged statements are a short list that every case is given
+        both = cases.crossJoin(F.broadcast(bundle.select("proto", "weights", "mean", "scale", "intercept", "fitted", "prevalence")))
+        gate = select.gate_probability(F.col("f"), F.col("weights"), F.col("mean"), F.col("scale"), F.col("intercept"))
+        scores = both.select("case_id", "proto", F.when(F.col("fitted"), gate).otherwise(F.col("prevalence")).alias("p"))
+        foes = select.contradictions(B.C.with_mentions(bundle.select("proto", "text"), "text"))
+        reports = select.decoded_reports(scores, bundle.select("proto", "thr"), bundle, foes, self.least, self.most)
+        return S.challenge_output(reports)
+
     def run_all(self, strategy: str = "stratified", skip_errors: bool = False, skip_train: bool = False, rounds: int = 1) -> DataFrame:
         """prepare, prototypes, splits, train, calibrate, evaluate, package; the scores."""
         steps: list[Callable[[], object]] = [lambda: self.prepare(skip_errors), self.prototypes, lambda: self.splits(strategy)]

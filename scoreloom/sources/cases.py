@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -306,3 +307,49 @@ def check_config(given: dict, known: dict) -> dict:
 def load_config(path: str, known: dict) -> dict:
     with open(path, encoding="utf-8") as f:
         return check_config(json.load(f), known)
+
+
+#: Names of settings in the environment: this before the setting in capitals.
+ENVIRONMENT = "SCORELOOM_"
+
+
+def dotenv(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; blank lines and those that begin with # are left out, as are quotes around a value and
+    `export` before a name. A line of any other form raises."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for number, line in enumerate(f, 1):
+            line = line.strip().removeprefix("export ").strip()
+            if not line or line.startswith("#"):
+                continue
+            name, sign, value = line.partition("=")
+            if not sign or not name.strip().isidentifier():
+                raise ValueError(f"{path}:{number}: not NAME=value")
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
+def overridden(known: dict, given: dict[str, str] | None = None) -> dict:
+    """known, with settings that the environment (or given) has under ENVIRONMENT and the name in capitals; values are JSON, or
+    else text."""
+    given = os.environ if given is None else given
+
+    def read(text: str):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text
+
+    return {k: read(given[name]) if (name := f"{ENVIRONMENT}{k.upper()}") in given else v for k, v in known.items()}
+
+
+def with_provenance(parts: dict[str, DataFrame], columns: list[str], about: dict[str, str] | None = None) -> DataFrame:
+    """Result tables under one another: variant, source (what about says of the variant), place (in the order of the parts),
+    and the columns, those that a part lacks being null."""
+    out = None
+    for place, (name, df) in enumerate(parts.items()):
+        held = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns]
+        one = df.select(F.lit(name).alias("variant"), F.lit((about or {}).get(name)).cast("string").alias("source"), F.lit(place).alias("place"), *held)
+        out = one if out is None else out.unionByName(one)
+    return out
