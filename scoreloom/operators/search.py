@@ -286,8 +286,9 @@ def calibrate(thresholds: dict[int, float], evaluate: Callable[[list[dict[int, f
     """Coordinate ascent over thresholds: the best one value for all, or `initial` if better, then each statement of
     `order` in turn over local_grid, until a round moves nothing. evaluate scores a list of settings in one job.
 
-    Most statements move nothing, so a job tries `ahead` of them from where the ascent stands; what comes after the first
-    that moves is tried anew, and the result is that of one statement after another."""
+    Most statements move nothing, so a job tries several of them from where the ascent stands, twice as many (up to `ahead`)
+    each time that none moved; what comes after the first that moves is tried anew, and the result is that of one
+    statement after another."""
     flat = [{p: g for p in thresholds} for g in grid]
     scores = evaluate(flat)
     best = max(range(len(flat)), key=lambda k: scores[k])
@@ -296,9 +297,10 @@ def calibrate(thresholds: dict[int, float], evaluate: Callable[[list[dict[int, f
         current, value = dict(initial), v
     trace = [value]
     for _ in range(rounds):
-        moved, at = 0, 0
+        moved, at, wide = 0, 0, 1
         while at < len(order):
-            some = order[at : at + ahead]
+            some = order[at : at + wide]
+            wide = min(ahead, 2 * wide)
             trials = [(k, {**current, p: g}) for k, p in enumerate(some) for g in local_grid if abs(g - current[p]) > 1e-9]
             found = evaluate([t for _, t in trials]) if trials else []
             at += len(some)
@@ -307,7 +309,7 @@ def calibrate(thresholds: dict[int, float], evaluate: Callable[[list[dict[int, f
                 top = max(own, key=lambda i: found[i], default=None)
                 if top is not None and found[top] > value + 1e-9:
                     current, value, moved = trials[top][1], found[top], moved + 1
-                    at += k + 1 - len(some)
+                    at, wide = at + k + 1 - len(some), 1
                     break
         trace.append(value)
         if not moved:
