@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int = MOST_
         .withColumn("water", (F.sum("source_size").over(whole) - F.col("below_cap")) / F.col("from_weight"))
     )
     # from the first source on whose level is above the water, all get water * weight
-    lowest = F.min(F.when(F.col("level") >= F.col("water"), F.struct("level", "water"))).over(whole)
+    # (the first of those of one level, in the order of the sums)
+    lowest = F.min(F.when(F.col("level") >= F.col("water"), F.struct("level", F.col("source").isNull().alias("none"), "source", "water"))).over(whole)
     settled = filled.withColumn("lowest", lowest)
     target = F.when(F.col("lowest").isNull() | (F.col("level") < F.col("lowest.level")), F.col("cap")).otherwise(F.col("lowest.water") * F.col("weight"))
     return settled.select("source", "source_size", "weight", F.least(target, F.col("cap")).alias("target"))
