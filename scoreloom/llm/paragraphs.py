@@ -31,6 +31,8 @@ CLASS_BITS = 26
 
 _FACTORS = mix64(np.arange(31, 31 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix64(np.arange(9031, 9031 + BANDS * ROWS, dtype=np.uint64))
+#: A window that stands in more than one of so many places is hot.
+HOT_SHARES = 1000
 #: Shingles whose permutations are computed in one go.
 _CHUNK = 1 << 17
 
@@ -286,9 +288,13 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
 
     windows = materialize(arrow_map(rows, find, "uid long, doc_id long, text_hash long, pos int, cb int, ce int, hash long"), f"{tag}_windows")
     place = F.struct("doc_id", "uid", "pos")
-    first = windows.groupBy("hash").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("hash", F.col("f.uid").alias("fuid"), F.col("f.pos").alias("fpos"))
+    counted = windows.groupBy("hash").agg(F.min(place).alias("f"), F.max(place).alias("last"), F.count("*").alias("n")).where("f <> last")
+    first = materialize(counted.select("hash", F.col("f.uid").alias("fuid"), F.col("f.pos").alias("fpos"), "n"), f"{tag}_first")
+    # a window in more than a share of all places would be one task's; there are fewer of those than shares, so they go to all
+    hot = F.broadcast(first.where(F.col("n") * HOT_SHARES > windows.count()).drop("n"))
+    cold = windows.join(hot.select("hash"), "hash", "left_anti").join(first.drop("n"), "hash")
+    found = windows.join(hot, "hash").unionByName(cold).dropDuplicates(["uid", "pos"])
     text_order = Window.partitionBy("uid").orderBy("pos")
-    found = windows.join(first, "hash").dropDuplicates(["uid", "pos"])
     step, after = F.col("pos") - F.lag("pos").over(text_order), F.lead("pos").over(text_order) - F.col("pos")
     found = found.withColumn("left", F.coalesce(step > width, F.lit(True))).withColumn("right", F.coalesce(after > width, F.lit(True)))
     turns = F.col("left") | (F.lag("fuid").over(text_order) != F.col("fuid")) | (F.col("fpos") - F.lag("fpos").over(text_order) != step)
@@ -309,7 +315,8 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id
                         )
 
     sent = arrow_map(rows.select("uid", "text"), around, "hash long, side int, uid long, pos int, near binary, far binary")
-    streams = sent.repartition("hash", "side").sortWithinPartitions("hash", "side", "near", "uid", "pos")
+    # places of one window whose next words differ agree no further, so the next word parts those of a window that many have
+    streams = sent.repartition("hash", "side", F.substring("near", 1, 4)).sortWithinPartitions("hash", "side", "near", "uid", "pos")
     more = arrow_map(streams, lambda batches: _agreement(batches, width), "uid long, pos int, side int, more int, chars int")
     both = more.groupBy("uid", "pos").agg(*(F.max(F.expr(f"if(side = {k}, {c}, 0)")).alias(f"{c[0]}{k}") for k in (0, 1) for c in ("more", "chars")))
     told = found.join(both, ["uid", "pos"], "left").fillna(0, ["m0", "c0", "m1", "c1"])
