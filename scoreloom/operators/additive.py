@@ -241,19 +241,23 @@ class Decoding:
         """p: probability of each proto (NaN: none); thresholds: settings x protos (NaN: not part of the setting)."""
         p = p.astype(np.float32)
         margins = p[None, :] - thresholds.astype(np.float32)
-        order = np.argsort(np.where(np.isnan(margins), np.inf, -margins), axis=1, kind="stable")
-        out = []
-        for margin, ranked in zip(margins, order, strict=True):
-            ranked = ranked[~np.isnan(margin[ranked])]
-            passed = int((margin >= 0).sum())
-            chosen = ranked[: min(passed, self.most)] if passed >= self.least else ranked[: min(self.least, self.most)]
-            held = {self.protos[k]: p[k] for k in sorted(chosen)}
-            for a in list(held):
-                for b in sorted(self.foes.get(a, ())):
-                    if a in held and b in held:
-                        del held[b if held[a] >= held[b] else a]
-            out.append(tuple(held))
-        return out
+        part = ~np.isnan(margins)
+        order = np.argsort(np.where(part, -margins, np.inf), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        passed = (margins >= 0).sum(1)
+        chosen = (rank < np.where(passed >= self.least, np.minimum(passed, self.most), min(self.least, self.most))[:, None]) & part
+        # settings mostly choose alike: conflicts are settled once for each choice
+        found: dict[bytes, tuple[int, ...]] = {}
+        return [found.get(key := row.tobytes()) or found.setdefault(key, self._settled(np.flatnonzero(row), p)) for row in chosen]
+
+    def _settled(self, chosen: np.ndarray, p: np.ndarray) -> tuple[int, ...]:
+        held = {self.protos[k]: p[k] for k in chosen}
+        for a in list(held):
+            for b in sorted(self.foes.get(a, ())):
+                if a in held and b in held:
+                    del held[b if held[a] >= held[b] else a]
+        return tuple(held)
 
 
 def with_probabilities(table: DataFrame, scores: DataFrame) -> DataFrame:
