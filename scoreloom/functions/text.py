@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 
+#: Told one by one, as Java looks such classes up in a table and tries the parts of others in turn.
+KEY_CHARACTERS = string.ascii_lowercase + string.digits + "#"
+
 #: Words, or single signs that are neither words nor space: the same pattern holds in Spark, DuckDB and Python's classes.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 
@@ -46,10 +51,13 @@ def normalize(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a text. Periods of abbreviations and decimal signs end none; a decimal comma becomes a point."""
     names = "|".join(re.escape(a).replace("\\ ", " ") for a in V.ABBREVIATIONS)
-    held = F.regexp_replace(normalize(text), rf"(?iU)\b({names})\.", "$1\u0001")
-    held = F.regexp_replace(held, r"(?U)(?<=\d)[.,](?=\d)", "\u0002")
-    parts = F.split(held, rf"(?U)\s*;\s+|{V.SENTENCE_END}")
-    freed = F.transform(parts, lambda p: F.btrim(F.regexp_replace(F.translate(p, "\u0001\u0002", ".."), f"(?U){V.BULLET}", "")))
+    # the sign first and what is around it second, as signs are rare
+    held = F.regexp_replace(normalize(text), rf"(?iU)\.(?<=\b(?:{names})\.)", "\u0001")
+    held = F.regexp_replace(held, r"(?U)[.,](?<=\d[.,])(?=\d)", "\u0002")
+    # normal text has no white space but the space, so that no wider class is needed
+    parts = F.split(held, rf"\s*;\s+|{V.SENTENCE_END}")
+    dotted = lambda p: F.replace(F.replace(p, F.lit("\u0001"), F.lit(".")), F.lit("\u0002"), F.lit("."))
+    freed = F.transform(parts, lambda p: F.btrim(F.regexp_replace(dotted(p), f"(?U){V.BULLET}", "")))
     return F.filter(freed, lambda p: F.length(p) > 0)
 
 
@@ -59,17 +67,23 @@ def ensure_period(text: Column) -> Column:
 
 
 def space_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body reads it: inside a lambda nothing else sees to that."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def phrases_of(sentence: Column, split_conjunctions: bool = True) -> Column:
     """A sentence as one phrase, or cut at conjunctions where every part has a finite verb; parts of one word go."""
     whole = F.array(sentence)
     if split_conjunctions:
+        clauses = lambda parts: (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(f"(?iU){V.CLAUSE_VERB}"))
         parts = F.transform(F.split(sentence, f"(?iU){V.CONJUNCTION}"), F.btrim)
-        whole = F.when((F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(f"(?iU){V.CLAUSE_VERB}")), parts).otherwise(whole)
+        whole = F.when(F.contains(sentence, F.lit(",")), _named(parts, lambda p: F.when(clauses(p), p).otherwise(F.array(sentence)))).otherwise(whole)
     clean = F.transform(whole, lambda p: F.btrim(p, F.lit(" ;,")))
-    return F.transform(F.filter(clean, lambda p: space_words(p) >= 2), ensure_period)
+    return F.transform(F.filter(clean, lambda p: p.rlike(r"(?U)\S\s+\S")), ensure_period)
 
 
 def phrases(text: Column, split_conjunctions: bool = True) -> Column:
@@ -82,9 +96,10 @@ def is_verifiable(phrase: Column) -> Column:
 
 def canonical(phrase: Column, mask_numbers: bool = True) -> Column:
     """Key of near-equal phrases: folded case, numbers as # (or marked, to keep teeth apart), ASCII letters and digits."""
-    low = F.replace(F.lower(normalize(phrase)), F.lit("ß"), F.lit("ss"))
+    # all that normal form would change becomes a space below
+    low = F.replace(F.lower(F.coalesce(phrase, F.lit(""))), F.lit("ß"), F.lit("ss"))
     low = F.regexp_replace(low, r"\d+(?:\.\d+)?", "#") if mask_numbers else F.regexp_replace(low, r"(?<!\d)\d{1,3}(?:\.\d+)?", " n$0 ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9#\s]", " "), r"\s+", " "))
+    return F.btrim(F.regexp_replace(low, f"[^{KEY_CHARACTERS}]+", " "))
 
 
 def capitalize_first(text: Column) -> Column:

@@ -171,9 +171,8 @@ def canonical_masked(spark, sf):
 
 def _doc_phrases(spark, sf) -> DataFrame:
     """Cases are documents; a phrase's order is its place in the document."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "source", F.posexplode(T.phrases(F.col("text"))).alias("seq", "phrase"))
-    kept = d.where(T.is_verifiable(F.col("phrase")) & T.space_words(F.col("phrase")).between(2, 60))
-    return kept.withColumn("canonical", T.canonical(F.col("phrase"))).where("canonical <> ''")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.array("text").alias("reports"))
+    return B.case_phrases(d)
 
 
 Q_CASE_PHRASES = rf"""{Q_SENT}, {Q_PHRASE}, cp AS (SELECT doc_id AS case_id, ord, phrase, {_q_canonical('phrase')} AS canonical FROM phrase WHERE len(list_filter(string_split_regex(phrase, '\s+'), lambda w: w <> '')) <= 60
