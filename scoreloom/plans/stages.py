@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import bank as B
 from ..operators import additive, metrics, models, search, select
 from ..sources import cases as S
@@ -52,10 +53,10 @@ class Stages:
         return S.read_manifest(self.spark, f"{self.work}/manifest")
 
     def prepare(self, skip_errors: bool = False) -> DataFrame:
-        """corpus (case_id, center, reports) and features (case_id, f) of the volumes; a volume that can't be read raises
+        """corpus (case_id, center, reports in compatibility form) and features (case_id, f) of the volumes; a volume that can't be read raises
         unless such cases are to go without features."""
         found = self._found()
-        texts = S.read_reports(self.spark, self.data).withColumn("path", _at(F.col("path")))
+        texts = T.composed(S.read_reports(self.spark, self.data), "report").withColumn("path", _at(F.col("path")))
         said = found.select("case_id", F.posexplode("report_paths").alias("k", "path")).withColumn("path", _at(F.col("path"))).join(texts, "path")
         corpus = said.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "report"))), lambda r: r["report"]).alias("reports"))
         corpus = self._write("corpus", corpus.select("case_id", S.group_of(F.col("case_id")).alias("center"), "reports"))
