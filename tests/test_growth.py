@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import bank
+from scoreloom.functions import concepts
+from scoreloom.operators import additive, bank, entail
 
 
 def test_assign_counts_pairs_without_their_sets(spark):
@@ -15,3 +17,11 @@ def test_assign_counts_pairs_without_their_sets(spark):
     assert {r["id"]: (r["proto"], r["similarity"] and round(r["similarity"], 6)) for r in got.collect()} == {1: (2, round(2 / 3, 6)), 2: (1, 1.0), 3: (None, None)}
     # sets of both sides would be copied once for each word that a pair has in common
     assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mentions_are_parsed_once_whatever_reads_them(spark):
+    said = spark.createDataFrame([(1, "No periapical lesion is seen at tooth 36."), (2, None)], "id int, text string")
+    got = concepts.with_mentions(said)
+    assert {r["id"]: len(r["mentions"] or []) for r in got.collect()} == {1: 1, 2: 0}
+    # a filter of the reader, and each of two readers, had the parsing in it again
+    assert "regexp_instr" not in got.select("id", F.explode("mentions"))._jdf.queryExecution().optimizedPlan().toString().lower()
