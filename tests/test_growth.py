@@ -25,3 +25,15 @@ def test_mentions_are_parsed_once_whatever_reads_them(spark):
     assert {r["id"]: len(r["mentions"] or []) for r in got.collect()} == {1: 1, 2: 0}
     # a filter of the reader, and each of two readers, had the parsing in it again
     assert "regexp_instr" not in got.select("id", F.explode("mentions"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_clinical_scores_shuffle_no_pairs(spark):
+    pairs = spark.createDataFrame([(1, "No lesion at tooth 36. The sinus is clear. The sinus is clear.", "The sinus is clear. A lesion at tooth 36."), (2, "", "The sinus is clear."), (3, None, None)], "case_id int, prediction string, reference string")
+    got = entail.clinical_scores(pairs)
+    sides = [entail.report_statements(pairs, c) for c in ("prediction", "reference")]
+    count = lambda x, y: {r[0]: (r[1], r[2]) for r in entail.supported(x, y).groupBy("case_id").agg(F.count("*"), F.sum(F.col("entailed").cast("int"))).collect()}
+    p, r = count(*sides), count(*sides[::-1])
+    found = {x["case_id"]: ((x["candidate_count"], x["entailed_candidate_count"]), (x["reference_count"], x["entailed_reference_count"])) for x in got.collect()}
+    assert found == {k: (p.get(k, (0, 0)), r.get(k, (0, 0))) for k in (1, 2, 3)} and found[1][0][1] > 0
+    # statements met by their words, in rows of both texts, and were joined with both signs
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
