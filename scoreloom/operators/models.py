@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.written import materialize
 
@@ -295,15 +296,67 @@ def histogram(df: DataFrame, value: str, bins: int = 16, low: float = 0.0, high:
     return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: Vectors of a block, and queries of a block whose distances a task holds at a time.
+BLOCK, STRIP = 4096, 64
+
+
+def _nearest_of(a: np.ndarray, b: np.ndarray, barred: np.ndarray | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a (query) the row of b of least squared distance that is not barred, of equals the least place: rows of
+    a, rows of b, distances. Differences are taken in the vectors' own precision and their squares summed in order."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    n, m = (x * x).sum(1), (y * y).sum(1)
+    rows, items, values = [], [], []
+    for s in range(0, len(a), STRIP):
+        e = slice(s, s + STRIP)
+        about = n[e, None] + m[None, :] - 2 * (x[e] @ y.T)
+        if barred is not None:
+            about[barred[e]] = np.inf
+        # single precision rounds each difference by 2^-24 of it, the products err by far less than the slack
+        slack = 1e-10 * (n[e, None] + m.max()) + 1e-300
+        r, c = np.nonzero(about * (1 - 2.0**-20) - slack <= about.min(1, keepdims=True) * (1 + 2.0**-20) + slack)
+        good = np.isfinite(about[r, c])
+        r, c = r[good] + s, c[good]
+        d = np.zeros(len(r))
+        for k in range(a.shape[1]):
+            z = (a[r, k] - b[c, k]).astype(np.float64)
+            d += z * z
+        order = np.lexsort((place[c], d, r))
+        first = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])] if len(r) else order
+        rows.append(r[first])
+        items.append(c[first])
+        values.append(d[first])
+    return np.concatenate(rows), np.concatenate(items), np.concatenate(values)
+
+
 def nearest(queries: DataFrame, index: DataFrame, dims: int, others: bool = False) -> DataFrame:
     """query, match, distance: least mean squared difference, the first of equals. queries: query, v; index: item, v.
     others: an item of the query's own name is no match.
 
-    The smaller side of a stated query set against all items; Spark broadcasts it or nests loops over partitions, and the
-    answer is an aggregate that is combined where the pairs arise."""
-    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x) / float(dims)
+    Blocks of queries meet blocks of items, each pair of blocks in a task: products estimate all its distances with a bound
+    on their error, and what may be nearest is measured as `distance` has it. Vectors that are not `dims` plain numbers
+    are few and go by `distance` alone."""
+    plain = lambda v: F.coalesce((F.size(v) == dims) & F.forall(v, lambda x: F.coalesce(F.abs(x) < 1e15, F.lit(False))), F.lit(False))
     items = index.withColumnRenamed("v", "w")
-    scored = (queries.join(items, F.col("query") != F.col("item")) if others else queries.crossJoin(items)).withColumn("distance", d)
+    if others:
+        queries, items = queries.where("query is not null"), items.where("item is not null")
+    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x) / float(dims)
+    odd = queries.crossJoin(items.where(~plain("w"))).unionByName(queries.where(~plain("v")).crossJoin(items.where(plain("w"))))
+    odd = (odd.where(F.col("query") != F.col("item")) if others else odd).select("query", "item", d.alias("distance"))
+    sides = [queries.where(plain("v")), items.where(plain("w"))]
+    blocks = [max(1, -(-s.count() // BLOCK)) for s in sides]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[0].withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(blocks[0])).cast("int")).withColumn("_i", every(blocks[1]))
+    right = sides[1].withColumn("_i", F.pmod(F.xxhash64("item"), F.lit(blocks[1])).cast("int")).withColumn("_q", every(blocks[0]))
+    schema = StructType([left.schema["query"], right.schema["item"], StructField("distance", DoubleType())])
+
+    def best(q: pa.Table, i: pa.Table) -> pa.Table:
+        names, others_names = (np.asarray(t.column(c).to_numpy()) for t, c in ((q, "query"), (i, "item")))
+        a, b = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for t, c in ((q, "v"), (i, "w")))
+        found = _nearest_of(a, b, names[:, None] == others_names[None, :] if others else None, np.unique(others_names, return_inverse=True)[1]) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"query": q.column("query").take(pa.array(found[0])), "item": i.column("item").take(pa.array(found[1])), "distance": pa.array(found[2] / float(dims), pa.float64())})
+
+    met = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(best, schema)
+    scored = met.unionByName(odd)
     return scored.groupBy("query").agg(F.min(F.struct("distance", "item")).alias("m")).select("query", F.col("m.item").alias("match"), F.col("m.distance").alias("distance"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import concepts
-from scoreloom.operators import additive, bank, entail
+from scoreloom.operators import additive, bank, entail, metrics, models
 
 
 def test_assign_counts_pairs_without_their_sets(spark):
@@ -37,3 +40,21 @@ def test_clinical_scores_shuffle_no_pairs(spark):
     assert found == {k: (p.get(k, (0, 0)), r.get(k, (0, 0))) for k in (1, 2, 3)} and found[1][0][1] > 0
     # statements met by their words, in rows of both texts, and were joined with both signs
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+
+
+def test_nearest_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(models, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (150, 5)).astype(np.float32) / 3
+    x[60:90] = x[7]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(150, [1.0, 2.0]), (151, None)]
+    e = spark.createDataFrame(rows, "item int, v array<float>")
+    got = models.nearest(e.where("item % 10 = 0 and item < 150").withColumnRenamed("item", "query"), e.where("item < 150"), 5, others=True)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        d = ((x[r["query"]] - x).astype(np.float64) ** 2).sum(1) / 5
+        d[r["query"]] = np.inf
+        assert r["distance"] == pytest.approx(d.min()) and r["match"] == np.flatnonzero(np.isclose(d, d.min(), rtol=1e-12))[0]
+    # vectors that are no plain numbers go as they went: a null distance is the least
+    odd = models.nearest(e.where("item = 0").withColumnRenamed("item", "query"), e.where("item >= 140"), 5).first()
+    assert odd["match"] == 150 and odd["distance"] is None
