@@ -42,6 +42,20 @@ def test_clinical_scores_shuffle_no_pairs(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
 
 
+def test_equal_cases_are_scored_once(spark):
+    bank = spark.createDataFrame([(0, "The left sinus is clear.", 0), (1, "A lesion is seen.", 1)], "proto int, text string, position int")
+    refs = spark.createDataFrame([(k, ["The left sinus is clear." if k % 2 else "A lesion is seen. No more."], f"g{k % 3}") for k in range(12)], "case_id int, references array<string>, source string")
+    table = additive.case_table(bank, refs, keep=["source"], clinical=False)
+    once = additive.equal_cases(table, "source")
+    assert once.count() == 2 and sum(g["n"] for r in once.collect() for g in r["groups"]) == 12
+    trials = [additive.Trial((0,)), additive.Trial((0, 1), without="g1"), additive.Trial((1,), only="g2")]
+    got = additive.score_trials(once, additive.statements_of(bank), trials, "source").orderBy("trial").collect()
+    plain = [table, table.where("source <> 'g1'"), table.where("source = 'g2'")]
+    for row, t, some in zip(got, trials, plain, strict=True):
+        alone = additive.score_trials(some, additive.statements_of(bank), [additive.Trial(t.protos)]).first()
+        assert row["cases"] == alone["cases"] == some.count() and row["bleu_4"] == pytest.approx(alone["bleu_4"]) and row["meteor"] == pytest.approx(alone["meteor"])
+
+
 def test_nearest_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(models, "BLOCK", 40)
     rng = np.random.default_rng(6)
