@@ -72,3 +72,13 @@ def test_nearest_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
     # vectors that are no plain numbers go as they went: a null distance is the least
     odd = models.nearest(e.where("item = 0").withColumnRenamed("item", "query"), e.where("item >= 140"), 5).first()
     assert odd["match"] == 150 and odd["distance"] is None
+
+
+def test_pair_counts_hold_a_slice(spark):
+    tokens = np.arange(metrics.SLICE_TOKENS // 2, dtype=np.int64) % 977
+    bounds = np.arange(0, len(tokens) + 1, 64)
+    tracemalloc.start()
+    metrics._row_counts((tokens, bounds), (tokens[::-1].copy(), bounds))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
