@@ -255,3 +255,54 @@ def test_routing_by_clusters(spark):
     plain = metrics.caption_scores(references.join(spark.createDataFrame([(k, said[cluster[k]]) for k in range(60)], "case_id int, prediction string"), "case_id")).first()
     assert scores.cases == 60 and scores.bleu_4 == pytest.approx(plain.bleu_4) and scores.meteor == pytest.approx(plain.meteor)
     assert 0.9 < scores.bleu_4 < 1
+
+
+def test_linked_clusters_hold_no_matrix(spark, monkeypatch):
+    """One component of many phrases: neither its distances nor the pairs that only a word links are laid out, whether it is
+    merged in tasks or by rounds of joins."""
+    import numpy as np
+
+    from scoreloom.operators import linkage
+
+    rng = random.Random(5)
+    said = sorted({" ".join(f"w{(k + j * (1 + rng.randrange(2))) % 90}" for j in range(5)) for k in range(90) for _ in range(3)})
+    df = spark.createDataFrame([("all", p, p) for p in said], "grp string, phrase string, canonical string")
+    vectors = bank.tfidf(df).join(df.select("phrase", "grp"), "phrase").cache()
+    terms = {r["phrase"]: r["terms"] for r in vectors.collect()}
+    names = {g: k for k, g in enumerate(sorted({g for t in terms.values() for g in t}))}
+    x = np.zeros((len(said), len(names)))
+    for k, p in enumerate(said):
+        for g, v in terms[p].items():
+            x[k, names[g]] = v
+    want = {}
+    for p, c in zip(said, bank.average_linkage(x, 0.6), strict=True):
+        want.setdefault(c, set()).add(p)
+
+    def whole(*_):
+        raise AssertionError("a matrix of all distances")
+
+    monkeypatch.setattr(bank, "average_linkage", whole)
+    near = x @ x.T
+    for component, window in ((1 << 16, 8), (8, 1)):
+        monkeypatch.setattr(linkage, "COMPONENT", component)
+        monkeypatch.setattr(linkage, "TASK_VECTORS", 16)
+        monkeypatch.setattr(bank, "WINDOW", window)
+        got = {}
+        for r in bank.clusters(vectors, "grp", 0.6).collect():
+            got.setdefault(r["cluster"], set()).add(r["phrase"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        met = {(r["a"], r["b"]) for r in bank._candidates(vectors, "grp", 0.4, "phrase").collect()}
+        assert met >= {(said[i], said[j]) for i in range(len(said)) for j in range(i + 1, len(said)) if near[i, j] >= 0.4}
+
+
+def test_products_of_slices(monkeypatch):
+    import numpy as np
+
+    from scoreloom.operators import linkage
+
+    rng = np.random.default_rng(2)
+    x = rng.random((40, 30)) * (rng.random((40, 30)) < 0.3)
+    rows, terms = np.nonzero(x)
+    a, b = np.triu_indices(40, 1)
+    monkeypatch.setattr(linkage, "SLICE_TERMS", 7)
+    assert np.allclose(linkage._products(a, b, rows, terms, x[rows, terms], 30), (x @ x.T)[a, b])
