@@ -296,36 +296,98 @@ def histogram(df: DataFrame, value: str, bins: int = 16, low: float = 0.0, high:
     return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-#: Vectors of a block, and queries of a block whose distances a task holds at a time.
-BLOCK, STRIP = 4096, 64
-
-
-def _nearest_of(a: np.ndarray, b: np.ndarray, barred: np.ndarray | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a (query) the row of b of least squared distance that is not barred, of equals the least place: rows of
-    a, rows of b, distances. Differences are taken in the vectors' own precision and their squares summed in order."""
-    x, y = a.astype(np.float64), b.astype(np.float64)
-    n, m = (x * x).sum(1), (y * y).sum(1)
-    rows, items, values = [], [], []
-    for s in range(0, len(a), STRIP):
-        e = slice(s, s + STRIP)
-        about = n[e, None] + m[None, :] - 2 * (x[e] @ y.T)
-        if barred is not None:
-            about[barred[e]] = np.inf
-        # single precision rounds each difference by 2^-24 of it, the products err by far less than the slack
-        slack = 1e-10 * (n[e, None] + m.max()) + 1e-300
-        r, c = np.nonzero(about * (1 - 2.0**-20) - slack <= about.min(1, keepdims=True) * (1 + 2.0**-20) + slack)
-        good = np.isfinite(about[r, c])
-        r, c = r[good] + s, c[good]
-        d = np.zeros(len(r))
-        for k in range(a.shape[1]):
-            z = (a[r, k] - b[c, k]).astype(np.float64)
-            d += z * z
-        order = np.lexsort((place[c], d, r))
-        first = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])] if len(r) else order
-        rows.append(r[first])
-        items.append(c[first])
-        values.append(d[first])
-    return np.concatenate(rows), np.concatenate(items), np.concatenate(values)
+#: Vectors of the smallest blocks, numbers that the largest hold, queries and items whose products a task holds at a time, and
+#: pairs that it keeps to be measured.
+BLOCK, NUMBERS, STRIP, KEPT = 4096, 1 << 23, (256, 1024), 1 << 20
+
+
+def _same_names(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of all pairs of equal names."""
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    a, b = codes[: len(a)], codes[len(a) :]
+    order = np.argsort(b, kind="stable")
+    first, last = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    n = last - first
+    return np.repeat(np.arange(len(a)), n), order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+
+
+def _measured(a: np.ndarray, b: np.ndarray, place: np.ndarray, r: np.ndarray, c: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pairs (rows r of a, rows c of b) each row's of least squared distance, of equals the least place; distances.
+    Differences are taken in the vectors' own precision and their squares summed in order."""
+    d = np.zeros(len(r))
+    for k in range(a.shape[1]):
+        z = (a[r, k] - b[c, k]).astype(np.float64)
+        d += z * z
+    order = np.lexsort((place[c], d, r))
+    first = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])] if len(r) else order
+    return r[first], c[first], about[first], d[first]
+
+
+def _nearest_of(a: np.ndarray, b: np.ndarray, barred: tuple[np.ndarray, np.ndarray] | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a (query) the row of b of least squared distance that is not barred (rows of a, rows of b), of equals
+    the least place: rows of a, rows of b, distances.
+
+    Items go by length, strip by strip. Products in single precision estimate a.b - b.b / 2, which is greatest for the nearest,
+    to a bound of each query and strip; what may be the greatest is measured."""
+    dims, (tall, wide) = a.shape[1], STRIP
+    mean = b.mean(0, dtype=np.float64)
+    norms = [np.concatenate([((v[i : i + 65536] - mean) ** 2).sum(1) for i in range(0, len(v), 65536)]) for v in (a, b)]
+    order = np.argsort(norms[1], kind="stable")
+    b, place, half = b[order], place[order], norms[1][order] / 2
+    y = np.empty((dims + 1, len(b)), np.float32)
+    for i in range(0, len(b), 65536):
+        y[:dims, i : i + 65536] = (b[i : i + 65536] - mean).T
+    y[dims] = -half
+    tiles = -(-len(b) // wide)
+    if barred is not None:
+        where = np.empty(len(b), np.int64)
+        where[order] = np.arange(len(b))
+        br, bc = barred[0], where[barred[1]]
+        tile = br // tall * tiles + bc // wide
+        by = np.argsort(tile, kind="stable")
+        br, bc, tile = br[by], bc[by], tile[by]
+    # sums of dims + 1 products of rounded numbers, and a distance of rounded differences, err by less; so does taking off the mean
+    whole = np.sqrt((mean * mean).sum())
+    out, room = [], np.empty(tall * wide, np.float32)
+    for s in range(0, len(a), tall):
+        n = np.sqrt(norms[0][s : s + tall])
+        x = np.ones((len(n), dims + 1), np.float32)
+        x[:, :dims] = a[s : s + tall] - mean
+        least, held, many = np.full(len(n), -np.inf), [], 0
+
+        def settled(held: list[tuple[np.ndarray, ...]], slack: list[np.ndarray], least: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+            r, c, about = (np.concatenate(v) for v in zip(*held, strict=True))
+            good = about + np.concatenate(slack) >= least[r]
+            return _measured(a[start : start + tall], b, place, r[good], c[good], about[good])
+
+        slack = []
+        for k in range(tiles):
+            t = slice(k * wide, (k + 1) * wide)
+            part = y[:, t]
+            about = np.matmul(x, part, out=room[: len(x) * part.shape[1]].reshape(len(x), -1))
+            if barred is not None:
+                i, j = np.searchsorted(tile, [s // tall * tiles + k, s // tall * tiles + k + 1])
+                about[br[i:j] - s, bc[i:j] - k * wide] = -np.inf
+            far = n + np.sqrt(2 * half[t][-1])
+            err = (dims + 16) * 2.0**-24 * far * far + 2.0**-49 * (far + whole) * far + 1e-35
+            high = about.max(1).astype(np.float64)
+            least = np.maximum(least, high - err)
+            r = np.flatnonzero((high + err >= least) & np.isfinite(high))
+            if not len(r):
+                continue
+            i, c = np.nonzero(about[r] >= (least[r] - err[r])[:, None])
+            r = r[i]
+            held.append((r, c + k * wide, about[r, c].astype(np.float64)))
+            slack.append(err[r])
+            many += len(r)
+            if many > KEPT:
+                # of what is measured the nearest stays, as sure to be measured again as it was
+                r, c, about, _ = settled(held, slack, least, s)
+                held, slack, many = [(r, c, about)], [np.full(len(r), np.inf)], 0
+        if held:
+            r, c, _, d = settled(held, slack, least, s)
+            out.append((r + s, order[c], d))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def nearest(queries: DataFrame, index: DataFrame, dims: int, others: bool = False) -> DataFrame:
@@ -333,8 +395,9 @@ def nearest(queries: DataFrame, index: DataFrame, dims: int, others: bool = Fals
     others: an item of the query's own name is no match.
 
     Blocks of queries meet blocks of items, each pair of blocks in a task: products estimate all its distances with a bound
-    on their error, and what may be nearest is measured as `distance` has it. Vectors that are not `dims` plain numbers
-    are few and go by `distance` alone."""
+    on their error, and what may be nearest is measured as `distance` has it. Blocks are as many as give all cores work, or
+    as hold NUMBERS numbers at most; each is sent once for each block of the other side. Vectors that are not `dims` plain
+    numbers are few and go by `distance` alone."""
     plain = lambda v: F.coalesce((F.size(v) == dims) & F.forall(v, lambda x: F.coalesce(F.abs(x) < 1e15, F.lit(False))), F.lit(False))
     items = index.withColumnRenamed("v", "w")
     if others:
@@ -343,16 +406,18 @@ def nearest(queries: DataFrame, index: DataFrame, dims: int, others: bool = Fals
     odd = queries.crossJoin(items.where(~plain("w"))).unionByName(queries.where(~plain("v")).crossJoin(items.where(plain("w"))))
     odd = (odd.where(F.col("query") != F.col("item")) if others else odd).select("query", "item", d.alias("distance"))
     sides = [queries.where(plain("v")), items.where(plain("w"))]
-    blocks = [max(1, -(-s.count() // BLOCK)) for s in sides]
+    few = int(np.ceil(np.sqrt(4 * queries.sparkSession.sparkContext.defaultParallelism)))
+    blocks = [max(1, -(-n // max(1, NUMBERS // dims)), min(-(-n // BLOCK), few)) for n in (s.count() for s in sides)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = sides[0].withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(blocks[0])).cast("int")).withColumn("_i", every(blocks[1]))
     right = sides[1].withColumn("_i", F.pmod(F.xxhash64("item"), F.lit(blocks[1])).cast("int")).withColumn("_q", every(blocks[0]))
+    left, right = (s.repartition(2 * blocks[0] * blocks[1], "_q", "_i") for s in (left, right))
     schema = StructType([left.schema["query"], right.schema["item"], StructField("distance", DoubleType())])
 
     def best(q: pa.Table, i: pa.Table) -> pa.Table:
         names, others_names = (np.asarray(t.column(c).to_numpy()) for t, c in ((q, "query"), (i, "item")))
         a, b = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for t, c in ((q, "v"), (i, "w")))
-        found = _nearest_of(a, b, names[:, None] == others_names[None, :] if others else None, np.unique(others_names, return_inverse=True)[1]) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        found = _nearest_of(a, b, _same_names(names, others_names) if others else None, np.unique(others_names, return_inverse=True)[1]) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"query": q.column("query").take(pa.array(found[0])), "item": i.column("item").take(pa.array(found[1])), "distance": pa.array(found[2] / float(dims), pa.float64())})
 
     met = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(best, schema)

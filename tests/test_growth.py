@@ -74,6 +74,33 @@ def test_nearest_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
     assert odd["match"] == 150 and odd["distance"] is None
 
 
+def test_nearest_by_strips_measures_what_single_precision_leaves_open(monkeypatch):
+    rng = np.random.default_rng(8)
+    for case in range(24):
+        monkeypatch.setattr(models, "STRIP", (7, 11) if case % 2 else (256, 1024))
+        monkeypatch.setattr(models, "KEPT", 5 if case % 3 == 0 else 1 << 20)
+        a, b = (rng.integers(-2, 3, (int(rng.integers(1, 60)), 3 + case % 4)).astype(np.float32 if case % 4 < 2 else np.float64) / 3 for _ in "ab")
+        a, b = (((v * [1, 1, 1e-22, 1e13][case % 4]) + [0, 1e6, 0][case % 3]).astype(a.dtype) for v in (a, b))
+        b[0] = 1e14
+        names, others = rng.integers(0, 50, len(a)), rng.permutation(len(b))
+        want = []
+        for i in range(len(a)):
+            d = sum((a[i, k] - b[:, k]).astype(np.float64) ** 2 for k in range(a.shape[1]))
+            d = np.where(others == names[i], np.inf, d)
+            j = np.lexsort((others, d))[0]
+            want += [(i, j, d[j])] if np.isfinite(d[j]) else []
+        assert [tuple(r) for r in zip(*models._nearest_of(a, b, models._same_names(names, others), others), strict=True)] == want
+
+
+def test_nearest_neighbour_asks_for_every_vector(spark, tmp_path):
+    from scoreloom.plans import catalogue
+
+    rng = np.random.default_rng(9)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(120, 64)).astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["query"] for r in catalogue.QUERIES["nearest_neighbour"](spark, str(tmp_path)).collect()} == set(range(120))
+
+
 def test_pair_counts_hold_a_slice(spark):
     tokens = np.arange(metrics.SLICE_TOKENS // 2, dtype=np.int64) % 977
     bounds = np.arange(0, len(tokens) + 1, 64)
