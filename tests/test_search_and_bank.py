@@ -306,3 +306,27 @@ def test_products_of_slices(monkeypatch):
     a, b = np.triu_indices(40, 1)
     monkeypatch.setattr(linkage, "SLICE_TERMS", 7)
     assert np.allclose(linkage._products(a, b, rows, terms, x[rows, terms], 30), (x @ x.T)[a, b])
+
+
+def test_representatives_are_judged_against_all_members(spark, monkeypatch):
+    """Clusters above any sample, by pairs of blocks: the choice of all pairs joined."""
+    from scoreloom.operators import central, entail
+
+    rng = random.Random(9)
+    heads = ["No periapical lesion is seen", "A periapical lesion is seen at tooth", "The left maxillary sinus is clear", "The right maxillary sinus shows thickening", "Crowns on teeth 36 and", "An implant is placed at tooth 14 and", "Some words"]
+    said = {"big": {f"{rng.choice(heads)} {rng.choice(['36', '46', 'in the left', 'on both sides', 'of the the'])} {' '.join(rng.choice('abcdef') * 2 for _ in range(rng.randint(0, 5)))}." for _ in range(130)}}
+    said |= {f"c{k}": {f"{' '.join(rng.choice('abc') * 2 for _ in range(4))}." for _ in range(k)} for k in range(1, 6)}
+    assert len(said["big"]) > 100
+    members = spark.createDataFrame([(c, p) for c, ps in said.items() for p in ps], "cluster string, phrase string")
+    sig = entail.signed(members)
+    both = sig.alias("a").join(sig.alias("b"), F.expr("a.cluster = b.cluster and a.phrase <> b.phrase"))
+    pairs = both.select("a.cluster", F.col("a.phrase").alias("prediction"), F.col("b.phrase").alias("reference"), entail.entailment(F.col("a.sig"), F.col("b.sig")).alias("e"))
+    scored = metrics.meteor(pairs, ["cluster", "prediction", "e"]).groupBy("cluster", "prediction").agg((0.8 * F.avg("e") + 0.2 * F.avg("meteor")).alias("s"))
+    scores = {}
+    for r in scored.collect():
+        scores.setdefault(r["cluster"], []).append((-round(r["s"], 9), r["prediction"]))
+    want = {c: min(v)[1] for c, v in scores.items()} | {c: next(iter(ps)) for c, ps in said.items() if len(ps) == 1}
+    assert {v[0] for v in scores["big"]} != {0.0} and len({e for r in pairs.where("cluster = 'big'").select("e").distinct().collect() for e in r}) > 20
+    for block in (512, 16):
+        monkeypatch.setattr(central, "MEMBERS", block)
+        assert {r["cluster"]: r["text"] for r in bank.representatives(members).collect()} == want
