@@ -330,3 +330,55 @@ def test_representatives_are_judged_against_all_members(spark, monkeypatch):
     for block in (512, 16):
         monkeypatch.setattr(central, "MEMBERS", block)
         assert {r["cluster"]: r["text"] for r in bank.representatives(members).collect()} == want
+
+
+def test_cosines_are_told_where_pairs_meet(spark, monkeypatch):
+    """What windows tell in full needs no second meeting, whatever run a term's rows stand in."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    said = sorted({" ".join(words[min(59, int(rng.expovariate(0.08)))] for _ in range(rng.randint(2, 14))) for _ in range(400)})
+    df = spark.createDataFrame([("all", p, p) for p in said], "grp string, phrase string, canonical string")
+    vectors = bank.tfidf(df).join(df.select("phrase", "grp"), "phrase").cache()
+    # lengths by all terms, the lone ones too
+    grams = {p: Counter([*(w := p.split()), *zip(w, w[1:])]) for p in said}
+    df_of = Counter(g for c in grams.values() for g in c)
+    weigh = lambda g, n: (1 + np.log(n)) * (np.log((1 + len(said)) / (1 + df_of[g])) + 1)
+    unit = {}
+    for p, c in grams.items():
+        v = {g: weigh(g, n) for g, n in c.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        unit[p] = {g: x / norm for g, x in v.items()}
+    for r in vectors.collect():
+        shared = sorted(x for g, x in unit[r["phrase"]].items() if df_of[g] > 1)
+        assert np.allclose(sorted(r["terms"].values()), shared) and sorted(r["counts"]) == r["counts"] and min(r["counts"], default=2) > 1
+    cosine = {(a, b): sum(x * unit[b].get(g, 0.0) for g, x in unit[a].items()) for a in said for b in said if a < b}
+    near = {pair for pair, s in cosine.items() if s >= 0.4}
+    for window in (32, 4):
+        monkeypatch.setattr(bank, "WINDOW", window)
+        met = {(r["a"], r["b"]): r for r in bank._candidates(vectors, "grp", 0.4, "phrase").collect()}
+        assert set(met) >= near and all(met[pair]["open"] or abs(met[pair]["s"] - cosine[pair]) < 1e-9 for pair in near)
+        assert window < 32 or not any(r["open"] for r in met.values())
+        assert {(r["a"], r["b"]) for r in bank.near_pairs(vectors, "grp", 0.4).collect()} == near
+
+
+def test_long_runs_meet_in_blocks(monkeypatch):
+    monkeypatch.setattr(bank, "MEET_PAIRS", 100)
+    rng = np.random.default_rng(4)
+    sides = rng.random((300, 2))
+    start, size = np.array([0, 5, 105]), np.array([5, 100, 195])
+    got = [(a, b) for x, y in bank._first_judged(start, size, sides, 0.7) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    want = {(a, b) for s, n in zip(start, size, strict=True) for a in range(s, s + n) for b in range(a + 1, s + n) if sides[a] @ sides[b] >= 0.7}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_runs_are_never_cut():
+    import pyarrow as pa
+
+    values = [1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, None, None, 5]
+    for kind in (pa.int64(), pa.string()):
+        column = pa.array([v if v is None or kind == pa.int64() else str(v) for v in values], kind)
+        batches = pa.table({"k": column}).to_batches(max_chunksize=2)
+        runs = []
+        for table, start in bank._whole_runs(iter(batches), ["k"], 3):
+            runs += [table.column("k").slice(i, j - i).to_pylist() for i, j in zip(start.tolist(), [*start.tolist()[1:], table.num_rows], strict=True)]
+        assert sum(runs, []) == column.to_pylist() and len(runs) == 6 and all(len(set(r)) == 1 for r in runs)
